@@ -9,12 +9,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 from vantor.llm.bpe import bpe_digests
 from vantor.llm.common import scratch, shared_dir, table
+from vantor.llm.minhash import near_duplicates
 from vantor.llm.pfor import token_file_digests
 from vantor.llm.unigram import token_counts
 
 BPE, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
 
 
+def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with scratch(spark) as space:
+        return near_duplicates(space, table(spark, sf_dir, "documents"), width=3, percent=85).checkpoint()
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES))
 
@@ -29,7 +35,7 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_token_counts, op6_token_files, op7_bpe)}
+    return {f.__name__: f for f in (op1_minhash, op3_token_counts, op6_token_files, op7_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
