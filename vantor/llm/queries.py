@@ -11,6 +11,7 @@ from vantor.llm.bpe import bpe_digests
 from vantor.llm.common import scratch, shared_dir, table
 from vantor.llm.minhash import near_duplicates
 from vantor.llm.pfor import token_file_digests
+from vantor.llm.substrings import repeated_span_digests
 from vantor.llm.unigram import token_counts
 
 BPE, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
@@ -34,8 +35,13 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(table(spark, sf_dir, "documents"), public_tokenizers.path(BPE))
 
 
+def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with scratch(spark) as space:
+        return repeated_span_digests(space, table(spark, sf_dir, "documents")).checkpoint()
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash, op3_token_counts, op6_token_files, op7_bpe)}
+    return {f.__name__: f for f in (op1_minhash, op3_token_counts, op6_token_files, op7_bpe, op9_substrings)}
 
 
 def oracle_sql() -> dict[str, str]:
