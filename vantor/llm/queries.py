@@ -13,6 +13,8 @@ from vantor.llm.minhash import near_duplicates
 from vantor.llm.pfor import token_file_digests
 from vantor.llm.substrings import repeated_span_digests
 from vantor.llm.unigram import token_counts
+from vantor.llm.warc import read_archives, write_archives
+from vantor.llm.webp import media_digests
 
 BPE, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
 
@@ -26,6 +28,11 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES))
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with scratch(spark) as space:
+        return read_archives(space, write_archives(space, table(spark, sf_dir, "pages"))).checkpoint()
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     with scratch(spark) as space:
         return token_file_digests(space, table(spark, sf_dir, "documents"), public_tokenizers.path(BPE)).checkpoint()
@@ -40,8 +47,12 @@ def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
         return repeated_span_digests(space, table(spark, sf_dir, "documents")).checkpoint()
 
 
+def op10_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_digests(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash, op3_token_counts, op6_token_files, op7_bpe, op9_substrings)}
+    return {f.__name__: f for f in (op1_minhash, op3_token_counts, op4_warc, op6_token_files, op7_bpe, op9_substrings, op10_webp)}
 
 
 def oracle_sql() -> dict[str, str]:
