@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from vantor.llm.bpe import bpe_digests
 from vantor.llm.common import scratch, shared_dir, table
 from vantor.llm.minhash import near_duplicates
 from vantor.llm.pfor import token_file_digests
 from vantor.llm.substrings import repeated_span_digests
+from vantor.llm.templates import main_texts
 from vantor.llm.unigram import token_counts
 from vantor.llm.warc import read_archives, write_archives
 from vantor.llm.webp import media_digests
@@ -33,6 +35,11 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         return read_archives(space, write_archives(space, table(spark, sf_dir, "pages"))).checkpoint()
 
 
+def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with scratch(spark) as space:
+        return main_texts(space, table(spark, sf_dir, "pages")).withColumn("n_chars", F.char_length("text").cast("long")).checkpoint()
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     with scratch(spark) as space:
         return token_file_digests(space, table(spark, sf_dir, "documents"), public_tokenizers.path(BPE)).checkpoint()
@@ -52,7 +59,7 @@ def op10_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash, op3_token_counts, op4_warc, op6_token_files, op7_bpe, op9_substrings, op10_webp)}
+    return {f.__name__: f for f in (op1_minhash, op3_token_counts, op4_warc, op5_main_text, op6_token_files, op7_bpe, op9_substrings, op10_webp)}
 
 
 def oracle_sql() -> dict[str, str]:
