@@ -10,6 +10,8 @@ word's end back to the root gives its ids.
 from __future__ import annotations
 
 import json
+import sys
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import cached_property, lru_cache
 
@@ -19,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vantor.llm.common import chunks
-from vantor.llm.units import UnitMemory, shared_prefix
+from vantor.llm.units import LONGEST_UNIT, UnitMemory, shared_prefix
 
 
 def byte_letters() -> dict[int, str]:
@@ -29,9 +31,20 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+def little(ids: list[int]) -> bytes:
+    """Ids as little-endian unsigned 32-bit integers."""
+    out = array("I", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
+
+
 class TrieBpe:
     """A byte-level BPE vocabulary in the tokenizers library's file format."""
 
+    #: Units and pre-tokens whose ids are remembered between batches.
+    MOST_UNITS, MOST_WORDS = 800_000, 400_000
+
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
@@ -45,10 +58,12 @@ class TrieBpe:
         self.tokens = {i: t for t, i in self.ids.items()}
         pairs = (m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"])
         self.ranks = {(self.ids[a], self.ids[b]): (rank, self.ids[a + b]) for rank, (a, b) in enumerate(pairs)}
-        self.lengths = sorted({len(t) for t in self.ids}, reverse=True)
+        self.sizes = {i: len(t) for t, i in self.ids.items()}
+        self.longest = max(self.sizes.values())
         self.alone: dict[int, bool] = {}
         self.follows: dict[tuple[int, int], bool] = {}
-        self.memory = UnitMemory(self.encode_units)
+        self.memory = UnitMemory(self.encode_units, self.MOST_UNITS)
+        self.words: dict[str, bytes] = {}
 
     def merged(self, ids: list[int]) -> list[int]:
         """Plain BPE: the pair of lowest rank is merged, left to right, until none is left."""
@@ -82,21 +97,23 @@ class TrieBpe:
     def encode_words(self, words: Iterable[str]) -> dict[str, list[int]]:
         """Ids of each distinct word, given in byte letters."""
         out, before, last = {}, "", [-1]  # last[i]: last token of the encoding of the first i letters
-        find, sizes, longest = self.ids.get, self.tokens, self.lengths[0]
+        find, size, longest, known = self.ids.get, self.sizes, self.longest, self.follows.get
         for word in sorted(set(words)):
             del last[shared_prefix(before, word) + 1 :]
             for end in range(len(last), len(word) + 1):
-                for n in range(min(end, longest), 0, -1):
-                    token = find(word[end - n : end])
-                    if token is not None and (self.may_follow(last[end - n], token) if end > n else self.stands_alone(token)):
-                        last.append(token)
-                        break
+                for start in range(max(0, end - longest), end):
+                    token = find(word[start:end])
+                    if token is not None:
+                        fits = known((last[start], token)) if start else self.stands_alone(token)
+                        if fits or fits is None and self.may_follow(last[start], token):
+                            last.append(token)
+                            break
                 else:
                     raise ValueError(f"no token may end {word[:end][-40:]!r}: the vocabulary lacks a byte")
             before, at, ids = word, len(word), []
             while at:
                 ids.append(last[at])
-                at -= len(sizes[last[at]])
+                at -= size[last[at]]
             out[word] = ids[::-1]
         return out
 
@@ -104,8 +121,14 @@ class TrieBpe:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         split = self.library.pre_tokenizer.pre_tokenize_str
         cut = [[w for w, _ in split(u)] for u in units]
-        known = {w: np.array(ids, "<u4").tobytes() for w, ids in self.encode_words(w for words in cut for w in words).items()}
-        return [b"".join([known[w] for w in words]) for words in cut]
+        if len(self.words) > self.MOST_WORDS:
+            self.words.clear()
+        known = self.words
+        known |= {w: little(ids) for w, ids in self.encode_words({w for words in cut for w in words} - known.keys()).items()}
+        out = [known[words[0]] if len(words) == 1 else b"".join([known[w] for w in words]) for words in cut]
+        for w in {w for words in cut for w in words if len(w) > LONGEST_UNIT}:
+            del known[w]
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text; an added token's own text gives that token, as the library has it."""
@@ -119,7 +142,7 @@ class TrieBpe:
     def _with_added(self, text: str) -> bytes:
         for content, token in self.added.items():
             if content in text:
-                return np.array([token], "<u4").tobytes().join(self._with_added(part) if part else b"" for part in text.split(content))
+                return little([token]).join(self._with_added(part) if part else b"" for part in text.split(content))
         return b"".join(self.memory.values([text])[0])
 
     @cached_property
