@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from pathlib import Path
 
@@ -109,3 +109,15 @@ BROADCAST_ROWS = 1_000_000
 def bounded(ids: DataFrame) -> DataFrame:
     """ids, marked for a broadcast if a count shows that they are few; else Spark shuffles both sides."""
     return F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
+
+
+def with_value(docs: DataFrame, text_col: str, work_out: Callable[[list[str | None]], list], kind: pa.DataType, ddl: str) -> DataFrame:
+    """(row, value): each whole row as a struct, whatever its columns are called, and what work_out has for its text. Narrow."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches, "row"):
+            text = batch.column("row").field(text_col)
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(work_out(text.to_pylist()), kind)], ["row", "value"])
+
+    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    return packed.mapInArrow(run, f"row {packed.schema[0].dataType.simpleString()}, value {ddl}")

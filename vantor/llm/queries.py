@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 
 from vantor.llm.bpe import bpe_digests
 from vantor.llm.common import scratch, shared_dir, table
+from vantor.llm.leaks import leak_report
 from vantor.llm.minhash import near_duplicates
 from vantor.llm.pfor import token_file_digests
 from vantor.llm.substrings import repeated_span_digests
 from vantor.llm.templates import main_texts
+from vantor.llm.toxicity import held_out, toxicity
 from vantor.llm.unigram import token_counts
 from vantor.llm.warc import read_archives, write_archives
 from vantor.llm.webp import media_digests
@@ -26,6 +28,10 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
         return near_duplicates(space, table(spark, sf_dir, "documents"), width=3, percent=85).checkpoint()
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES))
 
@@ -49,6 +55,10 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(table(spark, sf_dir, "documents"), public_tokenizers.path(BPE))
 
 
+def op8_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leak_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     with scratch(spark) as space:
         return repeated_span_digests(space, table(spark, sf_dir, "documents")).checkpoint()
@@ -59,8 +69,19 @@ def op10_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash, op3_token_counts, op4_warc, op5_main_text, op6_token_files, op7_bpe, op9_substrings, op10_webp)}
+    return {f.__name__: f for f in (op1_minhash, op2_toxicity, op3_token_counts, op4_warc, op5_main_text, op6_token_files, op7_bpe, op8_leaks, op9_substrings, op10_webp)}
+
+
+WARC_SQL = """
+with p as (select page_id, coalesce(html, '') as html from pages),
+d as (select page_id, strlen(html) as payload_bytes, sha256(html) as payload_digest from p),
+g as (select payload_digest, min(page_id) as first from d where payload_bytes >= 100 and page_id is not null group by payload_digest)
+select d.page_id, d.payload_bytes, d.payload_digest,
+  case when g.first < d.page_id then 'revisit' else 'response' end as record_type,
+  case when g.first < d.page_id then g.first end as refers_to
+from d left join g on d.payload_digest = g.payload_digest and d.payload_bytes >= 100
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_warc": WARC_SQL}
