@@ -1,0 +1 @@
+"""Vector search and similarity analytics on Spark DataFrames."""
