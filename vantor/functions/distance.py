@@ -13,6 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 class Metric(StrEnum):
@@ -87,7 +88,7 @@ def hamming_sign(a, b) -> Column:
     return _over(a, b, lambda x, y: ((x > 0) != (y > 0)).cast("double"))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def hamming_bits(a: pd.Series, b: pd.Series) -> pd.Series:
     """How many 32-bit floats differ in their bits, over the shorter length: -0 and 0 differ, equal NaNs don't.
 

@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vantor.functions.distance import _column
 
@@ -101,7 +102,7 @@ def crc32c_bytes(data: list[bytes], start: np.ndarray | None = None) -> np.ndarr
     return out
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def crc32c(data: pd.Series) -> pd.Series:
     """CRC-32C of a binary column, unsigned."""
     known = data.notna()
@@ -111,7 +112,7 @@ def crc32c(data: pd.Series) -> pd.Series:
     return out
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def crc32c_combine(crc: pd.Series, data: pd.Series) -> pd.Series:
     """The checksum of what crc is of, followed by data."""
     known = data.notna() & crc.notna()

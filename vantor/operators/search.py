@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,8 +54,6 @@ def batch_knn(rows: DataFrame, queries: DataFrame, k: int, *, metric: Metric | s
 
 def by_function(accept: Callable[[int, object], bool], *columns: str) -> Column:
     """A predicate from a Python function of some columns, for what columns can't say; it can't be pushed to the scan."""
-    import pandas as pd
-
     @F.pandas_udf("boolean")
     def run(*series: pd.Series) -> pd.Series:
         return pd.Series([bool(accept(*values)) for values in zip(*series, strict=True)])

@@ -5,6 +5,7 @@ from __future__ import annotations
 import struct
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -114,19 +115,15 @@ def from_bytes(data: bytes) -> np.ndarray | None:
 
 def encoded(a: DataFrame, *, optimise: bool = False) -> DataFrame:
     """(high, bytes): the set in the byte format, one row for each 65,536 ids; values outside of 32 bits fail."""
-    import pandas as pd
-
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"high": [int(pdf["value"].iloc[0]) >> 16], "bytes": [to_bytes(pdf["value"].to_numpy(np.int64), optimise=optimise)]})
 
     sound = F.when(F.col("value").between(0, (1 << 32) - 1), F.col("value")).otherwise(F.raise_error(F.lit("an id outside of 32 bits")).cast("long"))
-    return a.select(sound.alias("value")).withColumn("h", F.shiftright("value", 16)).groupBy("h").applyInPandas(lambda pdf: pack(pdf), "high long, bytes binary")
+    return a.select(sound.alias("value")).withColumn("h", F.shiftright("value", 16)).groupBy("h").applyInPandas(pack, "high long, bytes binary")
 
 
 def decoded(rows: DataFrame, column: str = "bytes") -> DataFrame:
     """(value) of sets in the byte format; bytes that aren't a set give nothing."""
-    import pandas as pd
-
     @F.pandas_udf("array<long>")
     def values(data: pd.Series) -> pd.Series:
         return data.map(lambda d: None if d is None or (v := from_bytes(bytes(d))) is None else v.astype(np.int64))
