@@ -58,7 +58,7 @@ def bit(bitmap: Column | str, place: Column | int) -> Column:
     """Whether a bit of a binary column is set; the lowest bit of the first byte is 0, and past the end none is."""
     bitmap, place = F.col(bitmap) if isinstance(bitmap, str) else bitmap, place if isinstance(place, Column) else F.lit(place)
     byte = F.conv(F.hex(F.substring(bitmap, (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("long")
-    return F.coalesce(F.get_bit(byte, (place % 8).cast("int")) == 1, F.lit(False))
+    return F.coalesce(F.getbit(byte, (place % 8).cast("int")) == 1, F.lit(False))
 
 
 # Fixed values of the byte format: kinds of chunks, and the most values that a list holds.
