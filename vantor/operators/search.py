@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +14,7 @@ from vantor.functions.distance import Metric, distance
 
 #: Query vectors of a batch that are sent to all tasks at once; more go in several passes over the collection.
 QUERY_BLOCK = 4096
+KEYS = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
 
 
 def knn(rows: DataFrame, query: Sequence[float], k: int, *, metric: Metric | str = Metric.L2, dimension: int | None = None, where: Column | None = None, id_col: str = "id", vector_col: str = "embedding") -> DataFrame:
@@ -31,24 +34,71 @@ def knn(rows: DataFrame, query: Sequence[float], k: int, *, metric: Metric | str
 
 
 def batch_knn(rows: DataFrame, queries: DataFrame, k: int, *, metric: Metric | str = Metric.L2, where: Column | None = None, id_col: str = "id", vector_col: str = "embedding", query_id: str = "query_id", query_vector: str = "query") -> DataFrame:
-    """(query_id, id, rank, score): the k nearest rows of each query.
+    """(query_id, id, rank, score): the k nearest rows of each query, nearest first, ties by id, NaN last.
 
-    Queries are counted and dealt to blocks of about QUERY_BLOCK by a hash of their id; each block is broadcast to one
-    pass over the rows, and each pass keeps k rows for each query and task before anything is shuffled.
+    Queries are counted and dealt to blocks of about QUERY_BLOCK by a hash of their id. A block is sent to every task,
+    which scores each Arrow batch of rows against it by one matrix product and keeps k rows for each query, so only
+    those are shuffled. Rows and queries of different lengths don't meet; null vectors or ids find nothing.
     """
     if k <= 0:
-        return rows.crossJoin(queries.limit(0)).select(F.col(query_id).alias("query_id"), F.col(id_col).alias("id"), F.lit(0).alias("rank"), F.lit(0.0).alias("score"))
+        return queries.limit(0).select(F.col(query_id).alias("query_id"), F.lit(0).cast("long").alias("id"), F.lit(0).alias("rank"), F.lit(0.0).alias("score"))
     if where is not None:
         rows = rows.where(where)
-    held = queries.select(F.col(query_id).alias("query_id"), F.col(query_vector).alias("__q"))
+    metric = Metric.parse(str(metric))
+    plain = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where("id is not null and v is not null and not exists(v, x -> x is null)")
+    held = queries.select(F.col(query_id).alias("query_id"), F.col(query_vector).cast("array<double>").alias("q")).where("query_id is not null and q is not null and not exists(q, x -> x is null)")
     blocks = max(1, -(-held.count() // QUERY_BLOCK))
-    near = Window.partitionBy("query_id").orderBy(F.col("score").asc_nulls_last(), "id")
+    key = held.schema["query_id"].dataType.simpleString()
     out = None
     for b in range(blocks):
-        block = held.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b) if blocks > 1 else held
-        scored = rows.join(F.broadcast(block), F.size(vector_col) == F.size("__q")).select("query_id", F.col(id_col).alias("id"), distance(metric)(F.col(vector_col), F.col("__q")).alias("score"))
-        best = scored.withColumn("rank", F.row_number().over(near)).where(F.col("rank") <= k).select("query_id", "id", "rank", "score")
-        out = best if out is None else out.unionByName(best)
+        block = held.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).collect()
+        by_size: dict[int, tuple[list, list]] = {}
+        for r in block:
+            ids, vectors = by_size.setdefault(len(r.q), ([], []))
+            ids.append(r.query_id)
+            vectors.append(r.q)
+        sent = rows.sparkSession.sparkContext.broadcast({n: (ids, np.array(v, float).reshape(len(ids), n)) for n, (ids, v) in by_size.items()})
+
+        def nearest(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            best: dict[int, tuple[np.ndarray, np.ndarray]] = {}  # for each length: ids and scores, (queries, k at most)
+            for batch in batches:
+                sizes, flat = batch.column("v").value_lengths().to_numpy(), batch.column("v").flatten().to_numpy(zero_copy_only=False)
+                ids, starts = batch.column("id").to_numpy(), np.cumsum(sizes) - sizes
+                for n, (_, q) in sent.value.items():
+                    at = np.flatnonzero(sizes == n)
+                    for i in range(0, len(at), 4096):
+                        some = at[i : i + 4096]
+                        scores = pairwise(metric, q, flat[starts[some][:, None] + np.arange(n)[None, :]].reshape(len(some), n))
+                        names = np.broadcast_to(ids[some], scores.shape)
+                        if n in best:
+                            names, scores = np.concatenate((best[n][0], names), axis=1), np.concatenate((best[n][1], scores), axis=1)
+                        order = np.lexsort((names, scores), axis=1)[:, :k]
+                        best[n] = np.take_along_axis(names, order, 1), np.take_along_axis(scores, order, 1)
+            for n, (names, scores) in best.items():
+                keys = [x for x in sent.value[n][0] for _ in range(names.shape[1])]
+                yield pa.RecordBatch.from_pydict({"query_id": keys, "id": names.ravel(), "score": scores.ravel()}, schema=pa.schema([("query_id", KEYS[key]), ("id", pa.int64()), ("score", pa.float64())]))
+
+        found = plain.mapInArrow(nearest, f"query_id {key}, id long, score double")
+        out = found if out is None else out.unionByName(found)
+    near = Window.partitionBy("query_id").orderBy("score", "id")
+    return out.withColumn("rank", F.row_number().over(near)).where(F.col("rank") <= k).select("query_id", "id", "rank", "score")
+
+
+def pairwise(metric: Metric, q: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Scores (queries, rows) in double precision, as the column builders have them."""
+    if metric is Metric.DOT:
+        return 0.0 - q @ v.T
+    if metric is Metric.COSINE:
+        size = np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(v, axis=1)[None, :]
+        return 1 - np.where(size == 0, 0, q @ v.T / np.where(size == 0, 1, size))
+    if metric is Metric.HAMMING:
+        a, b = (q > 0).astype(float), (v > 0).astype(float)
+        return a.sum(axis=1)[:, None] + b.sum(axis=1)[None, :] - 2 * a @ b.T
+    # differences rather than |q|^2 + |v|^2 - 2qv, which loses the digits of near pairs
+    out = np.empty((len(q), len(v)))
+    for i, x in enumerate(q):
+        d = v - x
+        out[i] = np.abs(d).sum(axis=1) if metric is Metric.MANHATTAN else np.sqrt(np.einsum("ij,ij->i", d, d))
     return out
 
 
