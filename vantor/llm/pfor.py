@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vantor.llm.common import Scratch, chunks
+from vantor.llm.common import Scratch, chunks, claim
 from vantor.llm.units import UnitMemory
 
 MAGIC, BLOCK, EXACT_SHARE = b"VPF1", 4096, 0.97
@@ -75,21 +75,23 @@ class BlockWriter:
         self.out.write(data)
         self.at += len(data)
 
-    def add(self, doc_id: int | None, ids: np.ndarray) -> None:
-        self.docs.append((doc_id, len(ids)))
-        self.total += len(ids)
+    def add(self, doc_id: int | None, ids: bytes) -> None:
+        """ids: little-endian unsigned 32-bit integers."""
+        n = len(ids) // 4
+        self.docs.append((doc_id, n))
+        self.total += n
         self.held.append(ids)
-        self.n += len(ids)
+        self.n += n
         if self.n >= 16 * BLOCK:
             self.flush()
 
     def flush(self, end: bool = False) -> None:
-        values = np.concatenate(self.held) if self.held else np.zeros(0, np.uint32)
+        values = np.frombuffer(b"".join(self.held), "<u4")
         stop = len(values) if end else len(values) - len(values) % BLOCK
         for i in range(0, stop, BLOCK):
             self.blocks.append(self.at)
             self.put(write_block(values[i : min(i + BLOCK, stop)]))
-        self.held, self.n = [values[stop:]], len(values) - stop
+        self.held, self.n = [values[stop:].tobytes()], len(values) - stop
 
     def close(self) -> None:
         self.flush(end=True)
@@ -179,23 +181,28 @@ class LibraryEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         alone = [any(a in t for a in self.added) for t in texts]
-        shared = (b"".join(v) for v in self.memory.values([t for t, x in zip(texts, alone, strict=True) if not x]))
+        shared = iter(self.memory.joined([t for t, x in zip(texts, alone, strict=True) if not x]))
         return [np.array(self.library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() if x else next(shared) for t, x in zip(texts, alone, strict=True)]
 
 
-@lru_cache(maxsize=2)
-def encoder(path: str) -> LibraryEncoder:
+@lru_cache(maxsize=1)
+def _encoder(path: str) -> LibraryEncoder:
     """One for each Python worker."""
     return LibraryEncoder(path)
 
 
+def encoder(path: str) -> LibraryEncoder:
+    claim("pfor", _encoder.cache_clear)
+    return _encoder(path)
+
+
 def write_token_files(space: Scratch, docs: DataFrame, path: str, *, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(part, path, n_docs, n_ids): one file for each range of doc_id, ranges and rows in ascending order (nulls first).
 
     The one shuffle deals whole texts by range of doc_id. A file is named for its task attempt, and the returned
     table, itself written out, names only those of attempts that succeeded.
     """
-    folder, end = space.folder("ids"), np.array([end_id], np.uint32)
+    folder, end = space.folder("ids"), struct.pack("<I", end_id)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
@@ -206,7 +213,7 @@ def write_token_files(space: Scratch, docs: DataFrame, path: str, *, end_id: int
             for batch in chunks(batches, "text"):
                 ids = encoder(path).encode([t or "" for t in batch.column("text").to_pylist()])
                 for doc, x in zip(batch.column("doc_id").to_pylist(), ids, strict=True):
-                    writer.add(doc, np.concatenate((np.frombuffer(x, "<u4"), end)))
+                    writer.add(doc, x + end)
             writer.close()
         yield pa.RecordBatch.from_pydict({"part": [task.partitionId()], "path": [at], "n_docs": [len(writer.docs)], "n_ids": [writer.total]})
 

@@ -28,26 +28,27 @@ class UnitMemory:
     def __init__(self, work_out: Callable[[list[str]], list], most: int = 300_000) -> None:
         self.work_out, self.most, self.rest, self.head = work_out, most, {}, {}
 
-    def values(self, texts: list[str]) -> list[list]:
-        """The value of each unit of each text, in order."""
+    def joined(self, texts: list[str]) -> list[bytes]:
+        """The values of each text's units, joined in order."""
         cut = [split(t) for t in texts]
         if len(self.rest) + len(self.head) > self.most:
             self.rest.clear()
             self.head.clear()
-        heads = {u[0] for u in cut}
-        rests = set().union(*(u[1:] for u in cut))
+        heads = [u.pop(0) for u in cut]
         large = {}
-        for known, new, lead in ((self.head, heads - self.head.keys(), ""), (self.rest, rests - self.rest.keys(), " ")):
-            new = sorted(new)
+        for known, new, lead in ((self.head, set(heads) - self.head.keys(), ""), (self.rest, set().union(*cut) - self.rest.keys(), " ")):
+            new = list(new)
             for unit, value in zip(new, self.work_out([lead + u for u in new]) if new else (), strict=True):
                 if len(unit) <= LONGEST_UNIT:
                     known[unit] = value
                 else:
                     large[lead, unit] = value
-        if not large:
-            get = self.rest.__getitem__
-            return [[self.head[u[0]], *map(get, u[1:])] for u in cut]
-        return [[self.head[u[0]] if u[0] in self.head else large["", u[0]], *(self.rest[x] if x in self.rest else large[" ", x] for x in u[1:])] for u in cut]
+        if large:
+            head = lambda u: self.head[u] if u in self.head else large["", u]
+            rest = lambda u: self.rest[u] if u in self.rest else large[" ", u]
+        else:
+            head, rest = self.head.__getitem__, self.rest.__getitem__
+        return [head(h) + b"".join(map(rest, u)) for h, u in zip(heads, cut, strict=True)]
 
 
 def shared_prefix(a, b) -> int:
