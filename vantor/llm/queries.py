@@ -83,5 +83,31 @@ from d left join g on d.payload_digest = g.payload_digest and d.payload_bytes >=
 """
 
 
+NEAR_SQL = r"""
+with recursive w as (select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as ws from documents),
+s as (select doc_id, case when len(ws) = 0 then [] when len(ws) < 3 then [array_to_string(ws, ' ')]
+  else list_distinct(list_transform(range(1, len(ws) - 1), lambda i: array_to_string(ws[i:i + 2], ' '))) end as ss from w),
+e as (select doc_id, len(ss) as n, unnest(ss) as shingle from s),
+p as (select a.doc_id as a, b.doc_id as b, any_value(a.n) as x, any_value(b.n) as y, count(*) as c from e a join e b on a.shingle = b.shingle and a.doc_id < b.doc_id group by 1, 2),
+l as (select a, b from p where 100 * c >= 85 * (x + y - c)),
+links as (select a, b from l union all select b, a from l),
+r as (select doc_id, doc_id as other from s union select r.doc_id, links.b from r join links on r.other = links.a),
+c as (select doc_id, min(other) as component_id from r group by doc_id)
+select s.doc_id, len(ss)::bigint as n_shingles, component_id, s.doc_id = component_id as kept from s join c using (doc_id)
+"""
+
+SPANS_SQL = r"""
+with w as (select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as ws from documents),
+i as (select doc_id, ws, unnest(range(1, len(ws) - 48)) as i from w where len(ws) >= 50),
+v as (select doc_id, i, md5(array_to_string(ws[i:i + 49], ' ')) as h from i),
+f as (select h, min(doc_id) as first from v group by h),
+hit as (select v.doc_id, v.i from v join f using (h) where f.first < v.doc_id),
+t as (select doc_id, unnest(ws) as word, unnest(range(1, len(ws) + 1)) as p from w),
+g as (select t.doc_id, t.p, t.word, coalesce(max(hit.i) over (partition by t.doc_id order by t.p) >= t.p - 49, false) as gone from t left join hit on t.doc_id = hit.doc_id and t.p = hit.i),
+k as (select doc_id, count(*) filter (gone) as n_removed, string_agg(word, ' ' order by p) filter (not gone) as kept from g group by doc_id)
+select w.doc_id, len(ws)::bigint as n_words, coalesce(n_removed, 0)::bigint as n_removed, sha256(coalesce(kept, '')) as kept_sha256 from w left join k using (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_warc": WARC_SQL}
+    return {"op1_minhash": NEAR_SQL, "op4_warc": WARC_SQL, "op9_substrings": SPANS_SQL}
