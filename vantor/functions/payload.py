@@ -101,3 +101,27 @@ def compare(a: Column, b: Column) -> Column:
 def equal(a: Column, b: Column) -> Column:
     """Same kind and value: the whole number 1 isn't the fraction 1.0, though neither is less."""
     return F.coalesce((kind(a) == kind(b)) & (F.to_json(a) == F.to_json(b)), F.lit(False))
+
+
+def fields(payload: Column | str) -> Column:
+    """The payload as a map of VARIANTs; NULL for what isn't an object."""
+    return F.from_json(F.to_json(_column(payload)), "map<string, variant>")
+
+
+def from_map(values: Column) -> Column:
+    """A payload of a map's entries."""
+    return F.to_variant_object(values)
+
+
+def length(payload: Column | str) -> Column:
+    return F.size(F.map_keys(fields(payload)))
+
+
+def remove(payload: Column | str, key: str) -> Column:
+    return from_map(F.map_filter(fields(payload), lambda k, _: k != key))
+
+
+def put(payload: Column | str, key: str, value: Column) -> Column:
+    """With the field set to a VARIANT, in place of what it was."""
+    rest = F.map_filter(fields(payload), lambda k, _: k != key)
+    return from_map(F.map_concat(rest, F.create_map(F.lit(key), value)))

@@ -18,9 +18,14 @@ def live(log: DataFrame, *, order: str = "seq", op: str = "op", id_col: str = "i
     return last.where(F.col(f"r.{op}") != "delete").select(*(F.col(f"r.{c}") for c in log.columns if c not in (order, op)))
 
 
+#: Sets of ids of at most so many rows may be broadcast.
+BROADCAST_ROWS = 1_000_000
+
+
 def without(rows: DataFrame, tombstones: DataFrame, id_col: str = "id") -> DataFrame:
-    """Rows whose id has no tombstone."""
-    return rows.join(tombstones.select(id_col).distinct(), id_col, "left_anti")
+    """Rows whose id has no tombstone. A count decides whether tombstones are sent to the rows or both are shuffled."""
+    ids = tombstones.select(id_col).distinct()
+    return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, id_col, "left_anti").select(rows.columns)
 
 
 def counts(log: DataFrame, *, order: str = "seq", op: str = "op", id_col: str = "id") -> DataFrame:

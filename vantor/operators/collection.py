@@ -26,23 +26,33 @@ class SearchParams:
 
 @dataclass(frozen=True)
 class Collection:
-    """An immutable view: changes give a new collection over a longer log; nothing runs before an action.
+    """An immutable view: rows as they were loaded, and a log of what changed since. Changes give a new collection.
 
-    The log has the columns (seq, op, id, embedding, payload); payload may be of any type.
+    base has the columns (id, embedding, payload), each id once; log also (seq, op), for changes after base. payload
+    may be of any type. Nothing runs before an action but the counts that decide on a broadcast.
     """
 
-    log: DataFrame
+    base: DataFrame
     dimension: int
     metric: Metric = Metric.L2
+    log: DataFrame | None = None
 
     @classmethod
     def over(cls, rows: DataFrame, dimension: int, metric: Metric | str = Metric.L2, *, id_col: str = "id", vector_col: str = "embedding", payload: Column | None = None) -> Collection:
-        """A collection of rows that are all inserts, in no particular order."""
-        kept = rows.select(F.lit(0).cast("long").alias("seq"), F.lit("insert").alias("op"), F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("embedding"), (F.lit(None).cast("string") if payload is None else payload).alias("payload"))
+        """A collection of rows without changes."""
+        kept = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("embedding"), (F.lit(None).cast("string") if payload is None else payload).alias("payload"))
         return cls(kept, dimension, Metric.parse(str(metric)))
 
     def live(self) -> DataFrame:
-        return changes.live(self.log)
+        """The rows as they are now: those of base that no change touches, which stay where they are while changed ids are few, and the log's live ones."""
+        if self.log is None:
+            return self.base
+        return changes.without(self.base, self.log).unionByName(changes.live(self.log))
+
+    def history(self) -> DataFrame:
+        """All changes, base's rows being the first inserts."""
+        first = self.base.select(F.lit(0).cast("long").alias("seq"), F.lit("insert").alias("op"), "*")
+        return first if self.log is None else first.unionByName(self.log)
 
     def search(self, query: Sequence[float], k: int, where: Column | None = None) -> DataFrame:
         """(id, score), nearest first. A query of another dimension finds nothing."""
@@ -73,20 +83,21 @@ class Collection:
 
     def delete(self, ids: Sequence[int] | DataFrame) -> Collection:
         """Tombstones. Of ids given as a list, one that isn't live is an error; of a table's, it is nothing."""
-        spark = self.log.sparkSession
+        spark = self.base.sparkSession
         if not isinstance(ids, DataFrame):
             wanted = {int(i) for i in ids}
             found = {r.id for r in self.live().where(F.col("id").isin(list(wanted))).select("id").collect()}
             if wanted - found:
                 raise NotFound(f"no live row has id {min(wanted - found)}")
             ids = spark.createDataFrame([(i,) for i in sorted(wanted)], "id long")
-        gone = ids.select("id", *(F.lit(None).cast(self.log.schema[c].dataType).alias(c) for c in ("embedding", "payload")))
+        gone = ids.select("id", *(F.lit(None).cast(self.base.schema[c].dataType).alias(c) for c in ("embedding", "payload")))
         return self._with(gone, "delete")
 
     def _with(self, rows: DataFrame, op: str) -> Collection:
-        at = (self.log.agg(F.max("seq")).first()[0] or 0) + 1
-        new = rows.select(F.lit(at).cast("long").alias("seq"), F.lit(op).alias("op"), F.col("id").cast("long").alias("id"), F.col("embedding").cast(self.log.schema["embedding"].dataType).alias("embedding"), F.col("payload") if "payload" in rows.columns else F.lit(None).cast(self.log.schema["payload"].dataType).alias("payload"))
-        return replace(self, log=self.log.unionByName(new))
+        at = 1 if self.log is None else (self.log.agg(F.max("seq")).first()[0] or 0) + 1
+        kinds = {c: self.base.schema[c].dataType for c in ("embedding", "payload")}
+        new = rows.select(F.lit(at).cast("long").alias("seq"), F.lit(op).alias("op"), F.col("id").cast("long").alias("id"), F.col("embedding").cast(kinds["embedding"]).alias("embedding"), F.col("payload") if "payload" in rows.columns else F.lit(None).cast(kinds["payload"]).alias("payload"))
+        return replace(self, log=new if self.log is None else self.log.unionByName(new))
 
     def checked_query(self, query: Sequence[float]) -> Sequence[float]:
         """The query, or an error if its dimension is another one."""
@@ -102,5 +113,5 @@ class Collection:
 
     def stats(self) -> DataFrame:
         """(metric, dimension, stored, deleted, live, size_bytes): four bytes for an element, eight for an id, of stored rows."""
-        sums = changes.counts(self.log)
+        sums = changes.counts(self.history())
         return sums.select(F.lit(str(self.metric)).alias("metric"), F.lit(self.dimension).alias("dimension"), "*", (F.col("stored") * (4 * self.dimension + 8)).alias("size_bytes"))

@@ -114,10 +114,9 @@ def safe_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _changed(spark: SparkSession, sf_dir: str) -> Collection:
     rows = vectors(spark, sf_dir).select("id", "embedding", F.col("label").cast("string").alias("payload"))
     one = F.lit(query_vector(spark, sf_dir)).cast("array<float>")
-    log = rows.select(F.lit(0).cast("long").alias("seq"), F.lit("insert").alias("op"), "*")
-    log = log.unionByName(rows.where("id % 7 = 0").select(F.lit(1).cast("long").alias("seq"), F.lit("delete").alias("op"), "id", F.lit(None).cast("array<float>").alias("embedding"), F.lit(None).cast("string").alias("payload")))
+    log = rows.where("id % 7 = 0").select(F.lit(1).cast("long").alias("seq"), F.lit("delete").alias("op"), "id", F.lit(None).cast("array<float>").alias("embedding"), F.lit(None).cast("string").alias("payload"))
     log = log.unionByName(rows.where("id % 11 = 0").select(F.lit(2).cast("long").alias("seq"), F.lit("update").alias("op"), "id", one.alias("embedding"), "payload"))
-    return Collection(log, 64)
+    return Collection(rows, 64, log=log)
 
 
 _SQL_LIVE = """with v as (select vec_id as id, label, case when vec_id % 11 = 0 then (select embedding from embeddings where vec_id = 0) else embedding end::double[] as e,
@@ -153,6 +152,12 @@ def payload_getters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _events(spark, sf_dir).select("event_id", V.kind(k).alias("kind"), V.as_int(k).alias("k"), V.as_str(k).alias("k_text"), V.contains_key("payload", "k").alias("has_k"), V.contains_key("payload", "z").alias("has_z"))
 
 
+def payload_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A field put in, one replaced, one taken out."""
+    p = V.put(V.put("payload", "n", F.parse_json(F.lit("1"))), "k", F.parse_json(F.lit('"new"')))
+    return _events(spark, sf_dir).select("event_id", V.length(p).alias("fields"), V.as_str(V.get(p, "k")).alias("k"), F.to_json(V.remove(p, "k")).alias("rest"))
+
+
 def payload_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _events(spark, sf_dir).where(V.as_int(V.get("payload", "k")).between(10, 19)).groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
 
@@ -313,7 +318,7 @@ def queries() -> dict[str, Query]:
             out[f"knn_{metric}"] = partial(_knn, metric)
     for name, (_, condition) in _WHERE.items():
         out[name] = lambda spark, sf_dir, condition=condition: _knn_where(F.expr(condition), spark, sf_dir)
-    for f in (knn_no_rows, knn_k_over_n, batch_knn_label, l2_squared_all, similarity_all, hamming_unequal, safe_distance, live_rows, live_counts, live_knn, tombstone_anti_join, payload_getters, payload_filter, payload_compare, payload_entries, sparse_measures, sparse_normalized, packed_distances, digests, base64_round_trip, xxhash_known, crc32c_known, shards, hash128_documents, set_union, set_intersection, set_difference, set_members, set_cardinality, set_runs, set_bytes, top_values, top_of_each, record_measures, schema_fields, enum_facts):
+    for f in (knn_no_rows, knn_k_over_n, batch_knn_label, l2_squared_all, similarity_all, hamming_unequal, safe_distance, live_rows, live_counts, live_knn, tombstone_anti_join, payload_getters, payload_changes, payload_filter, payload_compare, payload_entries, sparse_measures, sparse_normalized, packed_distances, digests, base64_round_trip, xxhash_known, crc32c_known, shards, hash128_documents, set_union, set_intersection, set_difference, set_members, set_cardinality, set_runs, set_bytes, top_values, top_of_each, record_measures, schema_fields, enum_facts):
         out[f.__name__] = f
     return out
 
@@ -346,6 +351,7 @@ def oracle_sql() -> dict[str, str]:
         "live_knn": f"{_SQL_LIVE} select id, {r.format('s')} as score from (select id, list_distance(e, q) as s from v where label <> 3 order by s, id limit 20)",
         "tombstone_anti_join": "select vec_id as id, label from embeddings where label not in (2, 5)",
         "payload_getters": "select event_id, 'int' as kind, json_extract(props, '$.k')::bigint as k, null::varchar as k_text, json_exists(props, '$.k') as has_k, json_exists(props, '$.z') as has_z from events",
+        "payload_changes": "select event_id, 2 as fields, 'new' as k, '{\"n\":1}' as rest from events",
         "payload_filter": "select event_type, count(*) as n, round(sum(value), 4) as total from events where json_extract(props, '$.k')::bigint between 10 and 19 group by event_type",
         "payload_compare": "select event_id, sign(json_extract(props, '$.k')::bigint - 50)::int as to_fifty, null::int as to_text, json_extract(props, '$.k')::bigint = 50 as is_fifty from events",
         "payload_entries": "select event_id, e.key as key, e.value::varchar as value from events, json_each(props) e",
