@@ -24,10 +24,11 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vantor.llm.common import with_value
+from vantor.llm.common import claim, with_value
 
 ORDER, DECAY = 3, np.float32(0.7)
 DECAY2 = DECAY * DECAY
@@ -35,9 +36,9 @@ DECAY2 = DECAY * DECAY
 WINDOW = 16
 #: Bound of the training sample: labelled texts of each class, picked by a hash of their ids, and their sentences.
 SAMPLE, SENTENCES = 2000, 40_000
-#: Landmarks: witnesses, no two of them more alike than ALIKE, and clean units.
-#: A marked unit counts as a witness's variant if it is as similar as NEAR. SHARP: the kernel's fall with dissimilarity.
-LANDMARKS, NEGATIVE, ALIKE, NEAR, SHARP = 36, 12, 0.25, 0.1, 3.0
+#: Landmarks among the witnesses and among clean units.
+#: SHARP: the kernel's fall with dissimilarity.
+LANDMARKS, NEGATIVE, SHARP = 32, 12, 4.0
 
 #: Characters that training puts into witnesses.
 FOREIGN = "x1"
@@ -132,7 +133,7 @@ class Model:
     def margins(self, words: list[str]) -> np.ndarray:
         return self.similarities(words) @ np.array(self.weights) + self.bias
 
-    def best(self, texts: list[str], most: int = 400_000) -> list[float]:
+    def best(self, texts: list[str], most: int = 300_000) -> list[float]:
         """The largest margin of each text's units; minus infinity without any."""
         cut = [units(t) for t in texts]
         if len(self.known) > most:
@@ -187,12 +188,20 @@ def train(rows: list[tuple[int, str, int]], totals: dict[int, int]) -> Model | N
     None without two classes or without any unit that marks one.
     """
     docs: dict[tuple[int, int], set[str]] = {}
+    marks: dict[tuple[int, int], int] = {}
     for doc, sentence, label in rows:
-        docs.setdefault((doc, label), set()).update(w for u in units(sentence) for w in windows(u))
+        key, plain = (doc, label), sentence.lower().split()
+        docs.setdefault(key, set()).update(w for u in units(sentence) for w in windows(u))
+        # copies and near copies share the least hash of their runs of three words, and count as one text
+        runs = [xxhash.xxh3_64_intdigest(" ".join(plain[i : i + 3])) for i in range(max(1, len(plain) - 2))]
+        marks[key] = min(marks.get(key, 1 << 64), *runs)
     sample = Counter(label for _, label in docs)
     if not sample[0] or not sample[1]:
         return None
-    seen = {label: Counter(w for (_, z), words in docs.items() if z == label for w in words) for label in (0, 1)}
+    seen = {}
+    for label in (0, 1):
+        pairs = {(w, marks[key]) for key, words in docs.items() if key[1] == label for w in words}
+        seen[label] = Counter(w for w, _ in pairs)
     scale = {label: totals[label] / sample[label] for label in (0, 1)}
 
     def share(w: str) -> float:
@@ -201,25 +210,13 @@ def train(rows: list[tuple[int, str, int]], totals: dict[int, int]) -> Model | N
         return a / (a + b) - 3 * math.sqrt(a * b / (a + b) ** 2 / (seen[1][w] + seen[0][w] + 1))
 
     marked = sorted((w for w, n in seen[1].items() if n >= 5 and share(w) > 0.5), key=lambda w: (-seen[1][w], w))[: 20 * LANDMARKS]
-    # a unit that only comes with others that explain the label isn't a witness: each must explain texts anew
-    left = [words.intersection(marked) for (_, z), words in docs.items() if z]
-    witnesses = [w for w in marked if seen[1][w] >= 20 and share(w) > 0.85]
-    left = [words for words in left if words.isdisjoint(witnesses)]
-    while len(witnesses) < 2 * LANDMARKS:
-        word, n = max(Counter(w for words in left for w in words).items(), key=lambda x: (x[1], x[0]), default=("", 0))
-        if n < 5:
-            break
-        witnesses.append(word)
-        left = [words for words in left if word not in words]
-    if not witnesses:
+    if not marked:
         return None
-    like = Model(witnesses, own_kernel(witnesses).tolist(), [], 0.0, 1.0).similarities(marked).max(axis=1)
-    marked = witnesses + [w for w, k in zip(marked, like.tolist(), strict=True) if k >= NEAR and w not in set(witnesses)]
     like = Model(marked, own_kernel(marked).tolist(), [], 0.0, 1.0).similarities(marked)
-    picked: list[int] = []
-    for i in range(len(marked)):
-        if len(picked) < LANDMARKS and (like[i, picked] < ALIKE).all():
-            picked.append(i)
+    count, near, picked = np.array([seen[1][w] for w in marked], float), np.zeros(len(marked)), []
+    while len(picked) < min(LANDMARKS, len(marked)):  # frequent ones that no landmark is like yet
+        picked.append(int(np.argmax(count * (1 - near))))
+        near = np.maximum(near, like[:, picked[-1]])
     landmarks = [marked[i] for i in picked]
     model = Model(landmarks, own_kernel(landmarks).tolist(), [], 0.0, 1.0)
     clean = sorted(seen[0].keys() - set(marked))
@@ -232,7 +229,7 @@ def train(rows: list[tuple[int, str, int]], totals: dict[int, int]) -> Model | N
     half = vector @ np.diag(1 / np.sqrt(np.maximum(value, 1e-3))) @ vector.T
     # the marked units of toxic sentences against the nearest clean ones and an even choice of the others
     # and, as these may be disguised, each sure witness with one foreign character put in, unless a clean unit has that form
-    disguised = sorted({w[:i] + x + w[i:] for w in witnesses if share(w) > 0.9 for i in range(2, len(w) - 1) for x in FOREIGN} - seen[0].keys())
+    disguised = sorted({w[:i] + x + w[i:] for w in marked if share(w) > 0.9 for i in range(2, len(w) - 1) for x in FOREIGN} - seen[0].keys())
     words = marked + disguised + [clean[i] for i in order[:2000]] + [clean[i] for i in order[2000 :: max(1, len(order) // 2000)]]
     toxic = len(marked) + len(disguised)
     y = np.array([1.0] * toxic + [-1.0] * (len(words) - toxic))
@@ -284,16 +281,21 @@ def training_sentences(docs: DataFrame, labels: DataFrame, *, hold_out: int | No
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids[0].unionByName(ids[1])), "doc_id")
     cut = texts.select("doc_id", "toxic", F.explode(F.split("text", r"(?<=[.!?])\s+|\n")).alias("sentence")).where("trim(sentence) <> ''")
     cut = cut.select("doc_id", "toxic", F.substring("sentence", 1, 4000).alias("sentence"))  # only what is learnt from; scoring reads whole texts
-    picked = [cut.where(F.col("toxic") == c).orderBy(F.xxhash64("sentence", "doc_id"), "doc_id", "sentence").limit(SENTENCES) for c in (0, 1)]
+    picked = [cut.where(F.col("toxic") == c).orderBy(F.xxhash64("sentence"), "sentence", "doc_id").limit(SENTENCES) for c in (0, 1)]
     return [(r.doc_id, r.sentence, r.toxic) for r in picked[0].unionByName(picked[1]).collect()], totals
 
 
-@lru_cache(maxsize=4)
-def loaded(data: str) -> Model:
+@lru_cache(maxsize=1)
+def _loaded(data: str) -> Model:
     """One for each Python worker."""
     return Model(**json.loads(data))
 
 
+def loaded(data: str) -> Model:
+    claim("toxicity", _loaded.cache_clear)
+    return _loaded(data)
+
+
 def toxic_rows(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(row, score, predicted): each row as a struct, scored by its whole text with a model that is trained here on labels.
 
