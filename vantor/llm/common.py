@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -13,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Python workers hand back batches of about this many bytes of text.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -121,3 +124,21 @@ def with_value(docs: DataFrame, text_col: str, work_out: Callable[[list[str | No
 
     packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
     return packed.mapInArrow(run, f"row {packed.schema[0].dataType.simpleString()}, value {ddl}")
+
+
+_HOLDER: list = []
+
+
+def claim(name: str, release: Callable[[], None]) -> None:
+    """Makes `name` the one operator that keeps tables in this Python worker; the one before gives its memory back.
+
+    Workers outlive their tasks and serve all operators of a job, whose memories would add up otherwise.
+    """
+    if _HOLDER and _HOLDER[0] == name:
+        return
+    if _HOLDER:
+        _HOLDER[1]()
+        gc.collect()
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL(None).malloc_trim(0)
+    _HOLDER[:] = [name, release]

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vantor.llm.common import with_value
+from vantor.llm.common import claim, with_value
 
 PIECE, ERROR_WORDS = 5, 6
 #: Items of so many at a time are sent to the tasks.
@@ -141,6 +141,7 @@ _HELD: dict[int, tuple[list, Items]] = {}
 
 def _items(sent) -> Items:
     """The tables of a block, made once for each Python worker and block."""
+    claim("leaks", _HELD.clear)
     block = sent.value
     if id(block) not in _HELD or _HELD[id(block)][0] is not block:
         if len(_HELD) > 1:

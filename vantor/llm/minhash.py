@@ -27,7 +27,7 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vantor.llm.common import Scratch, bounded, chunks, components
+from vantor.llm.common import Scratch, bounded, chunks, claim, components
 
 #: Slots of the circle; sets much larger than this only get more candidates, never fewer.
 SLOTS = 1 << 21
@@ -54,12 +54,17 @@ class CirculantMinHash:
         return np.minimum.reduce([self.runs[slots[i : i + 2048]].min(axis=0) for i in range(0, len(slots), 2048)])
 
 
-@lru_cache(maxsize=2)
-def hasher(coordinates: int) -> CirculantMinHash:
+@lru_cache(maxsize=1)
+def _hasher(coordinates: int) -> CirculantMinHash:
     """One for each Python worker."""
     return CirculantMinHash(coordinates)
 
 
+def hasher(coordinates: int) -> CirculantMinHash:
+    claim("minhash", _hasher.cache_clear)
+    return _hasher(coordinates)
+
+
 def shingle_set(text: str | None, width: int) -> np.ndarray:
     """Sorted 64-bit hashes of the distinct runs of `width` words; ASCII letters are lower-cased, ASCII white space separates.
 

@@ -165,20 +165,31 @@ class LibraryEncoder:
                     cores.append(core)
             else:
                 cores.append(u)
-        for start in ("", " "):  # the first unit of a text has no space before it, and joins none
-            wanted = sorted({u for u in cores if (u[:1] == " ") == bool(start)})
-            for i in range(0, len(wanted), self.CALL if start else 1):
-                some = wanted[i : i + (self.CALL if start else 1)]
-                ids = np.array(self.library.encode("".join(some), add_special_tokens=False).ids, "<u4")
-                ends, data = np.searchsorted(np.cumsum(self.sizes[ids]), np.cumsum([len(u.encode()) for u in some])), ids.tobytes()
-                ends = (4 * ends + 4).tolist() if len(ids) else [0]
-                found |= {u: data[a:b] for u, a, b in zip(some, [0, *ends], ends, strict=False)}
+        wanted = set(cores)
+        spaced = {u for u in wanted if u[:1] == " "}
+        lines = {u for u in wanted - spaced if u and not any(map(str.isspace, u))}
+        self._encode_joined(sorted(spaced), "", found)
+        self._encode_joined(sorted(lines), "\n", found)  # without white space of their own, line feeds part them
+        for u in wanted - spaced - lines:
+            found[u] = np.array(self.library.encode(u, add_special_tokens=False).ids, "<u4").tobytes()
         for u, (core, tail) in tails.items():
             if tail not in self.marks:
                 self.marks[tail] = np.array(self.library.encode(tail, add_special_tokens=False).ids, "<u4").tobytes()
             found[u] = (found.get(core) or known[core[1:]]) + self.marks[tail]
         return [found[u] for u in units]
 
+    def _encode_joined(self, units: list[str], between: str, found: dict[str, bytes]) -> None:
+        for i in range(0, len(units), self.CALL):
+            some = units[i : i + self.CALL]
+            ids = np.array(self.library.encode(between.join(some), add_special_tokens=False).ids, "<u4")
+            stops, gap = np.cumsum(self.sizes[ids]), len(between)
+            sizes = np.array([len(u.encode()) for u in some])
+            starts = np.cumsum(sizes + gap) - sizes - gap
+            first = np.searchsorted(stops - self.sizes[ids], starts)
+            last = np.searchsorted(stops, starts + sizes) + 1
+            data = ids.tobytes()
+            found |= {u: data[a:b] for u, a, b in zip(some, (4 * first).tolist(), (4 * last).tolist(), strict=True)}
+
     def encode(self, texts: list[str]) -> list[bytes]:
         alone = [any(a in t for a in self.added) for t in texts]
         shared = iter(self.memory.joined([t for t, x in zip(texts, alone, strict=True) if not x]))

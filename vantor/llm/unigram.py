@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vantor.llm.common import chunks
+from vantor.llm.common import chunks, claim
 from vantor.llm.units import shared_prefix
 
 #: Stands for the white space before a word in the vocabulary's pieces.
@@ -70,12 +70,17 @@ class TrieUnigram:
         return [(len(ws), sum(self.known[w] if w in self.known else large[w] for w in ws)) for ws in cut]
 
 
-@lru_cache(maxsize=2)
-def model(path: str) -> TrieUnigram:
+@lru_cache(maxsize=1)
+def _model(path: str) -> TrieUnigram:
     """One for each Python worker."""
     return TrieUnigram(path)
 
 
+def model(path: str) -> TrieUnigram:
+    claim("unigram", _model.cache_clear)
+    return _model(path)
+
+
 def token_counts(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_pretokens, n_tokens) of each row's whole text, in one narrow pass.
 
