@@ -324,7 +324,7 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    r = f"round({{}}, {PLACES}) + 0.0"
+    r = f"round(({{}})::double, {PLACES}) + 0.0"
     near = lambda d, where="true", k=10: f"{_SQL_PAIRS} select id, {r.format('s')} as score from (select id, {d} as s from r where {where} order by s, id limit {k})"
     out = {}
     for metric, d in _SQL_DISTANCE.items():
