@@ -38,32 +38,37 @@ WINDOW = 16
 SAMPLE, SENTENCES = 2000, 40_000
 #: Landmarks among the witnesses and among clean units.
 #: SHARP: the kernel's fall with dissimilarity.
-LANDMARKS, NEGATIVE, SHARP = 32, 12, 4.0
+LANDMARKS, NEGATIVE, SHARP = 32, 8, 4.0
 
 #: Characters that training puts into witnesses.
 FOREIGN = "x1"
 
-SPACED = re.compile(r"(?:(?<=\s)|^)(\S(?:[^\S\n]\S){2,})(?=\s|$)")
+SPACED = re.compile(r"(?<!\S)\S(?:[^\S\n]\S){2,}(?!\S)")
 #: Marks between letters: the word counts without them too.
 GAP = re.compile(r"[^\W_][\W_]+[^\W_]")
 EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 
 
 def units(text: str) -> set[str]:
-    """Distinct units of a text, lower-cased, without marks at their ends, cut to windows."""
+    """Distinct units of a text, lower-cased."""
     text = text.lower()
     words = set(text.split())
-    words |= {re.sub(r"[\W_]+", "", w) for w in words if GAP.search(w)}
     if SPACED.search(text):
-        words |= {re.sub(r"\s", "", m[1]) for m in SPACED.finditer(text)}
+        words |= {re.sub(r"\s", "", m[0]) for m in SPACED.finditer(text)}
     return words
 
 
 def windows(unit: str) -> list[str]:
+    """What of a unit is compared: it without marks at its ends, and without any where they stand between letters, cut to windows."""
     unit = EDGE.sub("", unit)
-    if len(unit) <= WINDOW:
-        return [unit] if len(unit) >= ORDER else []
-    return [unit[i : i + WINDOW] for i in range(0, len(unit) - WINDOW // 2, WINDOW // 2)]
+    forms = [unit, re.sub(r"[\W_]+", "", unit)] if GAP.search(unit) else [unit]
+    out = []
+    for form in forms:
+        if len(form) > WINDOW:
+            out += [form[i : i + WINDOW] for i in range(0, len(form) - WINDOW // 2, WINDOW // 2)]
+        elif len(form) >= ORDER:
+            out.append(form)
+    return out
 
 
 def codes(word: str) -> np.ndarray:
@@ -131,9 +136,10 @@ class Model:
         return np.exp(SHARP * (np.minimum(out, 1) - 1))
 
     def margins(self, words: list[str]) -> np.ndarray:
-        return self.similarities(words) @ np.array(self.weights) + self.bias
+        weights, step = np.array(self.weights), 8192
+        return np.concatenate([self.similarities(words[i : i + step]) @ weights for i in range(0, len(words), step)]) + self.bias
 
-    def best(self, texts: list[str], most: int = 300_000) -> list[float]:
+    def best(self, texts: list[str], most: int = 600_000) -> list[float]:
         """The largest margin of each text's units; minus infinity without any."""
         cut = [units(t) for t in texts]
         if len(self.known) > most:
@@ -150,8 +156,8 @@ class Model:
         get = self.known.__getitem__
         return [max(map(get, c), default=-math.inf) for c in cut]
 
-    def scores(self, texts: list[str]) -> list[float]:
-        return [1 / (1 + math.exp(min(700, -self.slope * max(m, -10)))) for m in self.best(texts)]
+    def scores(self, texts: list[str], most: int = 600_000) -> list[float]:
+        return [1 / (1 + math.exp(min(700, -self.slope * max(m, -10)))) for m in self.best(texts, most)]
 
     def to_json(self) -> str:
         return json.dumps({k: v for k, v in vars(self).items() if k != "known"})
@@ -296,17 +302,17 @@ def loaded(data: str) -> Model:
     return _loaded(data)
 
 
-def toxic_rows(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def toxic_rows(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", most: int = 600_000) -> DataFrame:
     """(row, score, predicted): each row as a struct, scored by its whole text with a model that is trained here on labels.
 
     The score only depends on the text. Null and empty texts score as texts without any unit, and all texts score 0
-    if the labels teach nothing. Rows are kept one by one and don't move.
+    if the labels teach nothing. Rows are kept one by one and don't move. A worker remembers `most` distinct units.
     """
     model = train(*training_sentences(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), labels))
     data = model.to_json() if model else None
 
     def work_out(texts: list[str | None]) -> list[float]:
-        return loaded(data).scores([t or "" for t in texts]) if data else [0.0] * len(texts)
+        return loaded(data).scores([t or "" for t in texts], most) if data else [0.0] * len(texts)
 
     return with_value(docs, text_col, work_out, pa.float64(), "double").select("row", F.col("value").alias("score"), (F.col("value") >= 0.5).cast("int").alias("predicted"))
 
