@@ -35,7 +35,7 @@ DECAY2 = DECAY * DECAY
 #: Units are compared by windows of so many characters, half overlapping, so that all of a long one counts.
 WINDOW = 16
 #: Bound of the training sample: labelled texts of each class, picked by a hash of their ids, and their sentences.
-SAMPLE, SENTENCES = 2000, 40_000
+SAMPLE, SENTENCES = 2000, 60_000
 #: Landmarks among the witnesses and among clean units.
 #: SHARP: the kernel's fall with dissimilarity.
 LANDMARKS, NEGATIVE, SHARP = 32, 8, 4.0
@@ -276,7 +276,8 @@ def training_sentences(docs: DataFrame, labels: DataFrame, *, hold_out: int | No
     """(id, sentence, label) of a bounded sample of labelled texts, SAMPLE of each class at most, and the classes' sizes.
 
     Labels are sampled first, by a hash of the id, so only a few ids are joined with the texts; texts are cut to
-    sentences, and those sampled by hash to SENTENCES of each class, before they come to the driver. With hold_out,
+    sentences, and those of one text after another, up to SENTENCES of each class, come to the driver: whole texts, so
+    that a common sentence isn't taken from one class only. With hold_out,
     ids whose crc32 modulo it is 0 are never seen.
     """
     known = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
@@ -285,9 +286,9 @@ def training_sentences(docs: DataFrame, labels: DataFrame, *, hold_out: int | No
     totals = {r.toxic: r["n"] for r in known.where("toxic in (0, 1)").groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     ids = [known.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE) for c in (0, 1)]
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids[0].unionByName(ids[1])), "doc_id")
-    cut = texts.select("doc_id", "toxic", F.explode(F.split("text", r"(?<=[.!?])\s+|\n")).alias("sentence")).where("trim(sentence) <> ''")
-    cut = cut.select("doc_id", "toxic", F.substring("sentence", 1, 4000).alias("sentence"))  # only what is learnt from; scoring reads whole texts
-    picked = [cut.where(F.col("toxic") == c).orderBy(F.xxhash64("sentence"), "sentence", "doc_id").limit(SENTENCES) for c in (0, 1)]
+    cut = texts.select("doc_id", "toxic", F.posexplode(F.split("text", r"(?<=[.!?])\s+|\n")).alias("at", "sentence")).where("trim(sentence) <> ''")
+    cut = cut.select("doc_id", "toxic", "at", F.substring("sentence", 1, 4000).alias("sentence"))  # only what is learnt from; scoring reads whole texts
+    picked = [cut.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id", "at").limit(SENTENCES) for c in (0, 1)]
     return [(r.doc_id, r.sentence, r.toxic) for r in picked[0].unionByName(picked[1]).collect()], totals
 
 
