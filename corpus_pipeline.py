@@ -24,7 +24,7 @@ ORACLE_SQL = None
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts that the model calls toxic go; rows don't move."""
-    return toxic_rows(docs, table(spark, sf_dir, "labels")).where("predicted = 0").select("row.*")
+    return toxic_rows(docs, table(spark, sf_dir, "labels"), most=250_000).where("predicted = 0").select("row.*")
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,8 +55,8 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Digests of each text's token ids and of what they decode to."""
-    return bpe_digests(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    """Digests of each text's token ids and of what they decode to; workers remember less than alone, as executors have served other stages."""
+    return bpe_digests(docs, public_tokenizers.path("byte_bpe_50k.json"), most=150_000)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

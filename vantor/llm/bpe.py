@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vantor.llm.common import chunks
+from vantor.llm.common import chunks, claim, small_batches
 from vantor.llm.units import LONGEST_UNIT, UnitMemory, shared_prefix
 
 
@@ -31,6 +31,10 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+#: Distinct units whose ids a Python worker remembers between batches, and three fifths as many pre-tokens.
+MOST_UNITS = 700_000
+
+
 def little(ids: list[int]) -> bytes:
     """Ids as little-endian unsigned 32-bit integers."""
     out = array("I", ids)
@@ -42,10 +46,10 @@ def little(ids: list[int]) -> bytes:
 class TrieBpe:
     """A byte-level BPE vocabulary in the tokenizers library's file format."""
 
-    #: Units and pre-tokens whose ids are remembered between batches.
-    MOST_UNITS, MOST_WORDS = 800_000, 400_000
+    #: Pairs of tokens that are known to stand next to each other or not to.
+    MOST_PAIRS = 400_000
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, most: int = MOST_UNITS) -> None:
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
@@ -61,8 +65,8 @@ class TrieBpe:
         self.sizes = {i: len(t) for t, i in self.ids.items()}
         self.longest = max(self.sizes.values())
         self.alone: dict[int, bool] = {}
-        self.follows: dict[tuple[int, int], bool] = {}
-        self.memory = UnitMemory(self.encode_units, self.MOST_UNITS)
+        self.follows: dict[int, bool] = {}  # by first * 2**32 + second
+        self.most, self.memory = most, UnitMemory(self.encode_units, most)
         self.words: dict[str, bytes] = {}
 
     def merged(self, ids: list[int]) -> list[int]:
@@ -88,11 +92,12 @@ class TrieBpe:
         return self.alone[token]
 
     def may_follow(self, a: int, b: int) -> bool:
-        if (a, b) not in self.follows:
-            if len(self.follows) > 1_000_000:
+        pair = a << 32 | b
+        if pair not in self.follows:
+            if len(self.follows) > self.MOST_PAIRS:
                 self.follows.clear()
-            self.follows[a, b] = self.merged([self.ids[c] for c in self.tokens[a] + self.tokens[b]]) == [a, b]
-        return self.follows[a, b]
+            self.follows[pair] = self.merged([self.ids[c] for c in self.tokens[a] + self.tokens[b]]) == [a, b]
+        return self.follows[pair]
 
     def encode_words(self, words: Iterable[str]) -> dict[str, list[int]]:
         """Ids of each distinct word, given in byte letters."""
@@ -104,7 +109,7 @@ class TrieBpe:
                 for start in range(max(0, end - longest), end):
                     token = find(word[start:end])
                     if token is not None:
-                        fits = known((last[start], token)) if start else self.stands_alone(token)
+                        fits = known(last[start] << 32 | token) if start else self.stands_alone(token)
                         if fits or fits is None and self.may_follow(last[start], token):
                             last.append(token)
                             break
@@ -121,7 +126,7 @@ class TrieBpe:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         split = self.library.pre_tokenizer.pre_tokenize_str
         cut = [[w for w, _ in split(u)] for u in units]
-        if len(self.words) > self.MOST_WORDS:
+        if len(self.words) > self.most * 3 // 5:
             self.words.clear()
         known = self.words
         known |= {w: little(ids) for w, ids in self.encode_words({w for words in cut for w in words} - known.keys()).items()}
@@ -133,7 +138,7 @@ class TrieBpe:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text; an added token's own text gives that token, as the library has it."""
         special = [any(a in t for a in self.added) for t in texts]
-        out = [b"".join(v) for v in self.memory.values([t for t, s in zip(texts, special, strict=True) if not s])]
+        out = self.memory.joined([t for t, s in zip(texts, special, strict=True) if not s])
         if any(special):
             rest = iter(out)
             out = [self._with_added(t) if s else next(rest) for t, s in zip(texts, special, strict=True)]
@@ -143,7 +148,7 @@ class TrieBpe:
         for content, token in self.added.items():
             if content in text:
                 return little([token]).join(self._with_added(part) if part else b"" for part in text.split(content))
-        return b"".join(self.memory.values([text])[0])
+        return self.memory.joined([text])[0]
 
     @cached_property
     def token_bytes(self) -> dict[int, bytes]:
@@ -154,29 +159,35 @@ class TrieBpe:
         return b"".join(map(self.token_bytes.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
 
 
-@lru_cache(maxsize=2)
-def vocabulary(path: str) -> TrieBpe:
+@lru_cache(maxsize=1)
+def _vocabulary(path: str, most: int) -> TrieBpe:
     """One for each Python worker."""
-    return TrieBpe(path)
+    return TrieBpe(path, most)
+
+
+def vocabulary(path: str, most: int = MOST_UNITS) -> TrieBpe:
+    claim("bpe", _vocabulary.cache_clear)
+    return _vocabulary(path, most)
 
 
-def bpe_round_trip(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def bpe_round_trip(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text", most: int = MOST_UNITS) -> DataFrame:
     """(doc_id, ids, n_tokens, decoded): each whole text's ids as little-endian unsigned 32-bit integers, and their text.
 
-    One narrow pass without a shuffle; a task holds a bounded memory of distinct units. Null or empty texts have no
+    One narrow pass without a shuffle; a worker remembers `most` distinct units. Null or empty texts have no
     ids and decode to "". Rows are kept one by one: null and repeated ids too. Other columns are left out.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = vocabulary(path)
+        bpe = vocabulary(path, most)
         for batch in chunks(batches, "text"):
             ids = bpe.encode([t or "" for t in batch.column("text").to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([bpe.decode(x) for x in ids], pa.string())], ["doc_id", "ids", "n_tokens", "decoded"])
 
+    small_batches(docs.sparkSession)
     kept = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return kept.mapInArrow(run, "doc_id long, ids binary, n_tokens long, decoded string")
 
 
-def bpe_digests(docs: DataFrame, path: str) -> DataFrame:
+def bpe_digests(docs: DataFrame, path: str, most: int = MOST_UNITS) -> DataFrame:
     """The digest columns of the query, worked out by Spark from the operator's ids and texts."""
-    return bpe_round_trip(docs, path).select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+    return bpe_round_trip(docs, path, most=most).select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))

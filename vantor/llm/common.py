@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -14,6 +15,7 @@ from pathlib import Path
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Python workers hand back batches of about this many bytes of text.
 CHUNK_BYTES = 2 << 20
@@ -24,20 +26,32 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a folder of our own where that is unset."""
+    """The folder that driver and executors share, as a URI: spark.checkpoint.dir, or a folder of our own where that is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = Path(tempfile.gettempdir(), "vantor-shared").as_uri()
         spark.conf.set("spark.checkpoint.dir", found)
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(found)
-    return found if "://" in found or found.startswith("file:") else Path(found).absolute().as_uri()
+    path = spark._jvm.org.apache.hadoop.fs.Path(found)
+    whole = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return re.sub("^file:/+", "file:///", whole)
+
+
+#: Rows go to Python in Arrow batches of about so many bytes, so that long texts bound them and not only their count.
+BATCH_BYTES = 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Sets the session's bound on Arrow batches to BATCH_BYTES."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 class Scratch:
     """Tables and files under the shared folder that live as long as one operator call."""
 
     def __init__(self, spark: SparkSession) -> None:
+        small_batches(spark)
         self.spark, self.root, self.n = spark, f"{shared_dir(spark).rstrip('/')}/vantor-{uuid.uuid4().hex}", 0
 
     def folder(self, name: str) -> str:
@@ -122,8 +136,9 @@ def with_value(docs: DataFrame, text_col: str, work_out: Callable[[list[str | No
             text = batch.column("row").field(text_col)
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(work_out(text.to_pylist()), kind)], ["row", "value"])
 
+    small_batches(docs.sparkSession)
     packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
-    return packed.mapInArrow(run, f"row {packed.schema[0].dataType.simpleString()}, value {ddl}")
+    return packed.mapInArrow(run, T.StructType([packed.schema[0], T.StructField("value", T.DataType.fromDDL(ddl))]))
 
 
 _HOLDER: list = []

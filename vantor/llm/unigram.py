@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vantor.llm.common import chunks, claim
+from vantor.llm.common import chunks, claim, small_batches
 from vantor.llm.units import shared_prefix
 
 #: Stands for the white space before a word in the vocabulary's pieces.
@@ -93,5 +93,6 @@ def token_counts(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col
             counts = counter.counts([t or "" for t in batch.column("text").to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([c[0] for c in counts], pa.int64()), pa.array([c[1] for c in counts], pa.int64())], ["doc_id", "n_pretokens", "n_tokens"])
 
+    small_batches(docs.sparkSession)
     kept = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return kept.mapInArrow(run, "doc_id long, n_pretokens long, n_tokens long")

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vantor.llm.common import chunks
+from vantor.llm.common import chunks, small_batches
 
 # Fixed values of the WebP lossless bitstream specification.
 LENGTH_ORDER = (17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15)
@@ -425,6 +425,7 @@ def text_media(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
             out = [(n, store(p)) for n, p in map(padded, batch.column("text").to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.binary())], ["doc_id", "n_bytes", "media"])
 
+    small_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
 
@@ -445,6 +446,7 @@ def decoded(media: DataFrame, *, id_col: str = "doc_id", media_col: str = "media
                     out.append((key, None, None, None, str(e)))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string()), strict=True)], ["doc_id", "width", "height", "samples", "error"])
 
+    small_batches(media.sparkSession)
     kept = media.select(F.col(id_col).cast("long").alias("doc_id"), F.col(media_col).alias("media"))
     return kept.mapInArrow(run, "doc_id long, width long, height long, samples binary, error string")
 
@@ -464,5 +466,6 @@ def media_digests(docs: DataFrame) -> DataFrame:
             kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True))], ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
 
+    small_batches(docs.sparkSession)
     kept = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return kept.mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
