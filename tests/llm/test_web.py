@@ -85,3 +85,18 @@ def test_templates(spark):
     assert got[101, rows[21][1]] == "Site menu\nWords of page 101\nShared here"
     assert got[204, "http://b.org/x"] == "Often said\n4"  # an article repeats itself without becoming one
     assert got[300, None] == got[301, ""] == "" and got[None, "no host"] == "kept"
+
+
+def test_templates_and_articles(spark):
+    def page(i):
+        teasers = "".join(f"<article><h3>Teaser {i} {k}</h3></article>" for k in range(2))
+        return (i, f"https://c.org/{i}", f"<body><div class='body'><h1>Title {i}</h1><p>Words of page {i}</p></div><section>{teasers}</section></body>")
+
+    def post(i):
+        return (50 + i, f"https://d.org/{i}", f"<p>Before {i}</p><article><div class='x1'><p>Join our list</p></div><p>Often said</p><div class='y'><p>Post {i}</p></div></article>")
+
+    pages = spark.createDataFrame([*map(page, range(6)), *map(post, range(6))], "page_id long, url string, html string")
+    with scratch(spark) as space:
+        got = {r.page_id: r.text for r in templates.main_texts(space, pages).collect()}
+    assert got[3] == "Title 3\nWords of page 3\nTeaser 3 0\nTeaser 3 1"  # teasers don't make the main text go
+    assert got[52] == "Before 2\nOften said\nPost 2"  # a site's block goes from the article, its paragraphs stay

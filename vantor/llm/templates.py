@@ -1,8 +1,9 @@
 """Main text of web pages: what HTML or its class names mark as not the article goes, and so do a site's templates.
 
 Each element subtree has a hash of its tags, attributes and text. Spark counts, for each host, the pages that hold a
-subtree; one that recurs on many pages of its host is the site's template and is deleted wherever it stands outside
-of the article element. Texts inside an article element are never taken for templates, however often they recur.
+subtree; one that recurs on many pages of its host is the site's template and is deleted wherever it stands. Inside
+an article element only CONTAINERS can be templates: its paragraphs, headings and list items may repeat themselves.
+Text outside of articles goes as a template or by its marks, not because there is an article elsewhere.
 """
 
 from __future__ import annotations
@@ -30,6 +31,9 @@ BLOCKS = frozenset("address article aside blockquote body caption center dd deta
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 SCOPE = frozenset("article aside body div footer header main nav section table td th li form".split())
 
+#: Elements that can be templates inside an article too.
+CONTAINERS = frozenset("address center details div dl fieldset figure hgroup main ol section table ul".split())
+
 #: Never article text, wherever they stand.
 NOT_TEXT = frozenset("head script style title noscript template iframe object embed svg math canvas audio video nav aside footer form button select textarea dialog menu input label".split())
 #: Words of a class, id or role that mark such parts.
@@ -66,7 +70,7 @@ class Page:
         self.parent, self.tags, self.dropped, self.article, self.hashes = [-1], ["#"], [False], [False], [0]
         self.texts: list[tuple[int, int, str]] = []
         self.parts: list[list[bytes]] = [[]]
-        self.has_article, self.block = False, 0
+        self.block = 0
         stack, at, size = [0], 0, len(html)
         while at < size:
             found = TOKEN.search(html, at)
@@ -111,7 +115,6 @@ class Page:
             self.end_open(stack, *CLOSES[tag])
         up = stack[-1]
         inside = self.article[up] or tag == "article"
-        self.has_article |= tag == "article" and not self.dropped[up]
         stack.append(len(self.tags))
         self.parent.append(up)
         self.tags.append(tag)
@@ -147,17 +150,33 @@ class Page:
         self.parts[node] = []
 
     def subtrees(self) -> set[int]:
-        """Hashes of the elements that could be templates, as signed integers."""
-        return {h - (h >> 63 << 64) for i, h in enumerate(self.hashes) if i and not self.article[i] and self.tags[i] not in ("html", "head", "body", "br")}
+        """Hashes of the elements that could be templates, as signed integers; marked ones go anyway."""
+        return {h - (h >> 63 << 64) for i, h in enumerate(self.hashes) if self.countable(i) and not self.dropped[i]}
+
+    def countable(self, i: int) -> bool:
+        if self.article[i]:
+            return self.tags[i] in CONTAINERS
+        return i > 0 and self.tags[i] not in ("html", "head", "body", "br")
+
+    def dividers(self) -> set[int]:
+        """Paragraphs and other small elements between two articles of one parent, outside of any article."""
+        last = {self.parent[i]: i for i, tag in enumerate(self.tags) if tag == "article" and not self.dropped[i]}
+        out, begun = set(), set()
+        for i, (up, tag) in enumerate(zip(self.parent, self.tags, strict=True)):
+            if tag == "article":
+                begun.add(up)
+            elif up in begun and i < last.get(up, 0) and not self.article[i] and tag not in CONTAINERS:
+                out.add(i)
+        return out
 
     def main_text(self, templates: set[int]) -> str:
-        dropped = list(self.dropped)
+        dropped, dividers = list(self.dropped), self.dividers()
         for i in range(1, len(dropped)):
             h = self.hashes[i]
-            dropped[i] |= dropped[self.parent[i]] or not self.article[i] and h - (h >> 63 << 64) in templates
+            dropped[i] |= dropped[self.parent[i]] or i in dividers or h - (h >> 63 << 64) in templates and self.countable(i)
         out, held, block = [], [], -1
         for node, b, text in self.texts:
-            if dropped[node] or self.has_article and not self.article[node]:
+            if dropped[node]:
                 continue
             if b != block:
                 out.append("".join(held))
@@ -170,10 +189,11 @@ class Page:
 def main_texts(space: Scratch, pages: DataFrame, *, min_pages: int = 5, min_share: float = 0.3, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(page_id, url, text) of each row.
 
-    text is the article's blocks in page order, one to a line, character references decoded and white space in a
-    block made one space; "" if there are none or html is null or empty. Without an article element it is all of the
-    page that isn't marked as something else. A subtree outside of an article is a template if it is on min_pages
-    pages of its host at least and on min_share of them. Pages without a host in their url share the host "".
+    text is the page's blocks in page order, one to a line, character references decoded and white space in a block
+    made one space; "" if there are none or html is null or empty. It is all of the page that is neither marked as
+    something else nor a template, inside of article elements and outside; a paragraph between two articles of one
+    parent is taken for a divider. A subtree, inside of an article one of CONTAINERS, is a template if it is on
+    min_pages pages of its host at least and on min_share of them. Pages without a host in their url share the host "".
     Repeated rows count as pages of their own; null ids are kept; other columns are left out.
     """
     plain = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
