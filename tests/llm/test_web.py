@@ -100,3 +100,13 @@ def test_templates_and_articles(spark):
         got = {r.page_id: r.text for r in templates.main_texts(space, pages).collect()}
     assert got[3] == "Title 3\nWords of page 3\nTeaser 3 0\nTeaser 3 1"  # teasers don't make the main text go
     assert got[52] == "Before 2\nOften said\nPost 2"  # a site's block goes from the article, its paragraphs stay
+
+
+def test_copies_and_large_hosts(spark):
+    copy = "<body><div><h1>One page</h1></div><p>Held under six addresses</p></body>"
+    rows = [(i, f"https://e.org/{i}", f"<!-- {i} -->" + copy) for i in range(6)]
+    rows += [(100 + i, f"https://f.org/{i}", ("<div>News menu</div>" if i < 8 else "") + f"<p>Words of page {i}</p>") for i in range(100)]
+    with scratch(spark) as space:
+        got = {r.page_id: r.text for r in templates.main_texts(space, spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert {got[i] for i in range(6)} == {"One page\nHeld under six addresses"}  # copies are one page
+    assert got[103] == "Words of page 3" and got[150] == "Words of page 50"  # eight pages of a hundred are enough

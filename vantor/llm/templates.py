@@ -1,7 +1,7 @@
 """Main text of web pages: what HTML or its class names mark as not the article goes, and so do a site's templates.
 
-Each element subtree has a hash of its tags, attributes and text. Spark counts, for each host, the pages that hold a
-subtree; one that recurs on many pages of its host is the site's template and is deleted wherever it stands. Inside
+Each element subtree has a hash of its tags, attributes and text. Spark counts, for each host and subtree, the distinct
+texts of pages that hold it, so that copies of a page count once; one that recurs on some such pages of its host is the site's template and is deleted wherever it stands. Inside
 an article element only CONTAINERS can be templates: its paragraphs, headings and list items may repeat themselves.
 Text outside of articles goes as a template or by its marks, not because there is an article elsewhere.
 """
@@ -186,15 +186,15 @@ class Page:
         return "\n".join(x for x in (" ".join(t.split()) for t in out) if x)
 
 
-def main_texts(space: Scratch, pages: DataFrame, *, min_pages: int = 5, min_share: float = 0.3, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+def main_texts(space: Scratch, pages: DataFrame, *, min_pages: int = 5, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(page_id, url, text) of each row.
 
     text is the page's blocks in page order, one to a line, character references decoded and white space in a block
     made one space; "" if there are none or html is null or empty. It is all of the page that is neither marked as
     something else nor a template, inside of article elements and outside; a paragraph between two articles of one
-    parent is taken for a divider. A subtree, inside of an article one of CONTAINERS, is a template if it is on
-    min_pages pages of its host at least and on min_share of them. Pages without a host in their url share the host "".
-    Repeated rows count as pages of their own; null ids are kept; other columns are left out.
+    parent is taken for a divider. A subtree, inside of an article one of CONTAINERS, is a template if pages of
+    its host with min_pages different texts (before templates go) at least have it, however many pages the host has.
+    Pages without a host in their url share the host "". Null ids are kept; other columns are left out.
     """
     plain = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
     plain = plain.withColumn("key", F.unhex(F.md5(F.concat_ws("\0", F.coalesce("url", F.lit("")), "html").cast("binary"))))
@@ -202,14 +202,15 @@ def main_texts(space: Scratch, pages: DataFrame, *, min_pages: int = 5, min_shar
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "html"):
             hosts = [host_of(u) for u in batch.column("url").to_pylist()]
-            trees = [list(Page(h).subtrees()) for h in batch.column("html").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(hosts, pa.string()), pa.array(trees, pa.list_(pa.int64()))], ["key", "host", "subtrees"])
-
-    seen = space.table(plain.select("key", "url", "html").mapInArrow(count, "key binary, host string, subtrees array<long>"))
-    hosts = seen.groupBy("host").agg(F.count("*").alias("pages"))
-    places = seen.select("key", "host", F.explode("subtrees").alias("subtree"))
-    counts = places.groupBy("host", "subtree").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
-    templates = space.table(counts.join(hosts, "host").where(F.col("n") >= min_share * F.col("pages")).select("host", "subtree"))
+            pages = [Page(h) for h in batch.column("html").to_pylist()]
+            trees = [list(p.subtrees()) for p in pages]
+            texts = [xxhash.xxh3_128_digest(p.main_text(set())) if t else None for p, t in zip(pages, trees, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(hosts, pa.string()), pa.array(texts, pa.binary()), pa.array(trees, pa.list_(pa.int64()))], ["key", "host", "whole", "subtrees"])
+
+    seen = space.table(plain.select("key", "url", "html").mapInArrow(count, "key binary, host string, whole binary, subtrees array<long>"))
+    places = seen.select("key", "host", "whole", F.explode("subtrees").alias("subtree"))
+    counts = places.select("host", "subtree", "whole").distinct().groupBy("host", "subtree").agg(F.count("*").alias("n"))
+    templates = space.table(counts.where(F.col("n") >= min_pages).select("host", "subtree"))
     of_page = space.table(places.join(templates, ["host", "subtree"]).groupBy("key").agg(F.collect_set("subtree").alias("templates")))
     total = of_page.agg(F.sum(F.size("templates"))).first()[0] or 0
     rows = plain.join(F.broadcast(of_page) if total <= BROADCAST_ROWS else of_page, "key", "left")
