@@ -182,3 +182,26 @@ def test_leaks(spark):
     report = {r.doc_id: r for r in leaks.leak_report(docs, bench).collect()}
     assert report[102].contaminated and report[102].item_ids == [93] and report[102].least_distance == 0 and not report[103].contaminated
     assert leaks.leak_report(docs.limit(0), bench).count() == 0 and not any(r.contaminated for r in leaks.leak_report(docs, bench.limit(0)).collect())
+
+
+def test_leaks_of_a_sixth():
+    """Each item size against brute force, with the budget written out here."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    items = [(n, [word() for _ in range(n)]) for n in range(1, 45)]
+    held = leaks.Items([(n, " ".join(w)) for n, w in items], min_words=1)
+    for n, item in items:
+        for errors in (n // 6, n // 6 + 1):
+            w = list(item)
+            for k in range(errors):  # one in each piece but the last, if there are as few
+                w[n * k // (n // 6 + 1)] = word()
+            words = [word() for _ in range(30)] + w + [word() for _ in range(30)]
+            want = [(m, d) for m, p in items if (d := leaks.best_distance(leaks.masks_of(p), m, words)) <= m // 6]
+            assert held.found(" ".join(words)) == want
+            assert ((n, errors) in want) == (errors == n // 6)
+
+
+def test_short_items(spark):
+    docs = spark.createDataFrame([(1, "some Two words here"), (2, "two other words")], "doc_id long, text string")
+    bench = spark.createDataFrame([(90, "two words"), (91, "")], "item_id long, text string")
+    assert [r.item_ids for r in leaks.leak_report(docs, bench, min_words=1).collect()] == [[90], []]

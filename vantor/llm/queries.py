@@ -56,7 +56,7 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return leak_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return leak_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), min_words=1)
 
 
 def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
