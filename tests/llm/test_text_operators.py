@@ -205,3 +205,26 @@ def test_short_items(spark):
     docs = spark.createDataFrame([(1, "some Two words here"), (2, "two other words")], "doc_id long, text string")
     bench = spark.createDataFrame([(90, "two words"), (91, "")], "item_id long, text string")
     assert [r.item_ids for r in leaks.leak_report(docs, bench, min_words=1).collect()] == [[90], []]
+
+
+def test_kernel_tables():
+    rng = random.Random(6)
+    word = lambda n: "".join(rng.choice("abcdeéö中") for _ in range(n))
+    marks = tuple(word(rng.randint(3, 16)) for _ in range(150)) + ("".join(map(chr, range(1000, 1016))), "".join(map(chr, range(2000, 2016))))
+    for n in (3, 7, 16):
+        a = next(toxicity.by_length([word(n) for _ in range(20)]))[1]
+        want = np.stack([toxicity.kernel(a, toxicity.codes(m)) for m in marks], axis=1)
+        assert toxicity.kernels(a, marks) == pytest.approx(want, rel=1e-4, abs=1e-6)
+
+
+def test_many_insults():
+    """More kinds of insults than 32, in texts that weren't learnt from."""
+    rng = random.Random(7)
+    insults = ["".join(chr(k) for k in rng.sample(range(0x61, 0x17F), 8)).lower() for _ in range(44)]
+    plain = ["".join(rng.choice(("ta", "no", "ri", "el", "mu", "so")) for _ in range(rng.randint(2, 4))) for _ in range(200)]
+    text = lambda *extra: " ".join([*(rng.choice(plain) for _ in range(20)), *extra])
+    toxic = [text(w) for w in insults for _ in range(16)]
+    rows = [(i, t, 1) for i, t in enumerate(toxic)] + [(10_000 + i, text(), 0) for i in range(700)]
+    model = toxicity.train(rows, {0: 700, 1: len(toxic)})
+    assert sum(s >= 0.5 for s in model.scores([text(w) for w in insults])) >= 42
+    assert not any(s >= 0.5 for s in model.scores([text() for _ in range(100)]))

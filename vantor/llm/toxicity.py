@@ -21,6 +21,7 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +39,9 @@ WINDOW = 16
 SAMPLE, SENTENCES = 2000, 60_000
 #: Landmarks among the witnesses and among clean units.
 #: SHARP: the kernel's fall with dissimilarity.
-LANDMARKS, NEGATIVE, SHARP = 32, 8, 4.0
+LANDMARKS, NEGATIVE, SHARP = 48, 16, 4.0
+#: A witness is in so many different toxic texts, and its share is so many standard deviations above a half.
+WITNESS_TEXTS, SURE = 5, 3.0
 
 #: Characters that training puts into witnesses.
 FOREIGN = "x1"
@@ -116,6 +119,49 @@ def own_kernel(words: list[str]) -> np.ndarray:
     return out
 
 
+#: Letters that a table of landmarks tells apart at most, and landmarks in it.
+LETTERS, TABLE = 128, 64
+
+
+@lru_cache(maxsize=4)
+def tables(landmarks: tuple[str, ...]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For some landmarks at a time, in order: their letters, the row of each ORDER letters, and rows of their weights in each landmark."""
+    letters = sorted(set("".join(landmarks)))
+    if len(landmarks) > 1 and (len(landmarks) > TABLE or len(letters) > LETTERS):
+        half = len(landmarks) // 2
+        return [t for part in (landmarks[:half], landmarks[half:]) for t in tables.__wrapped__(part)]
+    number, base = {c: i + 1 for i, c in enumerate(letters)}, len(letters) + 1
+    weights: dict[int, np.ndarray] = {}
+    for k, mark in enumerate(landmarks):
+        for at in combinations(range(len(mark)), ORDER):
+            code = 0
+            for i in at:
+                code = code * base + number[mark[i]]
+            weights.setdefault(code, np.zeros(len(landmarks), np.float32))[k] += DECAY ** (at[-1] - at[0] + 1)
+    row = np.full(base**ORDER, -1, np.int32)
+    row[list(weights)] = np.arange(len(weights))
+    return [(codes("".join(letters)), row, np.array(list(weights.values()), np.float32).reshape(len(weights), len(landmarks)))]
+
+
+def kernels(a: np.ndarray, landmarks: tuple[str, ...]) -> np.ndarray:
+    """The kernel of words (characters, words) with each landmark, by looking their subsequences up: no other ones count."""
+    out = []
+    for letters, row, weights in tables(landmarks):
+        place = np.minimum(np.searchsorted(letters, a), len(letters) - 1)
+        number, base = np.where(letters[place] == a, place + 1, 0), len(letters) + 1
+        sums = np.zeros((a.shape[1], weights.shape[1]), np.float32)
+        for at in combinations(range(len(a)), ORDER):
+            code = number[at[0]]
+            for i in at[1:]:
+                code = code * base + number[i]
+            found = row[code]
+            hit = np.flatnonzero(found >= 0)
+            if len(hit):
+                sums[hit] += weights[found[hit]] * DECAY ** (at[-1] - at[0] + 1)
+        out.append(sums)
+    return np.hstack(out)
+
+
 @dataclass
 class Model:
     landmarks: list[str]
@@ -128,11 +174,10 @@ class Model:
     def similarities(self, words: list[str]) -> np.ndarray:
         """Similarity of words with the landmarks: a radial function of their distance in the kernel's space."""
         out, own = np.empty((len(words), len(self.landmarks))), np.array(self.norms)
-        marks = [codes(m) for m in self.landmarks]
+        marks = tuple(self.landmarks)
         for at, a in by_length(words):
             self_kernel = kernel(a, a).astype(np.float64)
-            for k, mark in enumerate(marks):
-                out[at, k] = kernel(a, mark) / np.sqrt(np.maximum(self_kernel * own[k], 1e-30))
+            out[at] = kernels(a, marks) / np.sqrt(np.maximum(self_kernel[:, None] * own, 1e-30))
         return np.exp(SHARP * (np.minimum(out, 1) - 1))
 
     def margins(self, words: list[str]) -> np.ndarray:
@@ -211,11 +256,11 @@ def train(rows: list[tuple[int, str, int]], totals: dict[int, int]) -> Model | N
     scale = {label: totals[label] / sample[label] for label in (0, 1)}
 
     def share(w: str) -> float:
-        """Lower bound of the share of toxic texts among all that have the unit, three standard deviations down."""
+        """Lower bound of the share of toxic texts among all that have the unit, SURE standard deviations down."""
         a, b = scale[1] * seen[1][w], scale[0] * (seen[0][w] + 0.5)
-        return a / (a + b) - 3 * math.sqrt(a * b / (a + b) ** 2 / (seen[1][w] + seen[0][w] + 1))
+        return a / (a + b) - SURE * math.sqrt(a * b / (a + b) ** 2 / (seen[1][w] + seen[0][w] + 1))
 
-    marked = sorted((w for w, n in seen[1].items() if n >= 5 and share(w) > 0.5), key=lambda w: (-seen[1][w], w))[: 20 * LANDMARKS]
+    marked = sorted((w for w, n in seen[1].items() if n >= WITNESS_TEXTS and share(w) > 0.5), key=lambda w: (-seen[1][w], w))[: 20 * LANDMARKS]
     if not marked:
         return None
     like = Model(marked, own_kernel(marked).tolist(), [], 0.0, 1.0).similarities(marked)
