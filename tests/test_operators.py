@@ -150,3 +150,13 @@ def test_change_stream(spark, tmp_path):
     log.where("seq = 3").write.mode("append").parquet(str(tmp_path / "in"))
     run()
     assert {r.id for r in live_rows(spark, str(tmp_path / "log")).collect()} == {2}
+
+
+def test_set_queries_take_all_ids(spark):
+    from vantor.queries import queries
+
+    sf = "/root/testdata/sf0.001"
+    labels = {r.vec_id: r.label for r in spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "label").collect()}
+    got = {r.value: r.member for r in queries()["set_members_all"](spark, sf).collect()}
+    assert len(got) > 100 and got == {k: v == 1 for k, v in labels.items()}
+    assert sum(r.length for r in queries()["set_runs_all"](spark, sf).collect()) == sum(v != 1 for v in labels.values())

@@ -260,6 +260,31 @@ def set_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sets.members(_set(spark, sf_dir, "label = 1"), _set(spark, sf_dir, "id < 100"))
 
 
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sets.ids(table(spark, sf_dir, "documents"), "doc_id")
+
+
+def set_union_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sets.union(_set(spark, sf_dir, "label = 1"), _documents(spark, sf_dir))
+
+
+def set_intersection_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sets.intersection(_set(spark, sf_dir, "label = 1"), _documents(spark, sf_dir))
+
+
+def set_difference_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sets.difference(_set(spark, sf_dir, "label = 1"), _documents(spark, sf_dir))
+
+
+def set_members_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All ids are candidates."""
+    return sets.members(_set(spark, sf_dir, "label = 1"), sets.ids(vectors(spark, sf_dir), "id"))
+
+
+def set_runs_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sets.runs(_set(spark, sf_dir, "label <> 1"))
+
+
 def set_cardinality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sets.cardinality(sets.ids(table(spark, sf_dir, "lineitem"), "l_orderkey"))
 
@@ -318,7 +343,7 @@ def queries() -> dict[str, Query]:
             out[f"knn_{metric}"] = partial(_knn, metric)
     for name, (_, condition) in _WHERE.items():
         out[name] = lambda spark, sf_dir, condition=condition: _knn_where(F.expr(condition), spark, sf_dir)
-    for f in (knn_no_rows, knn_k_over_n, batch_knn_label, l2_squared_all, similarity_all, hamming_unequal, safe_distance, live_rows, live_counts, live_knn, tombstone_anti_join, payload_getters, payload_changes, payload_filter, payload_compare, payload_entries, sparse_measures, sparse_normalized, packed_distances, digests, base64_round_trip, xxhash_known, crc32c_known, shards, hash128_documents, set_union, set_intersection, set_difference, set_members, set_cardinality, set_runs, set_bytes, top_values, top_of_each, record_measures, schema_fields, enum_facts):
+    for f in (knn_no_rows, knn_k_over_n, batch_knn_label, l2_squared_all, similarity_all, hamming_unequal, safe_distance, live_rows, live_counts, live_knn, tombstone_anti_join, payload_getters, payload_changes, payload_filter, payload_compare, payload_entries, sparse_measures, sparse_normalized, packed_distances, digests, base64_round_trip, xxhash_known, crc32c_known, shards, hash128_documents, set_union, set_intersection, set_difference, set_members, set_union_all, set_intersection_all, set_difference_all, set_members_all, set_runs_all, set_cardinality, set_runs, set_bytes, top_values, top_of_each, record_measures, schema_fields, enum_facts):
         out[f.__name__] = f
     return out
 
@@ -370,6 +395,11 @@ def oracle_sql() -> dict[str, str]:
         "set_intersection": f"select vec_id as value from ({picked[0]} intersect {picked[1]})",
         "set_difference": f"select vec_id as value from ({picked[0]} except {picked[1]})",
         "set_members": "select vec_id as value, label = 1 as member from embeddings where vec_id < 100",
+        "set_union_all": f"select vec_id as value from ({picked[0]} union select doc_id from documents)",
+        "set_intersection_all": f"select vec_id as value from ({picked[0]} intersect select doc_id from documents)",
+        "set_difference_all": f"select vec_id as value from ({picked[0]} except select doc_id from documents)",
+        "set_members_all": "select vec_id as value, label = 1 as member from embeddings",
+        "set_runs_all": "select min(v) as start, count(*) as length from (select vec_id as v, vec_id - row_number() over (order by vec_id) as g from embeddings where label <> 1) group by g",
         "set_cardinality": "select count(distinct l_orderkey) as cardinality from lineitem",
         "set_runs": "select min(v) as start, count(*) as length from (select vec_id as v, vec_id - row_number() over (order by vec_id) as g from embeddings where vec_id % 10 < 7) group by g",
         "set_bytes": "select distinct o_orderkey as value from orders",
