@@ -228,3 +228,12 @@ def test_many_insults():
     model = toxicity.train(rows, {0: 700, 1: len(toxic)})
     assert sum(s >= 0.5 for s in model.scores([text(w) for w in insults])) >= 42
     assert not any(s >= 0.5 for s in model.scores([text() for _ in range(100)]))
+
+
+def test_long_sentences_are_learnt_whole(spark):
+    rows = [(1, "word " * 3000 + "nitwit\tend"), (2, "plain"), (3, "x" * 9000 + " é")]
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 0)], "doc_id long, toxic int")
+    got, _ = toxicity.training_sentences(spark.createDataFrame(rows, "doc_id long, text string"), labels, hold_out=None)
+    for key, text in rows:
+        mine = [s for k, s, _ in got if k == key]
+        assert sorted(" ".join(mine).split()) == sorted(text.split()) and all(len(s) <= 4000 or " " not in s for s in mine)

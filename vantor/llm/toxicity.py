@@ -37,6 +37,8 @@ DECAY2 = DECAY * DECAY
 WINDOW = 16
 #: Bound of the training sample: labelled texts of each class, picked by a hash of their ids, and their sentences.
 SAMPLE, SENTENCES = 2000, 60_000
+#: Longer sentences come to the driver in several pieces, each of which counts as a sentence.
+PIECE = 4000
 #: Landmarks among the witnesses and among clean units.
 #: SHARP: the kernel's fall with dissimilarity.
 LANDMARKS, NEGATIVE, SHARP = 48, 16, 4.0
@@ -321,7 +323,7 @@ def training_sentences(docs: DataFrame, labels: DataFrame, *, hold_out: int | No
     """(id, sentence, label) of a bounded sample of labelled texts, SAMPLE of each class at most, and the classes' sizes.
 
     Labels are sampled first, by a hash of the id, so only a few ids are joined with the texts; texts are cut to
-    sentences, and those of one text after another, up to SENTENCES of each class, come to the driver: whole texts, so
+    sentences, long ones at white space to pieces, and those of one text after another, up to SENTENCES of each class, come to the driver: whole texts, so
     that a common sentence isn't taken from one class only. With hold_out,
     ids whose crc32 modulo it is 0 are never seen.
     """
@@ -332,8 +334,9 @@ def training_sentences(docs: DataFrame, labels: DataFrame, *, hold_out: int | No
     ids = [known.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE) for c in (0, 1)]
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids[0].unionByName(ids[1])), "doc_id")
     cut = texts.select("doc_id", "toxic", F.posexplode(F.split("text", r"(?<=[.!?])\s+|\n")).alias("at", "sentence")).where("trim(sentence) <> ''")
-    cut = cut.select("doc_id", "toxic", "at", F.substring("sentence", 1, 4000).alias("sentence"))  # only what is learnt from; scoring reads whole texts
-    picked = [cut.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id", "at").limit(SENTENCES) for c in (0, 1)]
+    # long sentences come in pieces of PIECE characters at most, longer words whole
+    cut = cut.select("doc_id", "toxic", "at", F.posexplode(F.regexp_extract_all("sentence", F.lit(rf"(?s)\S(?:.{{0,{PIECE - 2}}}\S)?(?!\S)|\S+"), F.lit(0))).alias("part", "sentence"))
+    picked = [cut.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id", "at", "part").limit(SENTENCES) for c in (0, 1)]
     return [(r.doc_id, r.sentence, r.toxic) for r in picked[0].unionByName(picked[1]).collect()], totals
 
 
