@@ -99,3 +99,25 @@ def test_bitmap_kinds():
     for v in (many, np.arange(60000), np.array([0, 65535, 65536, 131071, 2**32 - 1])):
         assert from_bytes(to_bytes(v, optimise=True)).tolist() == v.tolist()
     assert from_bytes(b"") is None and from_bytes(b"\x01\0\0\0\0\0\x07") is None
+
+
+def test_document_checksums(spark, tmp_path):
+    import xxhash
+
+    from vantor.queries import queries
+
+    def crc(data):
+        c = 0xFFFFFFFF
+        for b in data:
+            c ^= b
+            for _ in range(8):
+                c = c >> 1 ^ (0x82F63B78 if c & 1 else 0)
+        return c ^ 0xFFFFFFFF
+
+    rows = [(1, None), (2, ""), (3, "é中🙂 ½"), (4, "long text " * 3000), (5, "a"), (6, "x" * 33)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = {}
+    for key, text in rows:
+        data = None if text is None else text.encode()
+        want[key] = (None, None) if data is None else ((h := xxhash.xxh64_intdigest(data)) - (h >> 63 << 64), crc(data))
+    assert {r.doc_id: (r.xxhash64, r.crc32c) for r in queries()["document_checksums"](spark, str(tmp_path)).collect()} == want

@@ -228,6 +228,11 @@ def crc32c_known(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("name", H.crc32c("data").alias("crc"))
 
 
+def document_checksums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """XXH64 and CRC-32C of all texts."""
+    return table(spark, sf_dir, "documents").select("doc_id", H.xxhash64("text").alias("xxhash64"), H.crc32c(F.col("text").cast("binary")).alias("crc32c"))
+
+
 def shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of each shard by a hash of the id."""
     return vectors(spark, sf_dir).groupBy(H.shard("id", 8).alias("shard")).agg(F.count("*").alias("n"))
@@ -343,7 +348,7 @@ def queries() -> dict[str, Query]:
             out[f"knn_{metric}"] = partial(_knn, metric)
     for name, (_, condition) in _WHERE.items():
         out[name] = lambda spark, sf_dir, condition=condition: _knn_where(F.expr(condition), spark, sf_dir)
-    for f in (knn_no_rows, knn_k_over_n, batch_knn_label, l2_squared_all, similarity_all, hamming_unequal, safe_distance, live_rows, live_counts, live_knn, tombstone_anti_join, payload_getters, payload_changes, payload_filter, payload_compare, payload_entries, sparse_measures, sparse_normalized, packed_distances, digests, base64_round_trip, xxhash_known, crc32c_known, shards, hash128_documents, set_union, set_intersection, set_difference, set_members, set_union_all, set_intersection_all, set_difference_all, set_members_all, set_runs_all, set_cardinality, set_runs, set_bytes, top_values, top_of_each, record_measures, schema_fields, enum_facts):
+    for f in (knn_no_rows, knn_k_over_n, batch_knn_label, l2_squared_all, similarity_all, hamming_unequal, safe_distance, live_rows, live_counts, live_knn, tombstone_anti_join, payload_getters, payload_changes, payload_filter, payload_compare, payload_entries, sparse_measures, sparse_normalized, packed_distances, digests, base64_round_trip, xxhash_known, crc32c_known, document_checksums, shards, hash128_documents, set_union, set_intersection, set_difference, set_members, set_union_all, set_intersection_all, set_difference_all, set_members_all, set_runs_all, set_cardinality, set_runs, set_bytes, top_values, top_of_each, record_measures, schema_fields, enum_facts):
         out[f.__name__] = f
     return out
 
