@@ -1,8 +1,10 @@
 """Media columns: lossless WebP in and out of binary columns.
 
 The decoder takes any VP8L stream: prefix codes in groups, back-references, colour cache, and the predictor,
-cross-colour, subtract-green and palette transforms. Images whose codes all have eight bits, as the encoder here
-writes them, are read as whole arrays; all others symbol by symbol.
+cross-colour, subtract-green and palette transforms. The encoder writes a palette where an image has few colours,
+back-references to the last place with the same pixels, a colour cache where that is shorter, and prefix codes from
+histograms. Images too small to gain from codes of their own get eight-bit ones, which are read as whole arrays; all
+others are read symbol by symbol.
 """
 
 from __future__ import annotations
@@ -10,8 +12,10 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +38,8 @@ NEAR = (
     (8, 0), (4, 7), (-4, 7), (7, 4), (-7, 4), (8, 1), (8, 2), (6, 6), (-6, 6), (8, 3), (5, 7), (-5, 7),
     (7, 5), (-7, 5), (8, 4), (6, 7), (-6, 7), (7, 6), (-7, 6), (8, 5), (7, 7), (-7, 7), (8, 6), (8, 7),
 )
-CACHE_FACTOR, SIGNATURE, SIDE = 0x1E35A7BD, 0x2F, 1 << 14
+MIX = np.uint64(0x9E3779B97F4A7C15)  # 2**64 over the golden ratio
+CACHE_FACTOR, SIGNATURE, SIDE, LONGEST_CODE = 0x1E35A7BD, 0x2F, 1 << 14, 15
 
 #: Pixels in a row of the images that hold payloads, and bytes of such a row.
 ROW = 64
@@ -64,46 +69,52 @@ class Bits:
         """Bits read so far."""
         return 8 * self.at - self.size
 
+    def go(self, place: int) -> None:
+        """Reads on from a place."""
+        self.value, self.size, self.at = 0, 0, place >> 3
+        self.read(place & 7)
+
     def over(self) -> bool:
         return self.place() > 8 * len(self.data)
 
 
+@lru_cache(maxsize=16)
+def mirrored(n: int) -> np.ndarray:
+    """The numbers below 2**n with their n bits in reverse order."""
+    out = np.zeros(1, np.int64)
+    for _ in range(n):
+        out = np.concatenate((2 * out, 2 * out + 1))
+    return out
+
+
 class Code:
-    """A canonical prefix code; codes come highest bit first in a stream that is read lowest bit first."""
+    """A canonical prefix code; codes come highest bit first in a stream that is read lowest bit first.
+
+    table holds symbol * 16 + length for each value of the next `most` bits.
+    """
 
     def __init__(self, lengths: list[int] | np.ndarray) -> None:
         lengths = np.asarray(lengths, np.int64)
         used = np.flatnonzero(lengths)
         if not len(used):
             raise ValueError("a prefix code without symbols")
-        self.flat = bool(len(used) == 256 and used[-1] == 255 and (lengths[used] == 8).all())  # each byte is its own code
-        self.table: list[tuple[int, int]] = []
+        sizes = lengths[used]
+        self.flat = bool(len(used) == 256 and used[-1] == 255 and (sizes == 8).all())  # each byte is its own code
         if len(used) == 1:
-            self.most, self.table = 0, [(int(used[0]), 0)]
+            self.most, self.table = 0, [int(used[0]) << 4]
             return
-        if int((1 << (15 - lengths[used])).sum()) != 1 << 15:
+        self.most = int(sizes.max())
+        if self.most > LONGEST_CODE or int((1 << (self.most - sizes)).sum()) != 1 << self.most:
             raise ValueError("a prefix code that isn't complete")
-        self.most = int(lengths[used].max())
-        if self.flat:
-            return
-        order = sorted(used.tolist(), key=lambda s: (lengths[s], s))
-        self.table = [(0, 0)] * (1 << self.most)
-        code, before = 0, 0
-        for s in order:
-            n = int(lengths[s])
-            code <<= n - before
-            before = n
-            low = int(f"{code:0{n}b}"[::-1], 2)
-            self.table[low :: 1 << n] = [(s, n)] * (1 << (self.most - n))
-            code += 1
+        order = np.argsort(sizes, kind="stable")
+        sizes = sizes[order]
+        self.table = np.repeat(used[order] << 4 | sizes, 1 << (self.most - sizes))[mirrored(self.most)].tolist()
 
     def read(self, bits: Bits) -> int:
-        if self.flat:
-            return REVERSED_LIST[bits.read(8)]
-        s, n = self.table[bits.peek(self.most)]
-        if n:
-            bits.read(n)
-        return s
+        found = self.table[bits.peek(self.most)]
+        if found & 15:
+            bits.read(found & 15)
+        return found >> 4
 
 
 REVERSED = np.packbits(np.unpackbits(np.arange(256, dtype=np.uint8), bitorder="little"))
@@ -115,8 +126,8 @@ def read_code(bits: Bits, size: int) -> Code:
     if bits.read(1):
         two, wide = bits.read(1), bits.read(1)
         symbols = [bits.read(8 if wide else 1)] + ([bits.read(8)] if two else [])
-        if max(symbols) >= size:
-            raise ValueError("a symbol outside of its alphabet")
+        if max(symbols) >= size or len(set(symbols)) < len(symbols):
+            raise ValueError("a symbol outside of its alphabet, or twice")
         for s in symbols:
             lengths[s] = 1
         return Code(lengths)
@@ -125,8 +136,8 @@ def read_code(bits: Bits, size: int) -> Code:
         own[LENGTH_ORDER[i]] = bits.read(3)
     code = Code(own)
     left = 2 + bits.read(2 + 2 * bits.read(3)) if bits.read(1) else size
-    if not code.most and code.table[0][0] < 16:  # one length for all
-        lengths[: min(left, size)] = [code.table[0][0]] * min(left, size)
+    if not code.most and code.table[0] >> 4 < 16:  # one length for all
+        lengths[: min(left, size)] = [code.table[0] >> 4] * min(left, size)
         return Code(lengths)
     at, last = 0, 8
     while at < size and left:
@@ -154,6 +165,14 @@ def prefixed(bits: Bits, code: int) -> int:
     return ((2 + (code & 1)) << extra) + bits.read(extra) + 1
 
 
+def distance(code: int, width: int) -> int:
+    """How far back a copy begins, in pixels."""
+    if code > len(NEAR):
+        return code - len(NEAR)
+    x, y = NEAR[code - 1]
+    return max(1, x + y * width)
+
+
 def read_image(bits: Bits, width: int, height: int, *, main: bool) -> np.ndarray:
     """Pixels as 32-bit ARGB, before transforms are inverted."""
     cache_bits = bits.read(4) if bits.read(1) else 0
@@ -168,7 +187,9 @@ def read_image(bits: Bits, width: int, height: int, *, main: bool) -> np.ndarray
     codes = [[read_code(bits, n) for n in (280 + len(cache), 256, 256, 256, 40)] for _ in range(groups)]
     total = width * height
     if groups == 1 and not cache and all(c.flat for c in codes[0][:3]) and not codes[0][3].most:
-        return flat_pixels(bits, total, codes[0][3].table[0][0])
+        return flat_pixels(bits, total, codes[0][3].table[0] >> 4)
+    if groups == 1:
+        return read_pixels(bits, codes[0], total, width, cache_bits)
     out, at, per_row = [0] * total, 0, -(-width >> size_bits)
     shift = 32 - cache_bits
     while at < total:
@@ -180,12 +201,7 @@ def read_image(bits: Bits, width: int, height: int, *, main: bool) -> np.ndarray
             red, blue, alpha = r.read(bits), b.read(bits), a.read(bits)
             new = [alpha << 24 | red << 16 | s << 8 | blue]
         elif s < 280:
-            n, far = prefixed(bits, s - 256), prefixed(bits, d.read(bits))
-            if far > 120:
-                far -= 120
-            else:
-                x, y = NEAR[far - 1]
-                far = max(1, x + y * width)
+            n, far = prefixed(bits, s - 256), distance(prefixed(bits, d.read(bits)), width)
             if far > at or at + n > total:
                 raise ValueError("a back-reference outside of the image")
             piece = out[at - far : at] if far < n else out[at - far : at - far + n]
@@ -202,6 +218,59 @@ def read_image(bits: Bits, width: int, height: int, *, main: bool) -> np.ndarray
     return np.array(out, np.uint32)
 
 
+def read_pixels(bits: Bits, codes: list[Code], total: int, width: int, cache_bits: int) -> np.ndarray:
+    """Pixels of an image with one group of codes: read_image's loop over a place in the stream, without calls for a pixel."""
+    (green, g_mask), (red, r_mask), (blue, b_mask), (alpha, a_mask), _ = ((c.table, (1 << c.most) - 1) for c in codes)
+    data, place, ends = bits.data, bits.place(), 8 * len(bits.data)
+    cache, shift = [0] * (1 << cache_bits) if cache_bits else None, 32 - cache_bits
+    plain = None if a_mask else alpha[0] >> 4 << 24
+    out = array("I")
+    left = total
+    while left > 0:
+        v = int.from_bytes(data[place >> 3 : (place >> 3) + 8], "little") >> (place & 7)
+        g = green[v & g_mask]
+        n = g & 15
+        if g < 4096:  # a pixel: symbols below 256
+            v >>= n
+            x = red[v & r_mask]
+            m = x & 15
+            v >>= m
+            y = blue[v & b_mask]
+            place += n + m + (y & 15)
+            p = (x >> 4) << 16 | (g & 4080) << 4 | y >> 4
+            if plain is None:
+                a = alpha[v >> (y & 15) & a_mask]
+                place += a & 15
+                p |= a >> 4 << 24
+            else:
+                p |= plain
+            out.append(p)
+            left -= 1
+            if cache:
+                cache[(CACHE_FACTOR * p & 0xFFFFFFFF) >> shift] = p
+        elif g >= 4480:  # a cache entry: symbols from 280 on; its place in the cache stays its own
+            place += n
+            out.append(cache[(g >> 4) - 280])
+            left -= 1
+        else:
+            bits.go(place + n)
+            size, far = prefixed(bits, (g >> 4) - 256), distance(prefixed(bits, codes[4].read(bits)), width)
+            place, at = bits.place(), len(out)
+            if far > at or size > left:
+                raise ValueError("a back-reference outside of the image")
+            piece = out[at - far : at - far + size]
+            new = piece if far >= size else (piece * (size // far + 1))[:size]
+            out += new
+            left -= size
+            if cache:
+                for p in new if far >= size else new[-far:]:  # of repeated ones the last count
+                    cache[(CACHE_FACTOR * p & 0xFFFFFFFF) >> shift] = p
+        if place > ends:
+            raise ValueError("the stream ends before the image")
+    bits.go(place)
+    return np.frombuffer(out, np.uint32)
+
+
 def flat_pixels(bits: Bits, total: int, alpha: int) -> np.ndarray:
     """Pixels of three eight-bit codes each."""
     start, shift = divmod(bits.place(), 8)
@@ -373,6 +442,17 @@ def encode(rgb: np.ndarray) -> bytes:
     height, width, _ = rgb.shape
     if not (0 < width <= SIDE and 0 < height <= SIDE):
         raise ValueError("an image has 1 to 16384 pixels each way")
+    parts = rgb.reshape(-1, 3).astype(np.uint32)
+    px = np.uint32(255 << 24) | parts[:, 0] << 16 | parts[:, 1] << 8 | parts[:, 2]
+    out = BitWriter()
+    out.put(SIGNATURE | (width - 1) << 8 | (height - 1) << 22, 40)
+    data = flat(rgb, width, height) if not write_coded(out, px, width, height) else out.bytes()
+    data += b"\0" * (len(data) % 2)
+    return b"RIFF" + struct.pack("<I", 12 + len(data)) + b"WEBPVP8L" + struct.pack("<I", len(data)) + data
+
+
+def flat(rgb: np.ndarray, width: int, height: int) -> bytes:
+    """The image with eight-bit codes."""
     head = SIGNATURE | (width - 1) << 8 | (height - 1) << 22 | HEAD << 40
     size, shift = divmod(40 + HEAD_BITS, 8)
     raw = REVERSED[rgb.reshape(-1, 3)[:, [1, 0, 2]].ravel()]
@@ -382,9 +462,281 @@ def encode(rgb: np.ndarray) -> bytes:
         body[1:] |= raw >> (8 - shift)
     first = head.to_bytes(size + 1, "little")
     body[0] |= first[-1]
-    data = first[:-1] + (body if shift else body[:-1]).tobytes()
-    data += b"\0" * (len(data) % 2)
-    return b"RIFF" + struct.pack("<I", 12 + len(data)) + b"WEBPVP8L" + struct.pack("<I", len(data)) + data
+    return first[:-1] + (body if shift else body[:-1]).tobytes()
+
+
+class BitWriter:
+    """Writes from the lowest bit of each byte on."""
+
+    def __init__(self) -> None:
+        self.value, self.size, self.done = 0, 0, []
+
+    def put(self, value: int, n: int) -> None:
+        self.value |= value << self.size
+        self.size += n
+
+    def put_many(self, values: np.ndarray, sizes: np.ndarray) -> None:
+        """Fields of up to 20 bits each, in order."""
+        ends = np.cumsum(sizes) + self.size % 8
+        whole = self.size // 8
+        self.done.append((self.value & ((1 << 8 * whole) - 1)).to_bytes(whole, "little"))
+        rest = self.value >> 8 * whole
+        place = ends - sizes
+        shifted, word = values.astype(np.int64) << (place & 31), place >> 5
+        words = int(ends[-1]) // 32 + 2
+        low = np.bincount(word, shifted & 0xFFFFFFFF, words)  # no two fields share a bit, so sums below 2**32 are exact
+        low[1:] += np.bincount(word, shifted >> 32, words)[:-1]
+        low[0] += rest
+        data, size = low.astype("<u4").tobytes(), int(ends[-1])
+        self.done.append(data[: size // 8])
+        self.value, self.size = data[size // 8] & ((1 << size % 8) - 1), size % 8
+
+    def bytes(self) -> bytes:
+        return b"".join(self.done) + self.value.to_bytes((self.size + 7) // 8, "little")
+
+
+#: Lengths of codes that the encoder writes, of those for the pixels and of those for their own lengths.
+MOST_BITS, MOST_OWN = 12, 7
+#: Pixels that a copy has at least and at most, how far back it lies at most, and operations written at a time.
+LEAST_COPY, MOST_COPY, FARTHEST, OPERATIONS = 4, 4096, (1 << 20) - 120, 1 << 16
+
+
+def code_lengths(counts: np.ndarray, most: int) -> np.ndarray:
+    """Lengths of a Huffman code, none above `most`: counts are made more even until that holds."""
+    out = np.zeros(len(counts), np.int64)
+    used = np.flatnonzero(counts)
+    if len(used) < 2:
+        out[used] = 1
+        return out
+    held = counts[used]
+    used, held = used[order := np.argsort(held, kind="stable")], held[order]
+    while True:
+        weight, n = held.tolist(), len(used)
+        parent, leaf, node = [0] * (2 * n - 1), 0, n
+        while len(weight) < 2 * n - 1:  # leaves and joined nodes are two queues, each rising
+            pair = []
+            for _ in range(2):
+                if leaf < n and (node >= len(weight) or weight[leaf] <= weight[node]):
+                    pair.append(leaf)
+                    leaf += 1
+                else:
+                    pair.append(node)
+                    node += 1
+            parent[pair[0]] = parent[pair[1]] = len(weight)
+            weight.append(weight[pair[0]] + weight[pair[1]])
+        depth = [0] * (2 * n - 1)
+        for i in range(2 * n - 3, -1, -1):
+            depth[i] = depth[parent[i]] + 1
+        if max(depth) <= most:
+            out[used] = depth[:n]
+            return out
+        held = held // 2 + 1
+
+
+def codes_of(lengths: np.ndarray) -> np.ndarray:
+    """The canonical codes of symbols, as they stand in the stream."""
+    used = np.flatnonzero(lengths)
+    out = np.zeros(len(lengths), np.int64)
+    if len(used) > 1:
+        used = used[np.argsort(lengths[used], kind="stable")]
+        most = int(lengths[used[-1]])
+        share = 1 << (most - lengths[used])
+        out[used] = mirrored(most)[np.cumsum(share) - share]
+    return out
+
+
+def put_code(out: BitWriter, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Writes a code for symbols that occur so often; gives the codes and their lengths."""
+    used = np.flatnonzero(counts)
+    if len(used) < 2 and (not len(used) or used[0] < 256):
+        s = int(used[0]) if len(used) else 0
+        out.put(0b101 | s << 3, 11) if s > 1 else out.put(0b001 | s << 3, 4)
+        return np.zeros(len(counts), np.int64), np.zeros(len(counts), np.int64)
+    if len(used) == 1:  # one symbol past the bytes: a length of its own, with one that never comes
+        counts = counts.copy()
+        counts[0] = 1
+    lengths = code_lengths(counts, MOST_BITS)
+    tokens = []  # (symbol, extra value, extra bits)
+    edges = np.flatnonzero(np.diff(lengths)) + 1
+    before = 8
+    for start, stop in zip([0, *edges.tolist()], [*edges.tolist(), len(lengths)], strict=True):
+        value, n = int(lengths[start]), stop - start
+        if not value:
+            while n >= 11:
+                tokens.append((18, min(n, 138) - 11, 7))
+                n -= min(n, 138)
+            if n >= 3:
+                tokens.append((17, n - 3, 3))
+                n = 0
+        else:
+            if value != before:
+                tokens.append((value, 0, 0))
+                before, n = value, n - 1
+            while n >= 3:
+                tokens.append((16, min(n, 6) - 3, 2))
+                n -= min(n, 6)
+        tokens += [(value, 0, 0)] * n
+    symbols = np.array([t[0] for t in tokens])
+    own = code_lengths(np.bincount(symbols, minlength=19), MOST_OWN)
+    own_codes = codes_of(own)
+    ordered = own[list(LENGTH_ORDER)]
+    n = max(4, int(np.flatnonzero(ordered)[-1]) + 1)
+    out.put(0, 1)
+    out.put(n - 4, 4)
+    for i in range(n):
+        out.put(int(ordered[i]), 3)
+    out.put(0, 1)
+    bare = own[symbols] if np.count_nonzero(own) > 1 else np.zeros(len(symbols), np.int64)
+    codes, sizes = own_codes[symbols].tolist(), bare.tolist()
+    for (_, extra, m), code, size in zip(tokens, codes, sizes, strict=True):
+        out.put(code | extra << size, size + m)
+    return codes_of(lengths), lengths
+
+
+def prefix_of(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(prefix symbol, extra value, extra bits) of lengths or distances."""
+    v = values - 1
+    high = np.frexp(v.astype(float))[1] - 1  # the highest bit's place
+    extra = np.maximum(high - 1, 0)
+    large = v >= 4
+    return np.where(large, 2 * high + (v >> extra & 1), v), np.where(large, v & ((1 << extra) - 1), 0), np.where(large, extra, 0)
+
+
+def last_equal(keys: np.ndarray) -> np.ndarray:
+    """The last place before with the same key, or -1."""
+    order = np.argsort(keys, kind="stable")
+    out = np.full(len(keys), -1, np.int64)
+    same = keys[order[1:]] == keys[order[:-1]]
+    out[order[1:][same]] = order[:-1][same]
+    return out
+
+
+def copies_of(px: np.ndarray) -> list[tuple[int, int, int]]:
+    """(place, size, distance) of copies, left to right: each of the last place with the same LEAST_COPY pixels."""
+    n = len(px) - LEAST_COPY + 1
+    if n < 2:
+        return []
+    key = np.zeros(n, np.uint64)
+    with np.errstate(over="ignore"):
+        for i in range(LEAST_COPY):
+            key = (key ^ (key >> np.uint64(29))) * MIX + px[i : i + n]
+    before = last_equal(key)
+    out, free = [], 0
+    places = np.flatnonzero((before >= 0) & (np.arange(n) - before <= FARTHEST))
+    i = 0
+    while i < len(places):
+        at = int(places[i])
+        source = int(before[at])
+        size, step, most = 0, 32, min(MOST_COPY, len(px) - at)
+        while size < most:  # pieces that grow, up to the first pixel that differs
+            end = min(size + step, most)
+            differ = np.flatnonzero(px[at + size : at + end] != px[source + size : source + end])
+            if len(differ):
+                size += int(differ[0])
+                break
+            size, step = end, 4 * step
+        if size >= LEAST_COPY:
+            out.append((at, size, at - source))
+            free = at + size
+            i = int(np.searchsorted(places, free))
+        else:  # keys that only look alike
+            i += 1
+    return out
+
+
+def cost(*counts: np.ndarray) -> float:
+    """Bits that symbols take, and about five for each in the code's own table."""
+    total = 0.0
+    for c in counts:
+        c = c[c > 0]
+        total += float((c * np.log2(c.sum() / c)).sum()) + 5 * len(c)
+    return total
+
+
+def put_image(out: BitWriter, px: np.ndarray, width: int, *, main: bool, below: float = float("inf")) -> bool:
+    """Writes an entropy-coded image, or nothing if that would take more bits than `below`."""
+    copies = copies_of(px)
+    at, size, far = (np.array(c, np.int64) for c in zip(*copies, strict=True)) if copies else (np.zeros(0, np.int64),) * 3
+    covered = np.zeros(len(px) + 1, np.int64)
+    covered[at] += 1
+    covered[at + size] -= 1
+    single = np.flatnonzero(np.cumsum(covered)[:-1] == 0)  # pixels that no copy makes
+    (length_symbol, length_extra, length_bits), (far_symbol, far_extra, far_bits) = prefix_of(size), prefix_of(near_codes(far, width))
+    value = px[single]
+    green, red, blue, alpha = (value >> 8 & 255).astype(np.int64), (value >> 16 & 255).astype(np.int64), (value & 255).astype(np.int64), (value >> 24).astype(np.int64)
+    lengths, far_counts = np.bincount(256 + length_symbol, minlength=280), np.bincount(far_symbol, minlength=40)
+
+    def histograms(hit: np.ndarray, key: np.ndarray, cache_bits: int) -> list[np.ndarray]:
+        size = 280 + (1 << cache_bits if cache_bits else 0)
+        greens = np.bincount(np.where(hit, 280 + key, green), minlength=size)
+        greens[:280] += lengths
+        return [greens, *(np.bincount(c[~hit], minlength=256) for c in (red, blue, alpha)), far_counts]
+
+    none = np.zeros(len(single), bool)
+    counts, cache_bits, hit, key = histograms(none, none, 0), 0, none, none
+    best = cost(*counts)
+    if main and len(px) >= 64:
+        tried = min(10, len(px).bit_length() - 3)
+        keys = (px * np.uint32(CACHE_FACTOR)) >> np.uint32(32 - tried)
+        last = last_equal(keys)
+        hits = ((last >= 0) & (px[last] == px))[single]
+        if hits.any():
+            other = histograms(hits, keys[single].astype(np.int64), tried)
+            if (price := cost(*other)) < best:
+                best, counts, cache_bits, hit, key = price, other, tried, hits, keys[single].astype(np.int64)
+    if best + int(length_bits.sum() + far_bits.sum()) >= below:
+        return False
+    out.put(bool(cache_bits), 1)
+    if cache_bits:
+        out.put(cache_bits, 4)
+    if main:
+        out.put(0, 1)
+    (g_code, g_size), (r_code, r_size), (b_code, b_size), (a_code, a_size), (d_code, d_size) = (put_code(out, c) for c in counts)
+    # an operation has up to four fields; they are put in order of their places
+    symbol = np.where(hit, 280 + key, green)
+    values, sizes = np.zeros((len(single) + len(at), 4), np.int64), np.zeros((len(single) + len(at), 4), np.int64)
+    n = len(single)
+    values[:n, 0], sizes[:n, 0] = g_code[symbol], g_size[symbol]
+    for i, (code, length, channel) in enumerate(((r_code, r_size, red), (b_code, b_size, blue), (a_code, a_size, alpha)), 1):
+        values[:n, i], sizes[:n, i] = np.where(hit, 0, code[channel]), np.where(hit, 0, length[channel])
+    values[n:] = np.stack((g_code[256 + length_symbol], length_extra, d_code[far_symbol], far_extra), axis=1)
+    sizes[n:] = np.stack((g_size[256 + length_symbol], length_bits, d_size[far_symbol], far_bits), axis=1)
+    order = np.argsort(np.concatenate((single, at)), kind="stable")
+    for i in range(0, len(order), OPERATIONS):
+        some = order[i : i + OPERATIONS]
+        out.put_many(values[some].ravel(), sizes[some].ravel())
+    return True
+
+
+def near_codes(far: np.ndarray, width: int) -> np.ndarray:
+    """The codes of distances in pixels: near places have some of their own."""
+    near = {}
+    for i, (x, y) in enumerate(NEAR, 1):
+        if x + y * width >= 1:
+            near.setdefault(x + y * width, i)
+    return np.array([near.get(f, f + len(NEAR)) for f in far.tolist()], np.int64)
+
+
+def write_coded(out: BitWriter, px: np.ndarray, width: int, height: int) -> bool:
+    """Writes transforms and pixels; False if eight-bit codes are shorter."""
+    plain = 24 * len(px) + HEAD_BITS
+    colours, index = np.unique(px, return_inverse=True)
+    if len(colours) <= 256 and 2 * len(colours) <= len(px):
+        out.put(0b111, 3)
+        out.put(len(colours) - 1, 8)
+        steps = channels(colours)
+        steps[1:] -= channels(colours)[:-1]
+        put_image(out, joined(steps), len(colours), main=False)
+        bits = 3 if len(colours) <= 2 else 2 if len(colours) <= 4 else 1 if len(colours) <= 16 else 0
+        wide, depth = -(-width >> bits), 8 >> bits
+        packed = np.zeros((height, wide << bits), np.uint32)
+        packed[:, :width] = index.reshape(height, width)
+        packed = packed.reshape(height, wide, 1 << bits)
+        packed = (packed << (np.arange(1 << bits, dtype=np.uint32) * depth)).sum(axis=2, dtype=np.uint32)
+        px, width = (np.uint32(255 << 24) | packed.ravel() << 8), wide
+        plain = float("inf")
+    out.put(0, 1)
+    return put_image(out, px, width, main=True, below=plain)
 
 
 def store(payload: bytes) -> bytes:
@@ -452,7 +804,10 @@ def decoded(media: DataFrame, *, id_col: str = "doc_id", media_col: str = "media
 
 
 def media_digests(docs: DataFrame) -> DataFrame:
-    """The digest columns of the query, from samples that are decoded from the stored bytes; encoder and decoder share one pass."""
+    """The digest columns of the query, from samples that are decoded from the stored bytes; encoder and decoder share one pass.
+
+    Null and empty texts are 192 spaces; null and repeated ids stay rows of their own; other columns are left out.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "text"):
