@@ -40,6 +40,12 @@ NOT_TEXT = frozenset("head script style title noscript template iframe object em
 MARKED = frozenset("ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay sidebar aside nav navbar navigation menu breadcrumb breadcrumbs pagination footer comment comments disqus respond newsletter subscribe signup login share sharing social related recommended widget toolbar complementary contentinfo search".split())
 #: The same, outside of the article only.
 MARKED_OUTSIDE = frozenset("header masthead topbar".split())
+#: Inside of an article a name marks a part only if its other words say nothing of their own.
+PLAIN = frozenset("area bar block box button buttons container content group inner item items left link links list outer panel primary right row secondary section site the top bottom wrap wrapper".split())
+#: There, ids of these elements are anchors.
+ANCHORS = frozenset("section h1 h2 h3 h4 h5 h6 p span li dt dd td th a figure table".split())
+#: What an article element may be instead of the article.
+NO_ARTICLE = frozenset("ad ads advert advertisement comment comments promo reply replies sponsored".split())
 
 
 def host_of(url: str | None) -> str:
@@ -54,11 +60,18 @@ def boilerplate(tag: str, attributes: str, in_article: bool) -> bool:
         return False
     if HIDDEN.search(attributes):
         return True
-    if tag in ("html", "body", "article", "main"):
+    if tag in ("html", "body", "main"):
         return False
     for found in NAMES.finditer(attributes):
-        words = set(re.split(r"[\s_-]+", (found[1] or found[2] or found[3] or "").lower()))
-        if words & MARKED or not in_article and words & MARKED_OUTSIDE:
+        names = [set(re.split(r"[_-]+", n)) for n in (found[1] or found[2] or found[3] or "").lower().split()]
+        if tag == "article":
+            if any(n <= NO_ARTICLE | PLAIN and n & NO_ARTICLE for n in names):
+                return True
+        elif in_article:
+            anchor = tag in ANCHORS and found[0][:2].lower() == "id"
+            if not anchor and any(n & MARKED and n <= MARKED | PLAIN for n in names):
+                return True
+        elif any(n & MARKED or n & MARKED_OUTSIDE for n in names):
             return True
     return False
 
