@@ -32,26 +32,27 @@ REVISIT_BYTES = 100
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
-def record_id(key: int | None) -> str:
-    return f"<urn:page:{'none' if key is None else key}>"
+def record_id(key: int | None, digest: str, place: str = "") -> str:
+    """The id of a record: its page and payload, and its place for a page without an id. Rows equal in both are one record, written again."""
+    return f"<urn:page:none:{digest}:{place}>" if key is None else f"<urn:page:{key}:{digest}>"
 
 
 def key_of(record: str) -> int | None:
-    found = re.fullmatch(r"<urn:page:(none|-?\d+)>", record)
+    found = re.fullmatch(r"<urn:page:(none|-?\d+):[^>]*>", record)
     if not found:
         raise ValueError(f"not an id of this writer: {record}")
     return None if found[1] == "none" else int(found[1])
 
 
-def write_record(key: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, date: str) -> bytes:
-    """A response with the payload, or a revisit that names the response's record instead."""
+def write_record(key: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, date: str, place: str = "") -> bytes:
+    """A response with the payload, or a revisit that names the response's record instead. Blanks and control characters of a URL are percent-encoded."""
     revisit = refers_to is not None
-    head = {"WARC-Type": "revisit" if revisit else "response", "WARC-Record-ID": record_id(key), "WARC-Date": date}
-    if url and not re.search(r"[\x00-\x20]", url):
-        head["WARC-Target-URI"] = url
+    head = {"WARC-Type": "revisit" if revisit else "response", "WARC-Record-ID": record_id(key, digest, place), "WARC-Date": date}
+    if url:
+        head["WARC-Target-URI"] = re.sub(r"[\x00-\x20\x7f-\x9f\u2028\u2029]", lambda m: "".join(f"%{b:02X}" for b in m[0].encode()), url)
     head["WARC-Payload-Digest"] = f"sha256:{digest}"
     if revisit:
-        head |= {"WARC-Refers-To": record_id(refers_to), "WARC-Profile": PROFILE, "X-Payload-Length": str(len(payload))}
+        head |= {"WARC-Refers-To": record_id(refers_to, digest), "WARC-Profile": PROFILE, "X-Payload-Length": str(len(payload))}
     body = b"" if revisit else payload
     head |= {"Content-Type": "text/html; charset=utf-8", "Content-Length": str(len(body))}
     return "".join(["WARC/1.1\r\n", *(f"{k}: {v}\r\n" for k, v in head.items()), "\r\n"]).encode() + body + b"\r\n\r\n"
@@ -72,7 +73,8 @@ class BundleWriter:
     """Appends records; add() tells (frame, offset in the decompressed frame, length)."""
 
     def __init__(self, out) -> None:
-        self.out, self.frames, self.held, self.size, self.zstd = out, [], [], 0, zstandard.ZstdCompressor(level=3)
+        self.out, self.frames, self.held, self.size, self.count = out, [], [], 0, 0
+        self.zstd = zstandard.ZstdCompressor(level=3)
 
     def add(self, record: bytes) -> tuple[int, int, int]:
         if self.size and self.size + len(record) > FRAME_BYTES:
@@ -80,6 +82,7 @@ class BundleWriter:
         place = len(self.frames), self.size, len(record)
         self.held.append(record)
         self.size += len(record)
+        self.count += 1
         return place
 
     def flush(self) -> None:
@@ -147,7 +150,8 @@ def write_archives(space: Scratch, pages: DataFrame, *, id_col: str = "page_id",
             if not writer:
                 out = store.open_output_stream(at, compression=None)
                 writer = BundleWriter(out)
-            places = [writer.add(write_record(key, url, text.encode(), digest, ref, date)) for key, url, text, digest, ref in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "payload", "digest", "refers_to")), strict=True)]
+            rows = zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "payload", "digest", "refers_to")), strict=True)
+            places = [writer.add(write_record(key, url, text.encode(), digest, ref, date, f"{at.rsplit('/', 1)[1]}-{writer.count}")) for key, url, text, digest, ref in rows]
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), pa.array([at] * len(places)), *(pa.array(c, pa.int64()) for c in zip(*places, strict=True))], ["page_id", "path", "frame", "offset", "length"])
         if writer:
             writer.close()
