@@ -26,9 +26,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as a URI: spark.checkpoint.dir, or a folder of our own where that is unset."""
+    """The folder that driver and executors share, as a URI: spark.checkpoint.dir. Unset, it is a folder of our own for a session on one machine and an error on a cluster."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = Path(tempfile.gettempdir(), "vantor-shared").as_uri()
         spark.conf.set("spark.checkpoint.dir", found)
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
@@ -83,6 +85,34 @@ def scratch(spark: SparkSession) -> Iterator[Scratch]:
         space.drop()
 
 
+def give_back() -> None:
+    """What Arrow and the C library hold of freed memory goes back to the system, where the executor's JVM needs it."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM:
+        _TRIM(0)
+
+
+def _trim():
+    with contextlib.suppress(OSError, AttributeError):
+        return ctypes.CDLL(None).malloc_trim
+
+
+_TRIM = _trim()
+
+
+def quoted(name: str) -> str:
+    """A column's name as Spark's parser takes it, whatever it holds."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """A name for a column beside df's own."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def chunks(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:
     """Batches again, cut so that each holds about CHUNK_BYTES of the text column, one row at least."""
     for batch in batches:
@@ -137,7 +167,7 @@ def with_value(docs: DataFrame, text_col: str, work_out: Callable[[list[str | No
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(work_out(text.to_pylist()), kind)], ["row", "value"])
 
     small_batches(docs.sparkSession)
-    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    packed = docs.select(F.struct(*(F.col(quoted(c)) for c in docs.columns)).alias("row"))
     return packed.mapInArrow(run, T.StructType([packed.schema[0], T.StructField("value", T.DataType.fromDDL(ddl))]))
 
 
@@ -154,6 +184,5 @@ def claim(name: str, release: Callable[[], None]) -> None:
     if _HOLDER:
         _HOLDER[1]()
         gc.collect()
-        with contextlib.suppress(OSError, AttributeError):
-            ctypes.CDLL(None).malloc_trim(0)
+        give_back()
     _HOLDER[:] = [name, release]

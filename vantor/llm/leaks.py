@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vantor.llm.common import claim, with_value
+from vantor.llm.common import claim, quoted, unused, with_value
 
 ERROR_WORDS = 6
 #: Words that an item needs unless a caller takes shorter ones too.
@@ -133,20 +133,21 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item
     items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).alias("text")).where("text is not null")
     blocks = -(-items.count() // BLOCK_ITEMS) or 1
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("distance", pa.int64())]))
-    out = docs.withColumn("__leaks", F.array().cast("array<struct<item_id: long, distance: long>>")) if blocks > 1 else docs
+    held = unused(docs, "leaks")
+    out = docs.withColumn(held, F.array().cast("array<struct<item_id: long, distance: long>>")) if blocks > 1 else docs
     for b in range(blocks):
         block = [(r.item_id, r.text) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()]
         sent = docs.sparkSession.sparkContext.broadcast(block)
 
         def work_out(texts: list[str | None], sent=sent) -> list:
-            held = _items(sent, min_words)
-            return [[{"item_id": i, "distance": d} for i, d in held.found(t)] for t in texts]
+            table = _items(sent, min_words)
+            return [[{"item_id": i, "distance": d} for i, d in table.found(t)] for t in texts]
 
         found = with_value(out, text_col, work_out, kind, "array<struct<item_id: long, distance: long>>")
         if blocks == 1:
             return found.select("row", F.col("value").alias("leaks"))
-        out = found.select(*(F.col(f"row.`{c}`") for c in docs.columns), F.concat("row.__leaks", "value").alias("__leaks"))
-    return out.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("__leaks").alias("leaks"))
+        out = found.select(*(F.col(f"row.{quoted(c)}") for c in docs.columns), F.concat(F.col(f"row.{quoted(held)}"), "value").alias(held))
+    return out.select(F.struct(*(F.col(quoted(c)) for c in docs.columns)).alias("row"), F.col(quoted(held)).alias("leaks"))
 
 
 _HELD: dict[tuple[int, int], tuple[list, Items]] = {}
@@ -165,6 +166,6 @@ def _items(sent, min_words: int) -> Items:
 
 
 def leak_report(docs: DataFrame, benchmark: DataFrame, *, min_words: int = PIECE) -> DataFrame:
-    """(doc_id, contaminated, n_items, item_ids, least_distance) of each row."""
+    """(doc_id, contaminated, n_items, item_ids, least_distance) of each row; null and empty texts hold nothing, and nor does an empty benchmark's."""
     found = leaks(docs.select("doc_id", "text"), benchmark, min_words=min_words)
     return found.select(F.col("row.doc_id").cast("long").alias("doc_id"), (F.size("leaks") > 0).alias("contaminated"), F.size("leaks").cast("long").alias("n_items"), F.col("leaks.item_id").alias("item_ids"), F.array_min(F.col("leaks.distance")).alias("least_distance"))

@@ -204,5 +204,5 @@ def with_digest(texts: DataFrame) -> DataFrame:
 
 
 def repeated_span_digests(space: Scratch, docs: DataFrame) -> DataFrame:
-    """The digest columns of the query."""
+    """The digest columns of the query; null and empty texts have no words, and nothing goes from a row with a null id."""
     return repeated_spans(space, docs).select("doc_id", "n_words", "n_removed", F.coalesce(F.sha2(F.col("kept").cast("binary"), 256), F.col("whole")).alias("kept_sha256"))
