@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vantor.llm.bpe import bpe_digests
-from vantor.llm.common import bounded, scratch, table
+from vantor.llm.common import bounded, quoted, scratch, table
 from vantor.llm.leaks import leaks
 from vantor.llm.minhash import near_duplicates
 from vantor.llm.substrings import repeated_spans
@@ -23,34 +23,42 @@ ORACLE_SQL = None
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts that the model calls toxic go; rows don't move."""
+    """Texts that the model calls toxic go; null and empty ones never are. Rows don't move."""
     return toxic_rows(docs, table(spark, sf_dir, "labels"), most=250_000).where("predicted = 0").select("row.*")
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five words, 0.8) the document with the smallest id stays, rows without an id too."""
+    """Of each group of near copies (five words, 0.8) the document with the smallest id stays, rows without an id or words too."""
     with scratch(spark) as space:
         gone = near_duplicates(space, docs).where("not kept").select("doc_id").distinct().checkpoint()
-    return docs.join(bounded(gone), "doc_id", "left_anti").select(docs.columns)
+    return docs.join(bounded(gone), "doc_id", "left_anti").select(*(F.col(quoted(c)) for c in docs.columns))
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of 50 words that an earlier document has go from texts; n_chars follows. Texts without any stay as they are."""
+    """Passages of 50 words that an earlier document has go from texts; n_chars follows.
+
+    Texts without any stay as they are, null ones too; in a changed text all white space, line feeds included, becomes
+    one space between words. Other columns stay, whatever they are called.
+    """
     with scratch(spark) as space:
-        new = repeated_spans(space, docs).where("kept is not null").select(F.col("doc_id").alias("__id"), F.col("whole").alias("__whole"), F.col("kept").alias("__kept")).distinct().checkpoint()
-    ids = bounded(new.select("__id").distinct())
-    same = docs.join(ids, docs.doc_id == ids["__id"], "left_anti")
+        new = repeated_spans(space, docs).where("kept is not null").select(F.col("doc_id").alias("id"), F.col("whole").alias("sha"), "kept").distinct().checkpoint()
+    ids = bounded(new.select(F.col("id").alias("changed")).distinct())
+    rows = docs.select(F.struct(*(F.col(quoted(c)) for c in docs.columns)).alias("row"))
+    same = rows.join(ids, F.col("row.doc_id") == F.col("changed"), "left_anti")
     # texts of an id that don't change stand beside one that does only where ids repeat
-    words = F.trim(F.regexp_replace("text", r"[\x20\x09-\x0D]+", " "))
-    some = docs.join(ids, docs.doc_id == ids["__id"], "left_semi").withColumn("__sha", F.sha2(F.coalesce(words, F.lit("")).cast("binary"), 256))
-    some = some.join(new, (F.col("doc_id") == F.col("__id")) & (F.col("__sha") == F.col("__whole")), "left")
-    text = F.coalesce("__kept", "text")
-    changed = {"text": text} | ({"n_chars": F.when(F.col("__kept").isNull(), F.col("n_chars")).otherwise(F.char_length(text)).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
-    return same.unionByName(some.select(*(changed[c].alias(c) if c in changed else F.col(f"`{c}`") for c in docs.columns)))
+    words = F.trim(F.regexp_replace("row.text", r"[\x20\x09-\x0D]+", " "))
+    some = rows.join(ids, F.col("row.doc_id") == F.col("changed"), "left_semi").withColumn("whole", F.sha2(F.coalesce(words, F.lit("")).cast("binary"), 256))
+    some = some.join(new, (F.col("row.doc_id") == F.col("id")) & (F.col("whole") == F.col("sha")), "left")
+    text = F.coalesce("kept", "row.text")
+    changed = {"text": text}
+    if "n_chars" in docs.columns:
+        changed["n_chars"] = F.when(F.col("kept").isNull(), F.col("row.n_chars")).otherwise(F.char_length(text)).cast(docs.schema["n_chars"].dataType)
+    old = lambda c: F.col(f"row.{quoted(c)}")
+    return same.select(*(old(c).alias(c) for c in docs.columns)).union(some.select(*(changed.get(c, old(c)).alias(c) for c in docs.columns)))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts that hold a benchmark item go; rows don't move."""
+    """Texts that hold a benchmark item go; null and empty ones hold none. Rows don't move."""
     return leaks(docs, table(spark, sf_dir, "benchmark"), min_words=1).where(F.size("leaks") == 0).select("row.*")
 
 
