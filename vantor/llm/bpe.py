@@ -54,9 +54,7 @@ class TrieBpe:
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        self.library = Tokenizer.from_file(path)
-        self.library.no_truncation()
-        self.library.no_padding()
+        self.splitter = Tokenizer.from_file(path).pre_tokenizer
         self.ids: dict[str, int] = spec["model"]["vocab"]
         self.added = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.tokens = {i: t for t, i in self.ids.items()}
@@ -124,7 +122,7 @@ class TrieBpe:
 
     def encode_units(self, units: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        split = self.library.pre_tokenizer.pre_tokenize_str
+        split = self.splitter.pre_tokenize_str
         cut = [[w for w, _ in split(u)] for u in units]
         if len(self.words) > self.most * 3 // 5:
             self.words.clear()
@@ -189,5 +187,5 @@ def bpe_round_trip(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_c
 
 
 def bpe_digests(docs: DataFrame, path: str, most: int = MOST_UNITS) -> DataFrame:
-    """The digest columns of the query, worked out by Spark from the operator's ids and texts."""
+    """The digest columns of the query, worked out by Spark from the operator's ids and texts; null and empty texts have none."""
     return bpe_round_trip(docs, path, most=most).select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))

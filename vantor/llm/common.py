@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Python workers hand back batches of about this many bytes of text.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -121,6 +121,7 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBa
         step = max(1, int(batch.num_rows * CHUNK_BYTES / max(1, batch.column(text).nbytes)))
         for at in range(0, batch.num_rows, step):
             yield batch.slice(at, step)
+        give_back()
 
 
 def components(space: Scratch, links: DataFrame, rounds: int = 40) -> DataFrame:
