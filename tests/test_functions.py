@@ -22,21 +22,31 @@ def vec(indices, values, dimension=None):
 
 
 def test_sparse(spark):
-    a = vec([0, 5, 10], [1, 2, 3])
-    assert value(spark, S.length(a)) == 3 and value(spark, S.dimension(a)) == 11
+    a = vec([2, 3, 8, 20], [4, -1, 0.5, 7])
+    assert value(spark, S.length(a)) == 4 and value(spark, S.dimension(a)) == 21
     none = vec([], [])
     assert value(spark, F.struct(S.is_empty(none), S.dimension(none), S.norm(none), S.normalize(none).isNull())) == (True, 0, 0.0, True)
-    assert value(spark, S.dot(vec([1, 3, 5], [1, 2, 3]), vec([1, 2, 3], [0.5, 1, 1.5]))) == 3.5
-    assert value(spark, S.dot(vec([1, 2, 3], [1, 1, 1]), vec([4, 5, 6], [1, 1, 1]))) == 0
-    assert value(spark, S.norm(vec([0, 2], [3, 4]))) == 5
-    assert value(spark, S.norm(S.normalize(vec([0, 2], [3, 4], 9)))) == pytest.approx(1)
-    assert [value(spark, S.validate(v)) is None for v in (vec([1, 2], [1, 1]), vec([1, 1, 5], [1, 1, 1]), vec([1, 5, 3], [1, 1, 1]), vec([1, 2], [1]), vec([], []))] == [True, False, False, False, True]
-    d = value(spark, S.from_dense(F.lit([0.0, 1.0, 0.0, 0.0, 0.5, 0.0])))
-    assert (d.indices, d.values, d.dimension) == ([1, 4], [1.0, 0.5], 6)
-    assert value(spark, S.to_dense(vec([1, 3], [1, 2], 5))) == [0, 1, 0, 2, 0]
+    assert value(spark, S.dot(vec([0, 4, 9], [2, 0.25, -3]), vec([4, 6, 9], [8, 5, 2]))) == -4
+    assert value(spark, S.dot(vec([7, 9], [2, 2]), vec([1, 8, 30], [3, 3, 3]))) == 0
+    assert value(spark, S.norm(vec([1, 6, 7], [2, -3, 6]))) == 7
+    assert value(spark, S.norm(S.normalize(vec([1, 6, 7], [2, -3, 6], 9)))) == pytest.approx(1)
+    assert [value(spark, S.validate(v)) is None for v in (vec([4, 9], [2, 2]), vec([4, 4], [2, 3]), vec([9, 4, 11], [2, 2, 2]), vec([4, 9, 12], [2, 2]), vec([], []))] == [True, False, False, False, True]
+    d = value(spark, S.from_dense(F.lit([2.5, 0.0, 0.0, -1.0, 0.0])))
+    assert (d.indices, d.values, d.dimension) == ([0, 3], [2.5, -1.0], 5)
+    assert value(spark, S.to_dense(vec([0, 2], [3, 6], 4))) == [3, 0, 6, 0]
     assert value(spark, S.equal(vec([1], [1], 5), vec([1], [1], 9)))
 
 
+def test_sparse_against_dense(spark):
+    rng = np.random.default_rng(4)
+    dense = np.where(rng.random((12, 30)) < 0.4, rng.integers(-8, 9, (12, 30)) / 4, 0.0)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(dense)], "id long, v array<double>").select("id", S.from_dense("v").alias("s"))
+    got = {(r.a, r.b): r.dot for r in S.batch_dot(rows.where("id < 5"), rows).collect()}
+    want = {(i, j): float(dense[i] @ dense[j]) for i in range(5) for j in range(12) if ((dense[i] != 0) & (dense[j] != 0)).any()}
+    assert got == pytest.approx(want)
+    assert [r.n for r in rows.select("id", S.norm(F.col("s")).alias("n")).orderBy("id").collect()] == pytest.approx(np.linalg.norm(dense, axis=1).tolist())
+
+
 def test_xxhash(spark):
     rows = spark.createDataFrame([(s,) for s in ("", "abc", "x" * 54, "é" * 40, None)], "s string")
     for seed in (0, 1, 2**63 + 5):

@@ -1,5 +1,6 @@
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -160,3 +161,53 @@ def test_set_queries_take_all_ids(spark):
     got = {r.value: r.member for r in queries()["set_members_all"](spark, sf).collect()}
     assert len(got) > 100 and got == {k: v == 1 for k, v in labels.items()}
     assert sum(r.length for r in queries()["set_runs_all"](spark, sf).collect()) == sum(v != 1 for v in labels.values())
+
+
+def test_runs_of_large_ids(spark):
+    """Across the borders of parts, where doubles can't tell neighbours."""
+    import random
+
+    rng = random.Random(8)
+    values = {c + d for c in ((1 << 62) - 5, -(1 << 62) + 3, (1 << 53) + (3 << 20), (1 << 63) - 40, -(1 << 63)) for d in rng.sample(range(40), 25)}
+    for part in (8, 1 << 20):
+        got = {(r.start, r.length) for r in sets.runs(spark.createDataFrame([(v,) for v in values], "value long"), part).collect()}
+        want = {(v, next(n for n in range(1, 100) if v + n not in values)) for v in values if v - 1 not in values}
+        assert got == want
+
+
+def test_bits_change(spark):
+    rng = np.random.default_rng(3)
+    places = sorted(set(rng.integers(0, 70, 20).tolist()))
+    row = sets.bits_of(spark.createDataFrame([(p,) for p in places], "value long"), 70)
+    assert row.select(sets.bits_set("bitmap").alias("b")).first().b == places and len(row.first().bitmap) == 9
+    for p in (0, 1, 8, 69, 71, 72, -1):
+        r = row.select(sets.bits_set(sets.with_bit("bitmap", p)).alias("on"), sets.bits_set(sets.with_bit("bitmap", p, on=False)).alias("off")).first()
+        assert r.on == (sorted({*places, p}) if 0 <= p < 72 else places) and r.off == [x for x in places if x != p]
+    none = sets.bits_of(spark.createDataFrame([], "value long"), 0)
+    assert bytes(none.first().bitmap) == b"" and none.select(sets.bits_set("bitmap").alias("b")).first().b == []
+
+
+def test_batch_of_queries_scans_once(spark):
+    rng = np.random.default_rng(2)
+    v = rng.integers(-3, 4, (3000, 4)).astype(float)  # many ties
+    rows = spark.createDataFrame([(f"r{i:04}", x.tolist()) for i, x in enumerate(v)], "id string, embedding array<float>")
+    queries = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v[:1100])], "query_id int, query array<float>")
+    for metric in ("l2", "cosine", "dot"):
+        found = batch_knn(rows, queries, 7, metric=metric)
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("MapInArrow") == 1
+        got = {}
+        for r in found.where("query_id in (0, 600, 1099)").orderBy("query_id", "rank").collect():
+            got.setdefault(r.query_id, []).append((r.id, round(r.score, 5) + 0.0))
+        for q in (0, 600, 1099):
+            if metric == "cosine" and not v[q].any():
+                continue
+            assert got[q] == [(r.id, round(r.score, 5) + 0.0) for r in knn(rows, v[q].tolist(), 7, metric=metric).collect()], (metric, q)
+    with pytest.raises(TypeError):
+        batch_knn(rows, queries.selectExpr("cast(query_id as double) query_id", "query"), 3)
+
+
+def test_live_sorts_no_vectors(spark):
+    log = spark.createDataFrame([(i % 5, "delete" if i % 7 == 0 else "update", i % 9, [float(i)]) for i in range(5)], "seq long, op string, id long, embedding array<float>")
+    plan = changes.live(log)._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "SortMergeJoin" not in plan

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vantor.functions.distance import _column
@@ -108,6 +108,11 @@ def fields(payload: Column | str) -> Column:
     return F.from_json(F.to_json(_column(payload)), "map<string, variant>")
 
 
+def entries(rows: DataFrame, column: str = "payload") -> DataFrame:
+    """The rows once for each field of their payload, with (pos, key, value); none for payloads without fields."""
+    return rows.lateralJoin(rows.sparkSession.tvf.variant_explode(F.col(column).outer()))
+
+
 def from_map(values: Column) -> Column:
     """A payload of a map's entries."""
     return F.to_variant_object(values)

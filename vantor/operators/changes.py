@@ -12,10 +12,17 @@ OPS = ("insert", "update", "delete")
 def live(log: DataFrame, *, order: str = "seq", op: str = "op", id_col: str = "id") -> DataFrame:
     """The live rows: each id's last change, unless that is a delete. Without seq and op.
 
-    One aggregation with partial sums, so a hot id is combined where it is read; no sort, no window.
+    Only ids, numbers and operations are aggregated, in hash tables with partial results, so a hot id is combined where
+    it is read and no vector is sorted; the last change of an id then picks its row by a join. A log must not hold two
+    changes of an id under one number.
     """
-    last = log.groupBy(id_col).agg(F.max_by(F.struct(*(F.col(c) for c in log.columns)), F.col(order)).alias("r"))
-    return last.where(F.col(f"r.{op}") != "delete").select(*(F.col(f"r.{c}") for c in log.columns if c not in (order, op)))
+    last = log.groupBy(F.col(id_col).alias("__id")).agg(F.max(order).alias("__last")).hint("shuffle_hash")
+    kept = log.where(F.col(op) != "delete").join(last, (F.col(id_col) == F.col("__id")) & (F.col(order) == F.col("__last")))
+    return kept.select(*(F.col(_quoted(c)) for c in log.columns if c not in (order, op)))
+
+
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
 
 
 #: Sets of ids of at most so many rows may be broadcast.
@@ -25,11 +32,13 @@ BROADCAST_ROWS = 1_000_000
 def without(rows: DataFrame, tombstones: DataFrame, id_col: str = "id") -> DataFrame:
     """Rows whose id has no tombstone. A count decides whether tombstones are sent to the rows or both are shuffled."""
     ids = tombstones.select(id_col).distinct()
-    return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, id_col, "left_anti").select(rows.columns)
+    return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, id_col, "left_anti").select(*(F.col(_quoted(c)) for c in rows.columns))
 
 
 def counts(log: DataFrame, *, order: str = "seq", op: str = "op", id_col: str = "id") -> DataFrame:
     """(stored, deleted, live), one row: stored rows are the inserts and updates ever made."""
-    per_id = log.groupBy(id_col).agg(F.sum((F.col(op) != "delete").cast("long")).alias("stored"), F.max_by(op, order).alias("last"))
-    total = per_id.agg(F.coalesce(F.sum("stored"), F.lit(0)).cast("long").alias("stored"), F.coalesce(F.sum((F.col("last") != "delete").cast("long")), F.lit(0)).cast("long").alias("live"))
+    alive = F.col(op) != "delete"  # the last write is alive if it has a higher number than the last delete
+    per_id = log.groupBy(id_col).agg(F.sum(alive.cast("long")).alias("stored"), F.max(F.when(alive, F.col(order))).alias("on"), F.max(F.when(~alive, F.col(order))).alias("off"))
+    live_ = F.coalesce(F.col("on") > F.col("off"), F.col("on").isNotNull())
+    total = per_id.agg(F.coalesce(F.sum("stored"), F.lit(0)).cast("long").alias("stored"), F.coalesce(F.sum(live_.cast("long")), F.lit(0)).cast("long").alias("live"))
     return total.select("stored", (F.col("stored") - F.col("live")).alias("deleted"), "live")

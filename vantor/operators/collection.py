@@ -29,13 +29,15 @@ class Collection:
     """An immutable view: rows as they were loaded, and a log of what changed since. Changes give a new collection.
 
     base has the columns (id, embedding, payload), each id once; log also (seq, op), for changes after base. payload
-    may be of any type. Nothing runs before an action but the counts that decide on a broadcast.
+    may be of any type. Nothing runs before an action but the counts that decide on a broadcast. last is the number
+    of the log's last change, if known. Rows of one change have different ids; of two equal ones both are live.
     """
 
     base: DataFrame
     dimension: int
     metric: Metric = Metric.L2
     log: DataFrame | None = None
+    last: int | None = None
 
     @classmethod
     def over(cls, rows: DataFrame, dimension: int, metric: Metric | str = Metric.L2, *, id_col: str = "id", vector_col: str = "embedding", payload: Column | None = None) -> Collection:
@@ -86,6 +88,8 @@ class Collection:
         spark = self.base.sparkSession
         if not isinstance(ids, DataFrame):
             wanted = {int(i) for i in ids}
+            if not wanted:
+                return self
             found = {r.id for r in self.live().where(F.col("id").isin(list(wanted))).select("id").collect()}
             if wanted - found:
                 raise NotFound(f"no live row has id {min(wanted - found)}")
@@ -94,10 +98,11 @@ class Collection:
         return self._with(gone, "delete")
 
     def _with(self, rows: DataFrame, op: str) -> Collection:
-        at = 1 if self.log is None else (self.log.agg(F.max("seq")).first()[0] or 0) + 1
+        # a log given from outside is asked once; after that the number goes along
+        at = 1 if self.log is None else self.last + 1 if self.last is not None else (self.log.agg(F.max("seq")).first()[0] or 0) + 1
         kinds = {c: self.base.schema[c].dataType for c in ("embedding", "payload")}
         new = rows.select(F.lit(at).cast("long").alias("seq"), F.lit(op).alias("op"), F.col("id").cast("long").alias("id"), F.col("embedding").cast(kinds["embedding"]).alias("embedding"), F.col("payload") if "payload" in rows.columns else F.lit(None).cast(kinds["payload"]).alias("payload"))
-        return replace(self, log=new if self.log is None else self.log.unionByName(new))
+        return replace(self, log=new if self.log is None else self.log.unionByName(new), last=at)
 
     def checked_query(self, query: Sequence[float]) -> Sequence[float]:
         """The query, or an error if its dimension is another one."""

@@ -44,16 +44,65 @@ def runs(a: DataFrame, part: int = 1 << 20) -> DataFrame:
     Runs are found within parts of the range of values, each a window of its own, then parts' first and last runs are
     joined up, of which there are few.
     """
-    parts = a.withColumn("part", F.floor(F.col("value") / part))
+    # whole numbers throughout: a division in doubles is wrong from 2**53 on
+    parts = a.withColumn("at", F.pmod("value", F.lit(part).cast("long"))).withColumn("part", F.try_subtract("value", "at"))
     within = Window.partitionBy("part").orderBy("value")
-    short = parts.withColumn("island", F.col("value") - F.row_number().over(within)).groupBy("part", "island").agg(F.min("value").alias("start"), F.max("value").alias("end"))
-    edge = ((F.col("start") % part == 0) | (F.col("end") % part == part - 1))
+    short = parts.withColumn("island", F.col("at") - F.row_number().over(within)).groupBy("part", "island").agg(F.min("value").alias("start"), F.max("value").alias("end"))
+    edge = (F.pmod("start", F.lit(part).cast("long")) == 0) | (F.pmod("end", F.lit(part).cast("long")) == part - 1)
     across = Window.orderBy("start")
     joined = short.where(edge).withColumn("new", F.coalesce((F.lag("end").over(across) + 1 != F.col("start")).cast("int"), F.lit(1)))
     joined = joined.withColumn("run", F.sum("new").over(across)).groupBy("run").agg(F.min("start").alias("start"), F.max("end").alias("end"))
     return short.where(~edge).select("start", "end").unionByName(joined.select("start", "end")).select("start", (F.col("end") - F.col("start") + 1).alias("length"))
 
 
+def ascending(a: DataFrame) -> DataFrame:
+    """The set's values in order: ranges of values are sorted by themselves, so no task has them all."""
+    return a.orderBy("value")
+
+
+def bits_of(places: DataFrame, size: int, column: str = "value") -> DataFrame:
+    """(bitmap), one row: a set of `size` bits, 0 up to size - 1, those of places set; the lowest bit of the first byte is 0."""
+    if not 0 <= size <= 1 << 31:
+        raise ValueError("a bitset has 0 to 2**31 bits")
+    outside = ~F.col(column).between(0, size - 1)
+    kept = places.where(F.col(column).isNotNull()).select(F.when(outside, F.raise_error(F.lit("a bit outside of the set")).cast("long")).otherwise(F.col(column).cast("long")).alias("v"))
+    bytes_ = kept.groupBy(F.shiftright("v", 3).cast("int").alias("at")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1), (F.col("v") % 8).cast("int"))).alias("b"))
+    return bytes_.agg(F.collect_list(F.struct("at", "b")).alias("held")).select(_bytes("held", (size + 7) // 8).alias("bitmap"))
+
+
+def _bytes(held: str, n: int) -> Column:
+    """A binary of n bytes from (at, b) pairs; bytes without one are 0."""
+    at = F.map_from_entries(held)
+    if not n:
+        return F.lit(b"")
+    return F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.lpad(F.hex(F.coalesce(F.try_element_at(at, i), F.lit(0))), 2, "0")), ""))
+
+
+def with_bit(bitmap: Column | str, place: Column | int, on: bool = True) -> Column:
+    """The binary column with a bit set or cleared; past the end it stays as it is."""
+    bitmap, place = F.col(bitmap) if isinstance(bitmap, str) else bitmap, place if isinstance(place, Column) else F.lit(place)
+    at = F.shiftright(place.cast("long"), 3).cast("int")
+    old = F.conv(F.hex(F.substring(bitmap, at + 1, F.lit(1))), 16, 10).cast("int")
+    mask = F.call_function("shiftleft", F.lit(1), (place % 8).cast("int"))
+    new = old.bitwiseOR(mask) if on else old.bitwiseAND(F.bitwise_not(mask))
+    end = F.octet_length(bitmap) - at - 1
+    whole = F.concat(F.substring(bitmap, F.lit(1), at), F.unhex(F.lpad(F.hex(new), 2, "0")), F.substring(bitmap, at + 2, F.greatest(end, F.lit(0))))
+    return F.when((place < 0) | (end < 0), bitmap).otherwise(whole)
+
+
+def cleared(bitmap: Column | str) -> Column:
+    """The binary column with no bit set."""
+    bitmap = F.col(bitmap) if isinstance(bitmap, str) else bitmap
+    return F.unhex(F.repeat(F.lit("00"), F.octet_length(bitmap)))
+
+
+def bits_set(bitmap: Column | str) -> Column:
+    """The places of set bits, ascending, as an array."""
+    bitmap = F.col(bitmap) if isinstance(bitmap, str) else bitmap
+    all_bits = F.when(F.octet_length(bitmap) > 0, F.sequence(F.lit(0), 8 * F.octet_length(bitmap) - 1)).otherwise(F.array().cast("array<int>"))
+    return F.filter(all_bits, lambda i: bit(bitmap, i))
+
+
 def bit(bitmap: Column | str, place: Column | int) -> Column:
     """Whether a bit of a binary column is set; the lowest bit of the first byte is 0, and past the end none is."""
     bitmap, place = F.col(bitmap) if isinstance(bitmap, str) else bitmap, place if isinstance(place, Column) else F.lit(place)

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vantor.operators.errors import CollectionExists, CollectionNotFound
+from vantor.operators.errors import CollectionExists, CollectionNotFound, InvalidInput
 
 
 class Aliases:
@@ -17,7 +17,7 @@ class Aliases:
 
     def set(self, alias: str, target: str) -> str | None:
         if not alias:
-            raise ValueError("Alias name cannot be empty")
+            raise InvalidInput("an alias needs a name")
         old, self.targets[alias] = self.targets.get(alias), target
         return old
 

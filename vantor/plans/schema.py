@@ -9,7 +9,7 @@ from enum import StrEnum
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from vantor.operators.errors import InvalidSchema
+from vantor.operators.errors import InvalidIndexKind, InvalidMetric, InvalidName, InvalidQuantization, InvalidSchema
 
 
 class _Named(StrEnum):
@@ -17,7 +17,11 @@ class _Named(StrEnum):
     def parse(cls, name: str):
         """Takes the serialised spelling too, which has an underscore more for some."""
         low = name.lower()
-        return cls({"dot_product": "dot", "p_q": "pq", "ivf_p_q": "ivf_pq"}.get(low, low))
+        try:
+            return cls({"dot_product": "dot", "p_q": "pq", "ivf_p_q": "ivf_pq"}.get(low, low))
+        except ValueError as e:
+            unknown = {"DistanceMetric": InvalidMetric, "IndexKind": InvalidIndexKind, "Quantization": InvalidQuantization}.get(cls.__name__, InvalidName)
+            raise unknown(f"{name!r} is none of {', '.join(cls)}") from e
 
 
 class DistanceMetric(_Named):

@@ -8,6 +8,7 @@ from functools import partial
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vantor import queries_api
 from vantor.functions import distance as D
 from vantor.functions import hashing as H
 from vantor.functions import packed as P
@@ -170,7 +171,7 @@ def payload_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def payload_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _events(spark, sf_dir).select("event_id", "payload")
-    return rows.lateralJoin(spark.tvf.variant_explode(F.col("payload").outer())).select("event_id", "key", F.to_json("value").alias("value"))
+    return V.entries(rows).select("event_id", "key", F.to_json("value").alias("value"))
 
 
 # Sparse vectors: elements below 0.1 in size become 0.
@@ -350,7 +351,7 @@ def queries() -> dict[str, Query]:
         out[name] = lambda spark, sf_dir, condition=condition: _knn_where(F.expr(condition), spark, sf_dir)
     for f in (knn_no_rows, knn_k_over_n, batch_knn_label, l2_squared_all, similarity_all, hamming_unequal, safe_distance, live_rows, live_counts, live_knn, tombstone_anti_join, payload_getters, payload_changes, payload_filter, payload_compare, payload_entries, sparse_measures, sparse_normalized, packed_distances, digests, base64_round_trip, xxhash_known, crc32c_known, document_checksums, shards, hash128_documents, set_union, set_intersection, set_difference, set_members, set_union_all, set_intersection_all, set_difference_all, set_members_all, set_runs_all, set_cardinality, set_runs, set_bytes, top_values, top_of_each, record_measures, schema_fields, enum_facts):
         out[f.__name__] = f
-    return out
+    return out | queries_api.queries()
 
 
 def oracle_sql() -> dict[str, str]:
@@ -364,7 +365,7 @@ def oracle_sql() -> dict[str, str]:
     for name, (_, condition) in _WHERE.items():
         out[name] = near(_SQL_DISTANCE["l2"], condition)
     picked = "select vec_id from embeddings where label = 1", "select vec_id from embeddings where vec_id % 3 = 0"
-    return out | {
+    return out | queries_api.oracle_sql() | {
         "knn_no_rows": "select vec_id as id, 0.0::double as score from embeddings limit 0",
         "knn_k_over_n": near(_SQL_DISTANCE["l2"], "label = 3", 1_000_000),
         "batch_knn_label": f"""with p as (select a.vec_id as query_id, b.vec_id as id, list_distance(a.embedding::double[], b.embedding::double[]) as s from embeddings a, embeddings b where a.label = 0)
