@@ -182,7 +182,8 @@ def repeated_spans(space: Scratch, docs: DataFrame, *, window: int = 50, id_col:
     found = space.table(plain.join(bounded(places.select(F.col("doc").alias("doc_id")).distinct()), "doc_id", "left_semi"))
     texts = space.table(with_digest(found).join(graph.withColumnRenamed("digest", "key"), F.col("digest") == F.col("key")).where("doc_id = doc").drop("key"))
     windows = space.table(windows_of(texts, window))
-    sources = windows.where("kind >= 2").groupBy("mark").agg(F.min("doc").alias("source"))
+    # written out, so that the join below has two plain shuffles and Spark splits a mark that many documents share
+    sources = space.table(windows.where("kind >= 2").groupBy("mark").agg(F.min("doc").alias("source")))
     hits = windows.where("kind in (1, 3)").join(sources, "mark").where("source < doc").select("digest", "start", "words")
     spans = hits.unionByName(windows.where("kind = 0").select("digest", "start", "words")).groupBy("digest").agg(F.collect_set(F.struct("start", "words")).alias("spans"))
     changed = space.table(without_spans(texts.select("digest", "text").join(spans, "digest"))).dropDuplicates(["digest"])
