@@ -62,3 +62,24 @@ def test_entry_without_the_optional_part(tmp_path):
     said = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"], cwd=tmp_path, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": str(tmp_path)}, capture_output=True, text=True, timeout=120, check=False)
     assert said.returncode == 0, said.stderr
     assert int(said.stdout.split()[0]) > 40
+
+
+def test_any_column_names(spark):
+    """Names with dots, and names that stages use themselves."""
+    words = " ".join(f"w{i}" for i in range(60))
+    odd = ["a.b", "__id", "__leaks", "row", "id", "kept", "changed", "sha", "whole", "leaks", "value", "b`c"]
+    docs = spark.createDataFrame([(1, f"a {words}", *odd), (2, f"b {words}", *odd), (3, None, *odd)], ["doc_id", "text", *odd])
+    docs = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns, name
+        assert all(r[2:] == tuple(odd) for r in out.collect()), name
+    from vantor.llm import leaks
+
+    before, leaks.BLOCK_ITEMS = leaks.BLOCK_ITEMS, 1
+    try:
+        bench = spark.createDataFrame([(1, "w1 w2 w3 w4 w5 w6"), (2, "none of these words is there")], "item_id long, text string")
+        got = leaks.leaks(docs, bench).select("row.*", F.col("leaks").alias("found")).collect()
+        assert [[x.item_id for x in r.found] for r in got] == [[1], [1], []] and got[0][2:-1] == tuple(odd)
+    finally:
+        leaks.BLOCK_ITEMS = before

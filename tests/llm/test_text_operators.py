@@ -96,6 +96,7 @@ def test_token_counts(spark, odd):
     rng = random.Random(1)
     words = {"▁" + "".join(rng.choice("abcdeinrstöß") for _ in range(rng.randint(1, 12))) for _ in range(300)}
     assert model.count_words(words) == {w: brute_count(model, w) for w in words}
+    assert unigram.token_counts(odd.limit(0), PIECES).count() == 0
 
 
 def test_string_kernel():

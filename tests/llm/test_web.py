@@ -110,3 +110,56 @@ def test_copies_and_large_hosts(spark):
         got = {r.page_id: r.text for r in templates.main_texts(space, spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert {got[i] for i in range(6)} == {"One page\nHeld under six addresses"}  # copies are one page
     assert got[103] == "Words of page 3" and got[150] == "Words of page 50"  # eight pages of a hundred are enough
+
+
+def test_marks_inside_articles():
+    """Comments and adverts go whatever element they are; words that only look like marks stay."""
+    page = """<body><article><h2 id="search">On search</h2><p>One</p><div class="related-work"><p>Two</p></div><section id="search"><p>Three</p></section>
+    <div class="ad-box">Buy</div><div class="social share">tweet</div></article><article class="comment"><p>first!</p></article><article class="comment-list"><p>second</p></article></body>"""
+    assert text(page) == "On search\nOne\nTwo\nThree"
+
+
+def test_templates_against_brute_force(spark):
+    """Random well-formed pages without marks: subtrees as text, counted over the hosts' distinct page texts."""
+    import random
+    import xml.etree.ElementTree as ET
+
+    rng = random.Random(11)
+    blocks = [f"<div><p>Block {i}</p></div>" for i in range(6)] + ["<ul><li>x</li><li>y</li></ul>", "<p>plain</p>", "<div><div><p>deep</p></div><p>Block 1</p></div>"]
+    rows = []
+    for i in range(60):
+        inner = [rng.choice(blocks) for _ in range(rng.randint(0, 5))] + [f"<section><p>Words {rng.randint(0, 30)}</p></section>" for _ in range(rng.randint(0, 2))]
+        rng.shuffle(inner)
+        rows.append((i, f"https://{rng.choice('ab')}.org/{i}", f"<html><body>{''.join(inner)}</body></html>"))
+    rows += [(100 + i, rows[i][1], rows[i][2]) for i in range(10)]
+
+    def lines(node, gone):
+        out = []
+        for x in node:
+            if ET.tostring(x) not in gone:
+                out += [x.text] if x.text else []
+                out += lines(x, gone)
+        return out
+
+    held = {}
+    for _, url, html in rows:
+        body = ET.fromstring(html)[0]
+        for x in body.iter():
+            if x is not body:
+                held.setdefault((url[8], ET.tostring(x)), set()).add("\n".join(lines(body, ())))
+    gone = {h: {t for (host, t), pages in held.items() if host == h and len(pages) >= 5} for h in "ab"}
+    want = {i: "\n".join(lines(ET.fromstring(html)[0], gone[url[8]])) for i, url, html in rows}
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    with scratch(spark) as space:
+        got = {r.page_id: r.text for r in templates.main_texts(space, pages).collect()}
+    assert got == want
+    assert any(want[i] != "\n".join(lines(ET.fromstring(html)[0], ())) for i, _, html in rows)  # counting decides
+
+
+def test_record_ids():
+    """Payloads under one id, pages without an id, and addresses with blanks."""
+    digest = hashlib.sha256(b"x").hexdigest()
+    ids = {warc.read_record(warc.write_record(k, "http://h/a b\n", b"x", d, None, "2020-01-01T00:00:00Z", p))[0]["WARC-Record-ID"] for k, d, p in ((1, digest, "a"), (1, "0" * 64, "b"), (None, digest, "a"), (None, digest, "b"))}
+    assert len(ids) == 4 and {warc.key_of(i) for i in ids} == {1, None}
+    head, _ = warc.read_record(warc.write_record(1, "http://h/a b\n", b"x", digest, None, "2020-01-01T00:00:00Z"))
+    assert head["WARC-Target-URI"] == "http://h/a%20b%0A"

@@ -340,3 +340,34 @@ def test_media_columns(spark):
     assert b"".join(r.samples for r in rows[5]) == (texts[5] + " " * (-len(texts[5]) % 192)).encode() and len(rows[5]) == 2
     assert rows[50][0].error is None and rows[51][0].error and rows[52][0].error and rows[51][0].samples is None
     assert webp.media_digests(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("kind", ["prose", "few", "copies", "noise", "one", "long copies"])
+def test_encoder_forms(kind):
+    """Streams of each form come back; prose is shorter than its bytes and isn't read by the flat path."""
+    rng = random.Random(kind)
+    words = ["".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(1, 9))) for _ in range(400)]
+    text = {
+        "prose": lambda: " ".join(rng.choice(words) for _ in range(3000)), "few": lambda: "".join(rng.choice(("abc", "bca", "cab")) for _ in range(3000)), "one": lambda: "z" * 5000,
+        "copies": lambda: " ".join(rng.choice(words) for _ in range(200)) * 30, "noise": lambda: "".join(chr(rng.randrange(256, 2000)) for _ in range(50)), "long copies": lambda: ("".join(rng.choice(words) for _ in range(9000)) + "   ") * 3,
+    }[kind]()
+    _, payload = webp.padded(text)
+    media, flat, before = webp.store(payload), [], webp.flat_pixels
+    webp.flat_pixels = lambda *a: flat.append(1) or before(*a)
+    try:
+        assert b"".join(x.rgb().tobytes() for x in webp.load(media)) == payload
+    finally:
+        webp.flat_pixels = before
+    if kind != "noise":
+        assert len(media) < 0.6 * len(payload) and not flat
+
+
+def test_code_lengths():
+    rng = random.Random(1)
+    for most in (7, 12):
+        for n in (2, 3, 19, 100):
+            counts = np.array([int(rng.random() ** 6 * 10**6) for _ in range(n)])
+            lengths = webp.code_lengths(counts, most)
+            used = lengths[counts > 0]
+            assert (lengths[counts == 0] == 0).all() and used.max(initial=0) <= most
+            assert len(used) < 2 or sum(2.0 ** -used) == 1
