@@ -15,6 +15,7 @@ import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property, lru_cache
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -86,32 +87,50 @@ def mirrored(n: int) -> np.ndarray:
     return out
 
 
+@lru_cache(maxsize=16)
+def mirrored_list(n: int) -> list[int]:
+    return mirrored(n).tolist()
+
+
+#: Codes of at most so many symbols and bits are made without arrays, which only gain on longer ones.
+FEW, SHORT = 24, 8
+
+
 class Code:
     """A canonical prefix code; codes come highest bit first in a stream that is read lowest bit first.
 
-    array holds symbol * 16 + length for each value of the next `most` bits.
+    used: the symbols that have a code, in ascending order; sizes: their lengths. array and table hold
+    symbol * 16 + length for each value of the next `most` bits.
     """
 
-    def __init__(self, lengths: list[int] | np.ndarray) -> None:
-        lengths = np.asarray(lengths, np.int64)
-        used = np.flatnonzero(lengths)
-        if not len(used):
+    def __init__(self, used: list[int], sizes: list[int]) -> None:
+        if not used:
             raise ValueError("a prefix code without symbols")
-        sizes = lengths[used]
-        self.flat = bool(len(used) == 256 and used[-1] == 255 and (sizes == 8).all())  # each byte is its own code
-        if len(used) == 1:
-            self.most, self.array = 0, used << 4
+        self.flat = len(used) == 256 and used[-1] == 255 and min(sizes) == max(sizes) == 8  # each byte is its own code
+        self.most = max(sizes) if len(used) > 1 else 0
+        if not self.most:
+            self.natural = [used[0] << 4]
             return
-        self.most = int(sizes.max())
-        if self.most > LONGEST_CODE or int((1 << (self.most - sizes)).sum()) != 1 << self.most:
+        most = self.most
+        if most > LONGEST_CODE or sum([1 << (most - n) for n in sizes]) != 1 << most:
             raise ValueError("a prefix code that isn't complete")
-        order = np.argsort(sizes, kind="stable")
-        sizes = sizes[order]
-        self.array = np.repeat(used[order] << 4 | sizes, 1 << (self.most - sizes))[mirrored(self.most)]
+        if len(used) <= FEW and most <= SHORT:
+            self.natural = []
+            for n, s in sorted(zip(sizes, used, strict=True)):
+                self.natural += [s << 4 | n] * (1 << (most - n))
+            return
+        symbols, lengths = np.array(used, np.int64), np.array(sizes, np.int64)
+        order = np.argsort(lengths, kind="stable")
+        lengths = lengths[order]
+        self.natural = np.repeat(symbols[order] << 4 | lengths, 1 << (most - lengths))
+
+    @cached_property
+    def array(self) -> np.ndarray:
+        return np.asarray(self.natural, np.int64)[mirrored(self.most)]
 
     @cached_property
     def table(self) -> list[int]:
-        return self.array.tolist()
+        return [self.natural[i] for i in mirrored_list(self.most)] if isinstance(self.natural, list) else self.array.tolist()
 
     def read(self, bits: Bits) -> int:
         found = self.table[bits.peek(self.most)]
@@ -125,51 +144,50 @@ REVERSED_LIST = REVERSED.tolist()
 
 
 def read_code(bits: Bits, size: int) -> Code:
-    lengths = [0] * size
     if bits.read(1):
         two, wide = bits.read(1), bits.read(1)
         symbols = [bits.read(8 if wide else 1)] + ([bits.read(8)] if two else [])
         if max(symbols) >= size or len(set(symbols)) < len(symbols):
             raise ValueError("a symbol outside of its alphabet, or twice")
-        for s in symbols:
-            lengths[s] = 1
-        return Code(lengths)
-    own = [0] * 19
-    for i in range(4 + bits.read(4)):
-        own[LENGTH_ORDER[i]] = bits.read(3)
-    code = Code(own)
+        return Code(sorted(symbols), [1] * len(symbols))
+    n = 4 + bits.read(4)
+    packed = bits.read(3 * n)
+    own = sorted([(LENGTH_ORDER[i], x) for i in range(n) if (x := packed >> 3 * i & 7)])
+    code = Code([s for s, _ in own], [x for _, x in own])
     left = 2 + bits.read(2 + 2 * bits.read(3)) if bits.read(1) else size
-    if not code.most and code.table[0] >> 4 < 16:  # one length for all
-        lengths[: min(left, size)] = [code.table[0] >> 4] * min(left, size)
-        return Code(lengths)
-    at, last, table, mask, data, place = 0, 8, code.table, (1 << code.most) - 1, bits.data, bits.place()
+    table = code.table
+    if not code.most and table[0] >> 4 < 16:  # one length for all
+        n = min(left, size) if table[0] >> 4 else 0
+        return Code(list(range(n)), [table[0] >> 4] * n)
+    used, sizes, at, last, mask, data, place, value, have = [], [], 0, 8, (1 << code.most) - 1, bits.data, bits.place(), 0, 0
     while at < size and left:
         left -= 1
-        v = int.from_bytes(data[place >> 3 : (place >> 3) + 3], "little") >> (place & 7)
-        s = table[v & mask]
+        if have < 14:  # a symbol takes up to seven bits and as many extra ones
+            value, have = int.from_bytes(data[place >> 3 : (place >> 3) + 8], "little") >> (place & 7), 57
+        s = table[value & mask]
         n = s & 15
-        place += n
         s >>= 4
         if s < 16:
-            lengths[at] = s
+            if s:
+                used.append(at)
+                sizes.append(s)
+                last = s
             at += 1
-            last = s or last
-            continue
-        v >>= n
-        if s == 16:
-            n, extra = 3 + (v & 3), 2
-        elif s == 17:
-            n, extra = 3 + (v & 7), 3
         else:
-            n, extra = 11 + (v & 127), 7
-        place += extra
-        if at + n > size:
-            raise ValueError("code lengths beyond their alphabet")
-        if s == 16:
-            lengths[at : at + n] = [last] * n
-        at += n
+            rest = value >> n
+            run, extra = (3 + (rest & 3), 2) if s == 16 else (3 + (rest & 7), 3) if s == 17 else (11 + (rest & 127), 7)
+            n += extra
+            if at + run > size:
+                raise ValueError("code lengths beyond their alphabet")
+            if s == 16:
+                used.extend(range(at, at + run))
+                sizes.extend([last] * run)
+            at += run
+        place += n
+        value >>= n
+        have -= n
     bits.go(place)
-    return Code(lengths)
+    return Code(used, sizes)
 
 
 def prefixed(bits: Bits, code: int) -> int:
@@ -233,8 +251,9 @@ def read_image(bits: Bits, width: int, height: int, *, main: bool) -> np.ndarray
     return np.array(out, np.uint32)
 
 
-#: Bytes of a stream that are looked at together.
+#: Bytes of a stream that are looked at together, and the places of their bits.
 STREAM_BLOCK = 4096
+PLACES = np.arange(8 * STREAM_BLOCK)
 
 
 def read_pixels(bits: Bits, codes: list[Code], total: int, width: int, cache_bits: int) -> np.ndarray:
@@ -265,12 +284,14 @@ def read_pixels(bits: Bits, codes: list[Code], total: int, width: int, cache_bit
             window = ((raw[:-2] | raw[1:-1] << 8 | raw[2:] << 16)[:, None] >> np.arange(8)).ravel()
             limit = 8 * size
             g = green[window[:limit] & masks[0]]
-            place_1 = np.arange(limit) + (g & 15)
+            place_1 = PLACES[:limit] + (g & 15)
             r = red[window[place_1] & masks[1]]
             place_2 = place_1 + (r & 15)
             b = blue[window[place_2] & masks[2]]
-            pixel = g < 4096  # symbols below 256; those from 280 on are of the cache
-            following = memoryview(np.where(pixel, place_2 + (b & 15), np.where(g >= 4480, place_1, -1)))
+            ends_at = place_2 + (b & 15)
+            other = np.flatnonzero(g >= 4096)  # symbols below 256 are pixels; those from 280 on are of the cache
+            ends_at[other] = np.where(g[other] >= 4480, place_1[other], -1)
+            following = memoryview(ends_at)
         found, here = [], place - 8 * first
         while 0 <= here < limit:
             found.append(here)
@@ -517,20 +538,21 @@ class BitWriter:
         self.size += n
 
     def put_many(self, values: np.ndarray, sizes: np.ndarray) -> None:
-        """Fields of up to 20 bits each, in order."""
+        """Fields of up to 53 bits each, one at least, in order."""
         ends = np.cumsum(sizes) + self.size % 8
-        whole = self.size // 8
+        whole, total = self.size // 8, int(ends[-1])
         self.done.append((self.value & ((1 << 8 * whole) - 1)).to_bytes(whole, "little"))
-        rest = self.value >> 8 * whole
         place = ends - sizes
-        shifted, word = values.astype(np.int64) << (place & 31), place >> 5
-        words = int(ends[-1]) // 32 + 2
-        low = np.bincount(word, shifted & 0xFFFFFFFF, words)  # no two fields share a bit, so sums below 2**32 are exact
-        low[1:] += np.bincount(word, shifted >> 32, words)[:-1]
-        low[0] += rest
-        data, size = low.astype("<u4").tobytes(), int(ends[-1])
-        self.done.append(data[: size // 8])
-        self.value, self.size = data[size // 8] & ((1 << size % 8) - 1), size % 8
+        word, shift, values = place >> 6, (place & 63).astype(np.uint64), values.astype(np.uint64)
+        edges = np.flatnonzero(word[1:] != word[:-1])  # each word but the last has a field that begins there
+        first, last = np.concatenate(([0], edges + 1)), np.append(edges, len(word) - 1)
+        words = np.zeros(total // 64 + 2, np.uint64)
+        words[word[first]] = np.bitwise_or.reduceat(values << shift, first)
+        words[word[last] + 1] |= values[last] >> np.uint64(1) >> (np.uint64(63) - shift[last])
+        words[0] |= np.uint64(self.value >> 8 * whole)
+        data = words.astype("<u8", copy=False).tobytes()
+        self.done.append(data[: total // 8])
+        self.value, self.size = data[total // 8] & ((1 << total % 8) - 1), total % 8
 
     def bytes(self) -> bytes:
         return b"".join(self.done) + self.value.to_bytes((self.size + 7) // 8, "little")
@@ -551,11 +573,9 @@ def code_lengths(counts: np.ndarray, most: int) -> np.ndarray:
         out[used] = 1
         return out
     held = counts[used]
-    ideal = np.log2(held.sum() / held)
-    sizes = np.minimum(np.ceil(ideal).astype(np.int64), most)
-    sizes[sizes == 0] = 1
-    left = (1 << most) - int((1 << (most - sizes)).sum())
-    size = sizes.tolist()
+    ideal = np.log2(held.sum() / held).tolist()
+    size = [min(most, ceil(x)) or 1 for x in ideal]
+    left = (1 << most) - sum([1 << (most - n) for n in size])
     if left < 0:  # too many at the longest length: the rarest of the others give way
         for i in np.argsort(held, kind="stable").tolist():
             while left < 0 and size[i] < most:
@@ -563,7 +583,7 @@ def code_lengths(counts: np.ndarray, most: int) -> np.ndarray:
                 left += 1 << (most - size[i])
             if left >= 0:
                 break
-    order = np.argsort(ideal - sizes, kind="stable").tolist()
+    order = sorted(range(len(size)), key=[x - n for x, n in zip(ideal, size, strict=True)].__getitem__) if left else ()
     while left:
         for i in order:
             if size[i] > 1 and (unit := 1 << (most - size[i])) <= left:
@@ -587,49 +607,51 @@ def codes_of(lengths: np.ndarray) -> np.ndarray:
     return out
 
 
-def put_code(out: BitWriter, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Writes a code for symbols that occur so often; gives the codes and their lengths."""
-    used = np.flatnonzero(counts)
-    if len(used) < 2 and (not len(used) or used[0] < 256):
-        s = int(used[0]) if len(used) else 0
-        out.put(0b101 | s << 3, 11) if s > 1 else out.put(0b001 | s << 3, 4)
-        return np.zeros(len(counts), np.int64), np.zeros(len(counts), np.int64)
-    if len(used) == 1:  # one symbol past the bytes: a length of its own, with one that never comes
-        counts = counts.copy()
-        counts[0] = 1
-    lengths = code_lengths(counts, MOST_BITS)
-    edges = np.flatnonzero(np.diff(lengths)) + 1
-    starts = np.concatenate(([0], edges))
-    symbols, extras = [], []  # runs of code lengths, and how long those that repeat are
-    for value, n in zip(lengths[starts].tolist(), np.diff(np.append(starts, len(lengths))).tolist(), strict=True):
-        if value:
-            symbols.append(value)
-            extras.append(0)
-            n -= 1  # noqa: PLW2901
-            while n >= 3:
-                symbols.append(16)
-                extras.append(min(n, 6) - 3)
-                n -= min(n, 6)  # noqa: PLW2901
-        else:
-            while n >= 11:
-                symbols.append(18)
-                extras.append(min(n, 138) - 11)
-                n -= min(n, 138)  # noqa: PLW2901
-            if n >= 3:
-                symbols.append(17)
-                extras.append(n - 3)
-                continue
-        if n > 0:
-            symbols += [value] * n
-            extras += [0] * n
-    symbols = np.array(symbols)
-    own = code_lengths(np.bincount(symbols, minlength=19), MOST_OWN)
-    ordered = own[LENGTH_PLACES]
-    n = max(4, int(np.flatnonzero(ordered)[-1]) + 1)
-    out.put(0 | (n - 4) << 1 | sum(x << 5 + 3 * i for i, x in enumerate(ordered[:n].tolist())), 5 + 3 * n + 1)
-    sizes = own[symbols] if np.count_nonzero(own) > 1 else np.zeros(len(symbols), np.int64)
-    out.put_many(codes_of(own)[symbols] | np.array(extras) << sizes, sizes + EXTRA_BITS[symbols])
-    return codes_of(lengths), lengths
+def runs_of(lengths: np.ndarray, borders: list[int]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each stretch of code lengths that ends at a border: its symbols with runs as repeats, and how long these are."""
+    breaks = lengths[1:] != lengths[:-1]
+    breaks[np.array(borders[:-1], np.int64) - 1] = True
+    starts = np.concatenate(([0], np.flatnonzero(breaks) + 1))
+    value = lengths[starts]
+    zero = value == 0
+    lead = (~zero).astype(np.int64)  # a length comes itself before its repeats, a zero doesn't
+    whole, rest = np.divmod(np.diff(starts, append=len(lengths)) - lead, np.where(zero, 138, 6))
+    part, long = rest >= 3, zero & (rest >= 11)
+    counts = np.stack((lead, whole, part, np.where(part, 0, rest)), axis=1)
+    none = np.zeros(len(starts), np.int64)
+    symbols = np.stack((value, np.where(zero, 18, 16), np.where(long, 18, 16 + zero), value), axis=1)
+    extras = np.stack((none, np.where(zero, 127, 3), rest - np.where(long, 11, 3), none), axis=1)
+    symbols, extras = (np.repeat(x.ravel(), counts.ravel()) for x in (symbols, extras))
+    ends = np.cumsum(counts.sum(axis=1))[np.searchsorted(starts, borders) - 1].tolist()
+    return [(symbols[a:b], extras[a:b]) for a, b in zip([0, *ends], ends, strict=False)]
+
+
+def put_codes(out: BitWriter, counts: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Writes codes for symbols that occur so often; gives each one's codes and their lengths."""
+    made, tables = [], []
+    for c in counts:
+        used = np.flatnonzero(c)
+        if len(used) < 2 and (not len(used) or used[0] < 256):
+            made.append((int(used[0]) if len(used) else 0, np.zeros(len(c), np.int64)))
+            continue
+        if len(used) == 1:  # one symbol past the bytes: a length of its own, with one that never comes
+            c = c.copy()  # noqa: PLW2901
+            c[0] = 1
+        made.append((None, code_lengths(c, MOST_BITS)))
+        tables.append(made[-1][1])
+    runs = iter(runs_of(np.concatenate(tables), np.cumsum([len(t) for t in tables]).tolist()) if tables else ())
+    for only, _ in made:
+        if only is not None:
+            out.put(0b101 | only << 3, 11) if only > 1 else out.put(0b001 | only << 3, 4)
+            continue
+        symbols, extras = next(runs)
+        own = code_lengths(np.bincount(symbols, minlength=19), MOST_OWN)
+        ordered = own[LENGTH_PLACES].tolist()
+        n = max(4, max(i for i, x in enumerate(ordered) if x) + 1)
+        out.put(0 | (n - 4) << 1 | sum([x << 5 + 3 * i for i, x in enumerate(ordered[:n])]), 5 + 3 * n + 1)
+        sizes = own[symbols] if np.count_nonzero(own) > 1 else np.zeros(len(symbols), np.int64)
+        out.put_many(codes_of(own)[symbols] | extras << sizes, sizes + EXTRA_BITS[symbols])
+    return [(codes_of(lengths), lengths) for _, lengths in made]
 
 
 def prefix_of(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -646,9 +668,9 @@ def prefix_of(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def last_equal(keys: np.ndarray) -> np.ndarray:
     """The last place before with the same key, or -1."""
     order = np.argsort(keys, kind="stable")
-    out = np.full(len(keys), -1, np.int64)
-    same = keys[order[1:]] == keys[order[:-1]]
-    out[order[1:][same]] = order[:-1][same]
+    out, ordered = np.full(len(keys), -1, np.int64), keys[order]
+    same = np.flatnonzero(ordered[1:] == ordered[:-1])
+    out[order[same + 1]] = order[same]
     return out
 
 
@@ -687,11 +709,11 @@ def copies_of(px: np.ndarray) -> list[tuple[int, int, int]]:
 
 def cost(*counts: np.ndarray) -> float:
     """Bits that symbols take, and about five for each in the code's own table."""
-    total = 0.0
-    for c in counts:
-        c = c[c > 0]
-        total += float((c * np.log2(c.sum() / c)).sum()) + 5 * len(c)
-    return total
+    sums = np.array([c.sum() for c in counts], float)
+    held = np.concatenate(counts)
+    held = held[held > 0]
+    sums = sums[sums > 0]
+    return float((sums * np.log2(sums)).sum() - (held * np.log2(held)).sum()) + 5 * len(held)
 
 
 def put_image(out: BitWriter, px: np.ndarray, width: int, *, main: bool, below: float = float("inf")) -> bool:
@@ -703,15 +725,16 @@ def put_image(out: BitWriter, px: np.ndarray, width: int, *, main: bool, below:
     covered[at + size] -= 1
     single = np.flatnonzero(np.cumsum(covered)[:-1] == 0)  # pixels that no copy makes
     (length_symbol, length_extra, length_bits), (far_symbol, far_extra, far_bits) = prefix_of(size), prefix_of(near_codes(far, width))
-    value = px[single]
-    green, red, blue, alpha = (value >> 8 & 255).astype(np.int64), (value >> 16 & 255).astype(np.int64), (value & 255).astype(np.int64), (value >> 24).astype(np.int64)
+    value = px[single].astype(np.int64)
+    green, red, blue, alpha = value >> 8 & 255, value >> 16 & 255, value & 255, value >> 24
     lengths, far_counts = np.bincount(256 + length_symbol, minlength=280), np.bincount(far_symbol, minlength=40)
 
     def histograms(hit: np.ndarray, key: np.ndarray, cache_bits: int) -> list[np.ndarray]:
         size = 280 + (1 << cache_bits if cache_bits else 0)
         greens = np.bincount(np.where(hit, 280 + key, green), minlength=size)
         greens[:280] += lengths
-        return [greens, *(np.bincount(c[~hit], minlength=256) for c in (red, blue, alpha)), far_counts]
+        left = np.flatnonzero(~hit)
+        return [greens, *(np.bincount(c[left], minlength=256) for c in (red, blue, alpha)), far_counts]
 
     none = np.zeros(len(single), bool)
     counts, cache_bits, hit, key = histograms(none, none, 0), 0, none, none
@@ -719,7 +742,7 @@ def put_image(out: BitWriter, px: np.ndarray, width: int, *, main: bool, below:
     if main and len(px) >= 64:
         tried = min(10, len(px).bit_length() - 3)
         keys = (px * np.uint32(CACHE_FACTOR)) >> np.uint32(32 - tried)
-        last = last_equal(keys)
+        last = last_equal(keys.astype(np.uint16))  # of ten bits at most
         hits = ((last >= 0) & (px[last] == px))[single]
         if hits.any():
             other = histograms(hits, keys[single].astype(np.int64), tried)
@@ -732,20 +755,22 @@ def put_image(out: BitWriter, px: np.ndarray, width: int, *, main: bool, below:
         out.put(cache_bits, 4)
     if main:
         out.put(0, 1)
-    (g_code, g_size), (r_code, r_size), (b_code, b_size), (a_code, a_size), (d_code, d_size) = (put_code(out, c) for c in counts)
-    # an operation has up to four fields; they are put in order of their places
+    (g_code, g_size), (r_code, r_size), (b_code, b_size), (a_code, a_size), (d_code, d_size) = put_codes(out, counts)
+    # an operation has up to four fields, 53 bits at most; they are put as one, in order of their places
     symbol = np.where(hit, 280 + key, green)
-    values, sizes = np.zeros((len(single) + len(at), 4), np.int64), np.zeros((len(single) + len(at), 4), np.int64)
-    n = len(single)
-    values[:n, 0], sizes[:n, 0] = g_code[symbol], g_size[symbol]
-    for i, (code, length, channel) in enumerate(((r_code, r_size, red), (b_code, b_size, blue), (a_code, a_size, alpha)), 1):
-        values[:n, i], sizes[:n, i] = np.where(hit, 0, code[channel]), np.where(hit, 0, length[channel])
-    values[n:] = np.stack((g_code[256 + length_symbol], length_extra, d_code[far_symbol], far_extra), axis=1)
-    sizes[n:] = np.stack((g_size[256 + length_symbol], length_bits, d_size[far_symbol], far_bits), axis=1)
+    values, sizes = g_code[symbol], g_size[symbol]
+    for code, length, channel in ((r_code, r_size, red), (b_code, b_size, blue), (a_code, a_size, alpha)):
+        values |= np.where(hit, 0, code[channel]) << sizes
+        sizes += np.where(hit, 0, length[channel])
+    copy_values, copy_sizes = g_code[256 + length_symbol], g_size[256 + length_symbol]
+    for field, bits in ((length_extra, length_bits), (d_code[far_symbol], d_size[far_symbol]), (far_extra, far_bits)):
+        copy_values |= field << copy_sizes
+        copy_sizes += bits
+    values, sizes = np.concatenate((values, copy_values)), np.concatenate((sizes, copy_sizes))
     order = np.argsort(np.concatenate((single, at)), kind="stable")
     for i in range(0, len(order), OPERATIONS):
         some = order[i : i + OPERATIONS]
-        out.put_many(values[some].ravel(), sizes[some].ravel())
+        out.put_many(values[some], sizes[some])
     return True
 
 
@@ -768,8 +793,10 @@ def near_codes(far: np.ndarray, width: int) -> np.ndarray:
 def write_coded(out: BitWriter, px: np.ndarray, width: int, height: int) -> bool:
     """Writes transforms and pixels; False if eight-bit codes are shorter."""
     plain = 24 * len(px) + HEAD_BITS
-    colours, index = np.unique(px, return_inverse=True)
+    ordered = np.sort(px)
+    colours = ordered[np.concatenate(([True], ordered[1:] != ordered[:-1]))]
     if len(colours) <= 256 and 2 * len(colours) <= len(px):
+        index = np.searchsorted(colours, px)
         out.put(0b111, 3)
         out.put(len(colours) - 1, 8)
         steps = channels(colours)
