@@ -273,60 +273,67 @@ def read_pixels(bits: Bits, codes: list[Code], total: int, width: int, cache_bit
     data = np.frombuffer(bits.data + bytes(STREAM_BLOCK + 16), np.uint8)
     cache, shift = [0] * (1 << cache_bits) if cache_bits else None, np.uint32(32 - cache_bits if cache_bits else 0)
     keys = lambda px: ((px * np.uint32(CACHE_FACTOR)) >> shift).tolist()
-    first, limit = 0, -1
     while at < total:
-        if place > ends:
+        first = place >> 3
+        size = min(STREAM_BLOCK, len(bits.data) - first + 1)
+        if size < 1:
             raise ValueError("the stream ends before the image")
-        if place - 8 * first >= limit:
-            first = place >> 3
-            size = min(STREAM_BLOCK, len(bits.data) - first + 1)
-            raw = data[first : first + size + 10].astype(np.int64)
-            window = ((raw[:-2] | raw[1:-1] << 8 | raw[2:] << 16)[:, None] >> np.arange(8)).ravel()
-            limit = 8 * size
-            g = green[window[:limit] & masks[0]]
-            place_1 = PLACES[:limit] + (g & 15)
-            r = red[window[place_1] & masks[1]]
-            place_2 = place_1 + (r & 15)
-            b = blue[window[place_2] & masks[2]]
-            ends_at = place_2 + (b & 15)
-            other = np.flatnonzero(g >= 4096)  # symbols below 256 are pixels; those from 280 on are of the cache
-            ends_at[other] = np.where(g[other] >= 4480, place_1[other], -1)
-            following = memoryview(ends_at)
-        found, here = [], place - 8 * first
-        while 0 <= here < limit:
-            found.append(here)
-            here = following[here]
-        copy = found.pop() if here < 0 else None
-        some = np.array(found[: total - at], np.int64)
-        if len(some):
-            kinds = g[some]
-            px = opaque | ((r[some] >> 4) << 16 | (kinds >> 4 & 255) << 8 | b[some] >> 4).astype(np.uint32)
+        raw = data[first : first + size + 10].astype(np.int64)
+        window = ((raw[:-2] | raw[1:-1] << 8 | raw[2:] << 16)[:, None] >> PLACES[:8]).ravel()
+        limit = 8 * size
+        g = green[window[:limit] & masks[0]]
+        place_1 = PLACES[:limit] + (g & 15)
+        r = red[window[place_1] & masks[1]]
+        place_2 = place_1 + (r & 15)
+        b = blue[window[place_2] & masks[2]]
+        ends_at = place_1 + (place_2 + (b & 15) - place_1) * (g < 4096)  # symbols below 256 are pixels; those from 280 on are of the cache
+        ends_at[np.flatnonzero((g >= 4096) & (g < 4480))] = -1
+        following = memoryview(ends_at)
+        found, copies, here, free = [], [], place - 8 * first, total - at  # copies: (single pixels of the block before it, size, distance)
+        while here < limit:
+            while 0 <= here < limit:
+                found.append(here)
+                here = following[here]
+            if len(found) - (here < 0) >= free:  # what follows the last pixel isn't of the image
+                here = found[free] if len(found) > free else here
+                break
+            if here < 0:
+                copy = found.pop()
+                bits.go(8 * first + int(place_1[copy]))
+                size, far = prefixed(bits, int(g[copy] >> 4) - 256), distance(prefixed(bits, codes[4].read(bits)), width)
+                here = bits.place() - 8 * first
+                if far > total - free + len(found) or len(found) + size > free:
+                    raise ValueError("a back-reference outside of the image")
+                copies.append((len(found), size, far))
+                free -= size
+                if len(found) == free:
+                    break
+        place = 8 * first + here
+        some = np.array(found[:free], np.int64)
+        entries = g[some] >> 4
+        px = opaque | ((r[some] >> 4) << 16 | (entries & 255) << 8 | b[some] >> 4).astype(np.uint32)
+        if cache:
+            values, names, entries = px.tolist(), keys(px), entries.tolist()
+        before = 0
+        for end, size, far in [*copies, (len(some), 0, 0)]:
             if cache:
-                values = px.tolist()
-                for i, (key, entry) in enumerate(zip(keys(px), (kinds >> 4).tolist(), strict=True)):
-                    if entry < 256:
-                        cache[key] = values[i]
+                for i in range(before, end):
+                    if entries[i] < 256:
+                        cache[names[i]] = values[i]
                     else:
-                        values[i] = cache[entry - 280]
-                px = np.array(values, np.uint32)
-            out[at : at + len(px)] = px
-            at += len(px)
-        if len(some) < len(found) or at == total:
-            place = 8 * first + (found[len(some)] if len(some) < len(found) else here if copy is None else copy)
-        elif copy is None:
-            place = 8 * first + here
-        else:
-            bits.go(8 * first + int(place_1[copy]))
-            size, far = prefixed(bits, int(g[copy] >> 4) - 256), distance(prefixed(bits, codes[4].read(bits)), width)
-            place = bits.place()
-            if far > at or size > total - at:
-                raise ValueError("a back-reference outside of the image")
-            new = out[at - far : at - far + size] if far >= size else np.resize(out[at - far : at], size)
-            out[at : at + size] = new
-            at += size
-            if cache:
-                for key, p in zip(keys(new), new.tolist(), strict=True):
-                    cache[key] = p
+                        values[i] = cache[entries[i] - 280]
+                out[at : at + end - before] = values[before:end]
+            else:
+                out[at : at + end - before] = px[before:end]
+            at += end - before
+            before = end
+            if size:
+                new = out[at - far : at - far + size] if far >= size else np.resize(out[at - far : at], size)
+                out[at : at + size] = new
+                at += size
+                if cache:
+                    for key, p in zip(keys(new), new.tolist(), strict=True):
+                        cache[key] = p
     if place > ends:
         raise ValueError("the stream ends before the image")
     bits.go(place)
@@ -426,7 +433,7 @@ class Image:
 
     def rgb(self) -> np.ndarray:
         """Samples (height, width, 3)."""
-        return np.stack([self.argb >> s & 0xFF for s in (16, 8, 0)], axis=-1).astype(np.uint8).reshape(self.height, self.width, 3)
+        return np.ascontiguousarray(self.argb.astype("<u4", copy=False).view(np.uint8).reshape(self.height, self.width, 4)[:, :, 2::-1])
 
 
 def decode(data: bytes) -> Image:
@@ -504,8 +511,9 @@ def encode(rgb: np.ndarray) -> bytes:
     height, width, _ = rgb.shape
     if not (0 < width <= SIDE and 0 < height <= SIDE):
         raise ValueError("an image has 1 to 16384 pixels each way")
-    parts = rgb.reshape(-1, 3).astype(np.uint32)
-    px = np.uint32(255 << 24) | parts[:, 0] << 16 | parts[:, 1] << 8 | parts[:, 2]
+    parts = np.full((height * width, 4), 255, np.uint8)
+    parts[:, 2::-1] = rgb.reshape(-1, 3)
+    px = parts.view("<u4").ravel().astype(np.uint32, copy=False)
     out = BitWriter()
     out.put(SIGNATURE | (width - 1) << 8 | (height - 1) << 22, 40)
     data = flat(rgb, width, height) if not write_coded(out, px, width, height) else out.bytes()
@@ -528,20 +536,35 @@ def flat(rgb: np.ndarray, width: int, height: int) -> bytes:
 
 
 class BitWriter:
-    """Writes from the lowest bit of each byte on."""
+    """Writes from the lowest bit of each byte on. Fields wait until they are many, and are then put into bytes at once."""
 
     def __init__(self) -> None:
-        self.value, self.size, self.done = 0, 0, []
+        self.value, self.size, self.done, self.waiting, self.held = 0, 0, [], [], 0
 
     def put(self, value: int, n: int) -> None:
-        self.value |= value << self.size
-        self.size += n
+        if not (self.waiting and isinstance(self.waiting[-1][0], list)):
+            self.waiting.append(([], []))
+        values, sizes = self.waiting[-1]
+        while n > 32:
+            values.append(value & 0xFFFFFFFF)
+            sizes.append(32)
+            value, n = value >> 32, n - 32
+        values.append(value)
+        sizes.append(n)
 
     def put_many(self, values: np.ndarray, sizes: np.ndarray) -> None:
-        """Fields of up to 53 bits each, one at least, in order."""
-        ends = np.cumsum(sizes) + self.size % 8
-        whole, total = self.size // 8, int(ends[-1])
-        self.done.append((self.value & ((1 << 8 * whole) - 1)).to_bytes(whole, "little"))
+        """Fields of up to 53 bits each, in order."""
+        self.waiting.append((values, sizes))
+        self.held += len(values)
+        if self.held >= OPERATIONS:
+            self.flush()
+
+    def flush(self) -> None:
+        if not self.waiting:
+            return
+        values, sizes = (np.concatenate(x).astype(np.int64, copy=False) for x in zip(*self.waiting, strict=True))
+        ends = np.cumsum(sizes) + self.size
+        total = int(ends[-1])
         place = ends - sizes
         word, shift, values = place >> 6, (place & 63).astype(np.uint64), values.astype(np.uint64)
         edges = np.flatnonzero(word[1:] != word[:-1])  # each word but the last has a field that begins there
@@ -549,12 +572,13 @@ class BitWriter:
         words = np.zeros(total // 64 + 2, np.uint64)
         words[word[first]] = np.bitwise_or.reduceat(values << shift, first)
         words[word[last] + 1] |= values[last] >> np.uint64(1) >> (np.uint64(63) - shift[last])
-        words[0] |= np.uint64(self.value >> 8 * whole)
+        words[0] |= np.uint64(self.value)
         data = words.astype("<u8", copy=False).tobytes()
         self.done.append(data[: total // 8])
-        self.value, self.size = data[total // 8] & ((1 << total % 8) - 1), total % 8
+        self.value, self.size, self.waiting, self.held = data[total // 8] & ((1 << total % 8) - 1), total % 8, [], 0
 
     def bytes(self) -> bytes:
+        self.flush()
         return b"".join(self.done) + self.value.to_bytes((self.size + 7) // 8, "little")
 
 
@@ -595,16 +619,18 @@ def code_lengths(counts: np.ndarray, most: int) -> np.ndarray:
     return out
 
 
-def codes_of(lengths: np.ndarray) -> np.ndarray:
-    """The canonical codes of symbols, as they stand in the stream."""
+def codes_of(tables: list[np.ndarray]) -> list[np.ndarray]:
+    """For each of some tables of code lengths, the canonical codes of its symbols as they stand in the stream."""
+    lengths = np.concatenate(tables)
+    borders = np.cumsum([0] + [len(t) for t in tables])
     used = np.flatnonzero(lengths)
+    ranks = 16 * (np.searchsorted(borders, used, "right") - 1) + lengths[used]
+    used = used[np.argsort(ranks.astype(np.uint16), kind="stable")]
+    share = 1 << (MOST_BITS - lengths[used])
     out = np.zeros(len(lengths), np.int64)
-    if len(used) > 1:
-        used = used[np.argsort(lengths[used], kind="stable")]
-        most = int(lengths[used[-1]])
-        share = 1 << (most - lengths[used])
-        out[used] = mirrored(most)[np.cumsum(share) - share]
-    return out
+    # the shares of a complete code add up to a whole, so each code begins at zero again
+    out[used] = mirrored(MOST_BITS)[(np.cumsum(share) - share) & ((1 << MOST_BITS) - 1)]
+    return [out[a:b] for a, b in zip(borders[:-1].tolist(), borders[1:].tolist(), strict=True)]
 
 
 def runs_of(lengths: np.ndarray, borders: list[int]) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -639,19 +665,23 @@ def put_codes(out: BitWriter, counts: list[np.ndarray]) -> list[tuple[np.ndarray
             c[0] = 1
         made.append((None, code_lengths(c, MOST_BITS)))
         tables.append(made[-1][1])
-    runs = iter(runs_of(np.concatenate(tables), np.cumsum([len(t) for t in tables]).tolist()) if tables else ())
+    runs = runs_of(np.concatenate(tables), np.cumsum([len(t) for t in tables]).tolist()) if tables else []
+    owns = [code_lengths(np.bincount(symbols, minlength=19), MOST_OWN) for symbols, _ in runs]
+    # a table with one symbol takes no bits, and isn't a complete code
+    owns_sizes = [own if np.count_nonzero(own) > 1 else np.zeros(19, np.int64) for own in owns]
+    codes = codes_of([*owns_sizes, *(lengths for _, lengths in made)])
+    each = iter(zip(runs, owns, owns_sizes, codes, strict=False))
     for only, _ in made:
         if only is not None:
             out.put(0b101 | only << 3, 11) if only > 1 else out.put(0b001 | only << 3, 4)
             continue
-        symbols, extras = next(runs)
-        own = code_lengths(np.bincount(symbols, minlength=19), MOST_OWN)
+        (symbols, extras), own, own_sizes, own_codes = next(each)
         ordered = own[LENGTH_PLACES].tolist()
         n = max(4, max(i for i, x in enumerate(ordered) if x) + 1)
         out.put(0 | (n - 4) << 1 | sum([x << 5 + 3 * i for i, x in enumerate(ordered[:n])]), 5 + 3 * n + 1)
-        sizes = own[symbols] if np.count_nonzero(own) > 1 else np.zeros(len(symbols), np.int64)
-        out.put_many(codes_of(own)[symbols] | extras << sizes, sizes + EXTRA_BITS[symbols])
-    return [(codes_of(lengths), lengths) for _, lengths in made]
+        sizes = own_sizes[symbols]
+        out.put_many(own_codes[symbols] | extras << sizes, sizes + EXTRA_BITS[symbols])
+    return [(c, lengths) for c, (_, lengths) in zip(codes[len(runs) :], made, strict=True)]
 
 
 def prefix_of(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -841,7 +871,7 @@ def padded(text: str | None) -> tuple[int, bytes]:
 
 def feature(samples: np.ndarray) -> str:
     """Size, rounded-down channel means in thousandths, and how many samples differ from their left neighbour."""
-    means = ",".join(str(int(v) * 1000 // (samples.shape[0] * samples.shape[1])) for v in samples.sum(axis=(0, 1), dtype=np.int64))
+    means = ",".join(str(int(v) * 1000 // (samples.shape[0] * samples.shape[1])) for v in samples.sum(axis=0, dtype=np.int64).sum(axis=0))
     return f"{samples.shape[1]}x{samples.shape[0]};mean={means};edges={int((samples[:, 1:] != samples[:, :-1]).sum())}"
 
 
