@@ -250,22 +250,6 @@ def _set(spark: SparkSession, sf_dir: str, where: str) -> DataFrame:
     return sets.ids(vectors(spark, sf_dir).where(where), "id")
 
 
-def set_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sets.union(_set(spark, sf_dir, "label = 1"), _set(spark, sf_dir, "id % 3 = 0"))
-
-
-def set_intersection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sets.intersection(_set(spark, sf_dir, "label = 1"), _set(spark, sf_dir, "id % 3 = 0"))
-
-
-def set_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sets.difference(_set(spark, sf_dir, "label = 1"), _set(spark, sf_dir, "id % 3 = 0"))
-
-
-def set_members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sets.members(_set(spark, sf_dir, "label = 1"), _set(spark, sf_dir, "id < 100"))
-
-
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sets.ids(table(spark, sf_dir, "documents"), "doc_id")
 
@@ -295,10 +279,6 @@ def set_cardinality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sets.cardinality(sets.ids(table(spark, sf_dir, "lineitem"), "l_orderkey"))
 
 
-def set_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sets.runs(_set(spark, sf_dir, "id % 10 < 7"), part=64)
-
-
 def set_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Through the byte format and back."""
     return sets.decoded(sets.encoded(sets.ids(table(spark, sf_dir, "orders"), "o_orderkey"), optimise=True))
@@ -349,7 +329,7 @@ def queries() -> dict[str, Query]:
             out[f"knn_{metric}"] = partial(_knn, metric)
     for name, (_, condition) in _WHERE.items():
         out[name] = lambda spark, sf_dir, condition=condition: _knn_where(F.expr(condition), spark, sf_dir)
-    for f in (knn_no_rows, knn_k_over_n, batch_knn_label, l2_squared_all, similarity_all, hamming_unequal, safe_distance, live_rows, live_counts, live_knn, tombstone_anti_join, payload_getters, payload_changes, payload_filter, payload_compare, payload_entries, sparse_measures, sparse_normalized, packed_distances, digests, base64_round_trip, xxhash_known, crc32c_known, document_checksums, shards, hash128_documents, set_union, set_intersection, set_difference, set_members, set_union_all, set_intersection_all, set_difference_all, set_members_all, set_runs_all, set_cardinality, set_runs, set_bytes, top_values, top_of_each, record_measures, schema_fields, enum_facts):
+    for f in (knn_no_rows, knn_k_over_n, batch_knn_label, l2_squared_all, similarity_all, hamming_unequal, safe_distance, live_rows, live_counts, live_knn, tombstone_anti_join, payload_getters, payload_changes, payload_filter, payload_compare, payload_entries, sparse_measures, sparse_normalized, packed_distances, digests, base64_round_trip, xxhash_known, crc32c_known, document_checksums, shards, hash128_documents, set_union_all, set_intersection_all, set_difference_all, set_members_all, set_runs_all, set_cardinality, set_bytes, top_values, top_of_each, record_measures, schema_fields, enum_facts):
         out[f.__name__] = f
     return out | queries_api.queries()
 
@@ -364,7 +344,7 @@ def oracle_sql() -> dict[str, str]:
             out[f"knn_{metric}"] = near(d)
     for name, (_, condition) in _WHERE.items():
         out[name] = near(_SQL_DISTANCE["l2"], condition)
-    picked = "select vec_id from embeddings where label = 1", "select vec_id from embeddings where vec_id % 3 = 0"
+    picked = "select vec_id from embeddings where label = 1"
     return out | queries_api.oracle_sql() | {
         "knn_no_rows": "select vec_id as id, 0.0::double as score from embeddings limit 0",
         "knn_k_over_n": near(_SQL_DISTANCE["l2"], "label = 3", 1_000_000),
@@ -397,17 +377,12 @@ def oracle_sql() -> dict[str, str]:
         "base64_round_trip": "select item_id, replace(replace(replace(base64(encode(text)), '=', ''), '+', '-'), '/', '_') as encoded, text as decoded, true as rejects from benchmark",
         "xxhash_known": "select * from (values ('', 'EF46DB3751D8E999'), ('abc', '44BC2CF5AD770999')) t(data, seed_0)",
         "crc32c_known": "select name, crc::bigint as crc from (values ('zeros', 2324772522), ('ones', 1655221059), ('rising', 1188919630), ('empty', 0)) t(name, crc)",
-        "set_union": f"select distinct vec_id as value from ({picked[0]} union {picked[1]})",
-        "set_intersection": f"select vec_id as value from ({picked[0]} intersect {picked[1]})",
-        "set_difference": f"select vec_id as value from ({picked[0]} except {picked[1]})",
-        "set_members": "select vec_id as value, label = 1 as member from embeddings where vec_id < 100",
-        "set_union_all": f"select vec_id as value from ({picked[0]} union select doc_id from documents)",
-        "set_intersection_all": f"select vec_id as value from ({picked[0]} intersect select doc_id from documents)",
-        "set_difference_all": f"select vec_id as value from ({picked[0]} except select doc_id from documents)",
+        "set_union_all": f"select vec_id as value from ({picked} union select doc_id from documents)",
+        "set_intersection_all": f"select vec_id as value from ({picked} intersect select doc_id from documents)",
+        "set_difference_all": f"select vec_id as value from ({picked} except select doc_id from documents)",
         "set_members_all": "select vec_id as value, label = 1 as member from embeddings",
         "set_runs_all": "select min(v) as start, count(*) as length from (select vec_id as v, vec_id - row_number() over (order by vec_id) as g from embeddings where label <> 1) group by g",
         "set_cardinality": "select count(distinct l_orderkey) as cardinality from lineitem",
-        "set_runs": "select min(v) as start, count(*) as length from (select vec_id as v, vec_id - row_number() over (order by vec_id) as g from embeddings where vec_id % 10 < 7) group by g",
         "set_bytes": "select distinct o_orderkey as value from orders",
         "top_values": "select * from (select event_id, value, 'low' as side from events order by value, event_id limit 5) union all select * from (select event_id, value, 'high' as side from events order by value desc, event_id limit 5)",
         "top_of_each": "select event_id, event_type, value, rank::int as rank from (select event_id, event_type, value, row_number() over (partition by event_type order by value, event_id) as rank from events) where rank <= 3",
