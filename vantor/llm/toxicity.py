@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vantor.llm.common import claim, with_value
+from vantor.llm.common import claim, give_back, with_value
 
 ORDER, DECAY = 3, np.float32(0.7)
 DECAY2 = DECAY * DECAY
@@ -359,6 +359,7 @@ def toxic_rows(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", te
     """
     model = train(*training_sentences(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), labels))
     data = model.to_json() if model else None
+    give_back()  # what training took on the driver
 
     def work_out(texts: list[str | None]) -> list[float]:
         return loaded(data).scores([t or "" for t in texts], most) if data else [0.0] * len(texts)
