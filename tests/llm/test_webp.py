@@ -371,3 +371,47 @@ def test_code_lengths():
             used = lengths[counts > 0]
             assert (lengths[counts == 0] == 0).all() and used.max(initial=0) <= most
             assert len(used) < 2 or sum(2.0 ** -used) == 1
+
+
+def test_images_together():
+    """Files made together are those made alone, whatever their sizes; entries and copies come back in any mixture."""
+    rng = np.random.default_rng(5)
+    colours = rng.integers(0, 256, (400, 3), np.uint8)
+    images = []
+    for n in (1, 2, 64, 700, 5000, 1, 30_000, 90):
+        image = colours[np.minimum(rng.geometric(0.02, n), 399)]
+        for _ in range(n // 50):
+            at, far, size = rng.integers(0, n), rng.integers(1, n), rng.integers(1, 40)
+            for i in range(at, min(n, at + size)):
+                if i >= far:
+                    image[i] = image[i - far]
+        images.append(image.reshape(n, 1, 3) if n < 64 else image.reshape(1, n, 3) if n <= webp.SIDE else image.reshape(-1, 100, 3))
+    images += [rng.integers(0, 256, (20, 30, 3), np.uint8) for _ in range(3)] + [images[3]] * 70
+    files = webp.encode_many(images)
+    assert files == [webp.encode(x) for x in images]
+    assert all((webp.decode(f).rgb() == x).all() for f, x in zip(files, images, strict=True))
+    assert webp.encode_many([]) == [] and webp.store_many([]) == []
+
+
+def test_empty_cache_entries():
+    """A pixel read from an empty entry is transparent black, and takes that colour's own entry."""
+    rng = random.Random(3)
+    for _ in range(40):
+        out = webp.BitWriter()
+        total, cache_bits = 30, 3
+        out.put(webp.SIGNATURE | (total - 1) << 8, 40)
+        out.put(0, 1)
+        out.put(1 | cache_bits << 1, 5)
+        out.put(0, 1)
+        symbols = [rng.choice([7, 9, 200, *range(280, 288)]) for _ in range(total)]
+        counts = [np.bincount([*symbols, 7, 9, 200, *range(280, 288)], minlength=288), *(np.bincount([v], minlength=n) for v, n in ((0, 256), (0, 256), (0, 256), (0, 40)))]
+        made = webp.codes_for(counts)
+        out.put_many(made.values, made.sizes)
+        for s in symbols:
+            out.put(int(made.codes[s]), int(made.lengths[s]))
+        out.align()
+        want, cache = [], [0] * 8
+        for s in symbols:
+            want.append(s << 8 if s < 256 else cache[s - 280])
+            cache[(webp.CACHE_FACTOR * want[-1] & 0xFFFFFFFF) >> (32 - cache_bits)] = want[-1]
+        assert webp.decode(webp.riff(out.bytes())).argb.tolist() == want

@@ -15,7 +15,6 @@ import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property, lru_cache
-from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -160,8 +159,9 @@ def read_code(bits: Bits, size: int) -> Code:
         n = min(left, size) if table[0] >> 4 else 0
         return Code(list(range(n)), [table[0] >> 4] * n)
     used, sizes, at, last, mask, data, place, value, have = [], [], 0, 8, (1 << code.most) - 1, bits.data, bits.place(), 0, 0
-    while at < size and left:
-        left -= 1
+    for _ in range(left):
+        if at >= size:
+            break
         if have < 14:  # a symbol takes up to seven bits and as many extra ones
             value, have = int.from_bytes(data[place >> 3 : (place >> 3) + 8], "little") >> (place & 7), 57
         s = table[value & mask]
@@ -222,7 +222,10 @@ def read_image(bits: Bits, width: int, height: int, *, main: bool) -> np.ndarray
     if groups == 1 and not cache and all(c.flat for c in codes[0][:3]) and not codes[0][3].most:
         return flat_pixels(bits, total, codes[0][3].table[0] >> 4)
     if groups == 1 and not codes[0][3].most:
-        return read_pixels(bits, codes[0], total, width, cache_bits)
+        place = bits.place()
+        if (px := read_pixels(bits, codes[0], total, width, cache_bits)) is not None:
+            return px
+        bits.go(place)
     out, at, per_row = [0] * total, 0, -(-width >> size_bits)
     shift = 32 - cache_bits
     while at < total:
@@ -251,45 +254,59 @@ def read_image(bits: Bits, width: int, height: int, *, main: bool) -> np.ndarray
     return np.array(out, np.uint32)
 
 
-#: Bytes of a stream that are looked at together, and the places of their bits.
+#: Bytes of a stream that are looked at together, and the places of their bits and of a few more.
 STREAM_BLOCK = 4096
-PLACES = np.arange(8 * STREAM_BLOCK)
+PLACES = np.arange(8 * STREAM_BLOCK + 64)
+#: A symbol's length that leads out of any block.
+OUT = 1 << 32
 
 
-def read_pixels(bits: Bits, codes: list[Code], total: int, width: int, cache_bits: int) -> np.ndarray:
-    """Pixels of an image with one group of codes and one alpha value.
+def read_pixels(bits: Bits, codes: list[Code], total: int, width: int, cache_bits: int) -> np.ndarray | None:
+    """Pixels of an image with one group of codes and one alpha value; None if it reads empty entries of the cache.
 
-    For each bit of a block of the stream, arrays hold what a symbol that began there would be and where the next one
-    would begin; following these places from the first one gives the symbols that there are. Copies are made one by one.
+    For each bit of a block of the stream, arrays hold where the next symbol would begin if a green, red or blue one
+    began there; chained, they hold where the next operation would begin. Following these places from the first one
+    gives the operations that there are, and only theirs are looked up.
     """
-    green, red, blue = (c.array for c in codes[:3])
-    masks = [len(x) - 1 for x in (green, red, blue)]
+    most = max(c.most for c in codes[:3])
+    green, red, blue = (np.tile(c.array, 1 << (most - c.most)) for c in codes[:3])
     opaque = np.uint32(codes[3].table[0] >> 4 << 24)
-    out, at, place, ends = np.zeros(total, np.uint32), 0, bits.place(), 8 * len(bits.data)
-    if not any(masks) and not 4096 <= green[0] < 4480:  # a symbol that takes no bits: one pixel throughout, or the empty cache's
-        if green[0] < 4096:
-            out[:] = opaque | np.uint32((red[0] >> 4) << 16 | (green[0] >> 4) << 8 | blue[0] >> 4)
-        return out
+    place, ends = bits.place(), 8 * len(bits.data)
+    if not most and not 4096 <= green[0] < 4480:  # a symbol that takes no bits: one pixel throughout, or the empty cache's
+        colour = opaque | np.uint32((red[0] >> 4) << 16 | (green[0] >> 4) << 8 | blue[0] >> 4)
+        return np.full(total, colour if green[0] < 4096 else 0, np.uint32)
+    steps = green & 15
+    steps[(green >= 4096) & (green < 4480)] = OUT  # copies
+    red_steps, blue_steps = red & 15, blue & 15
+    cached = green >= 4480 if cache_bits else None
     data = np.frombuffer(bits.data + bytes(STREAM_BLOCK + 16), np.uint8)
-    cache, shift = [0] * (1 << cache_bits) if cache_bits else None, np.uint32(32 - cache_bits if cache_bits else 0)
-    keys = lambda px: ((px * np.uint32(CACHE_FACTOR)) >> shift).tolist()
-    while at < total:
+    colours, symbols, copies, singles, free = [], [], [], 0, total  # copies: (single pixels before it, size, distance)
+    while free:
         first = place >> 3
         size = min(STREAM_BLOCK, len(bits.data) - first + 1)
         if size < 1:
             raise ValueError("the stream ends before the image")
         raw = data[first : first + size + 10].astype(np.int64)
-        window = ((raw[:-2] | raw[1:-1] << 8 | raw[2:] << 16)[:, None] >> PLACES[:8]).ravel()
+        raw = raw[:-2] | raw[1:-1] << 8 | raw[2:] << 16
+        window = np.empty((len(raw), 8), np.int64)
+        np.right_shift(raw[:, None], PLACES[:8], out=window)
+        window &= (1 << most) - 1
+        window = window.ravel()
         limit = 8 * size
-        g = green[window[:limit] & masks[0]]
-        place_1 = PLACES[:limit] + (g & 15)
-        r = red[window[place_1] & masks[1]]
-        place_2 = place_1 + (r & 15)
-        b = blue[window[place_2] & masks[2]]
-        ends_at = place_1 + (place_2 + (b & 15) - place_1) * (g < 4096)  # symbols below 256 are pixels; those from 280 on are of the cache
-        ends_at[np.flatnonzero((g >= 4096) & (g < 4480))] = -1
+        n = len(window)
+        # entries of the cache have no red and blue: their steps lead to a second range of places, and that back to the first
+        after_green = (steps + n * cached if cache_bits else steps).take(window[:limit])
+        after_green += PLACES[:limit]
+        after_red, after_blue = (np.empty(2 * n if cache_bits else n, np.int64) for _ in range(2))
+        np.add(red_steps.take(window), PLACES[:n], out=after_red[:n])
+        np.add(blue_steps.take(window), PLACES[:n], out=after_blue[:n])
+        if cache_bits:
+            np.add(PLACES[:n], n, out=after_red[n:])
+            after_blue[n:] = PLACES[:n]
+        after_red[-1], after_blue[-1] = OUT, -1  # where a copy's step leads; symbols that begin in the block end before
+        ends_at = after_blue.take(after_red.take(after_green, mode="clip"), mode="clip")
         following = memoryview(ends_at)
-        found, copies, here, free = [], [], place - 8 * first, total - at  # copies: (single pixels of the block before it, size, distance)
+        found, here = [], place - 8 * first
         while here < limit:
             while 0 <= here < limit:
                 found.append(here)
@@ -299,45 +316,73 @@ def read_pixels(bits: Bits, codes: list[Code], total: int, width: int, cache_bit
                 break
             if here < 0:
                 copy = found.pop()
-                bits.go(8 * first + int(place_1[copy]))
-                size, far = prefixed(bits, int(g[copy] >> 4) - 256), distance(prefixed(bits, codes[4].read(bits)), width)
+                symbol = int(green[window[copy]])
+                bits.go(8 * first + copy + (symbol & 15))
+                size, far = prefixed(bits, (symbol >> 4) - 256), distance(prefixed(bits, codes[4].read(bits)), width)
                 here = bits.place() - 8 * first
                 if far > total - free + len(found) or len(found) + size > free:
                     raise ValueError("a back-reference outside of the image")
-                copies.append((len(found), size, far))
+                copies.append((singles + len(found), size, far))
                 free -= size
                 if len(found) == free:
                     break
         place = 8 * first + here
         some = np.array(found[:free], np.int64)
-        entries = g[some] >> 4
-        px = opaque | ((r[some] >> 4) << 16 | (entries & 255) << 8 | b[some] >> 4).astype(np.uint32)
-        if cache:
-            values, names, entries = px.tolist(), keys(px), entries.tolist()
-        before = 0
-        for end, size, far in [*copies, (len(some), 0, 0)]:
-            if cache:
-                for i in range(before, end):
-                    if entries[i] < 256:
-                        cache[names[i]] = values[i]
-                    else:
-                        values[i] = cache[entries[i] - 280]
-                out[at : at + end - before] = values[before:end]
-            else:
-                out[at : at + end - before] = px[before:end]
-            at += end - before
-            before = end
-            if size:
-                new = out[at - far : at - far + size] if far >= size else np.resize(out[at - far : at], size)
-                out[at : at + size] = new
-                at += size
-                if cache:
-                    for key, p in zip(keys(new), new.tolist(), strict=True):
-                        cache[key] = p
+        g = green[window[some]]
+        some += g & 15
+        r = red[window[some]]
+        some += r & 15
+        b = blue[window[some]]
+        entries = g >> 4
+        symbols.append(entries)
+        colours.append(opaque | ((r >> 4) << 16 | (entries & 255) << 8 | b >> 4).astype(np.uint32))
+        singles += len(some)
+        free -= len(some)
     if place > ends:
         raise ValueError("the stream ends before the image")
     bits.go(place)
-    return out
+    return resolved(np.concatenate(symbols), np.concatenate(colours), copies, total, cache_bits)
+
+
+def resolved(symbols: np.ndarray, colours: np.ndarray, copies: list[tuple[int, int, int]], total: int, cache_bits: int) -> np.ndarray | None:
+    """Pixels, of the symbols and colours of single ones and of copies (single pixels before it, size, distance).
+
+    None if an entry is empty: its pixel then goes to another entry than it came from.
+
+    Each pixel that has no colour of its own has that of an earlier one: a copy's of the one so far back, an entry's of
+    the last one with its key, be that single or copied. Following these to their ends needs as many rounds as the
+    logarithm of the longest chain.
+    """
+    hit = symbols >= 280
+    if not copies and not hit.any():
+        return colours
+    before, size, far = np.array(copies, np.int64).reshape(-1, 3).T
+    at = before + np.cumsum(size) - size
+    edges = np.zeros(total + 1, np.int64)
+    edges[at] += 1
+    edges[at + size] -= 1
+    covered = np.cumsum(edges[:-1]) > 0
+    single, copied = np.flatnonzero(~covered), np.flatnonzero(covered)
+    values, source = np.zeros(total, np.uint32), np.arange(total)
+    values[single] = colours
+    source[copied] = copied - np.repeat(far, size)
+    if hit.any():
+        keys = np.zeros(total, np.uint16)
+        keys[single] = np.where(hit, symbols - 280, colours * np.uint32(CACHE_FACTOR) >> np.uint32(32 - cache_bits))
+        hits = single[hit]
+        last = last_equal(keys[followed(source)] if copies else keys)[hits]
+        if (last < 0).any():
+            return None
+        source[hits] = last
+    return values[followed(source)]
+
+
+def followed(source: np.ndarray) -> np.ndarray:
+    """For each place the last one that its source, the source of that, and so on lead to."""
+    while True:
+        source, before = source[source], source
+        if np.array_equal(source, before):
+            return source
 
 
 def flat_pixels(bits: Bits, total: int, alpha: int) -> np.ndarray:
@@ -506,17 +551,37 @@ def _head() -> tuple[int, int]:
 HEAD, HEAD_BITS = _head()
 
 
+#: Images that are coded together at most, and their pixels unless one alone has more.
+TOGETHER, PIXELS_TOGETHER = 64, 1 << 17
+
+
 def encode(rgb: np.ndarray) -> bytes:
     """A whole file from samples (height, width, 3)."""
-    height, width, _ = rgb.shape
-    if not (0 < width <= SIDE and 0 < height <= SIDE):
-        raise ValueError("an image has 1 to 16384 pixels each way")
-    parts = np.full((height * width, 4), 255, np.uint8)
-    parts[:, 2::-1] = rgb.reshape(-1, 3)
-    px = parts.view("<u4").ravel().astype(np.uint32, copy=False)
-    out = BitWriter()
-    out.put(SIGNATURE | (width - 1) << 8 | (height - 1) << 22, 40)
-    data = flat(rgb, width, height) if not write_coded(out, px, width, height) else out.bytes()
+    return encode_many([rgb])[0]
+
+
+def encode_many(images: list[np.ndarray]) -> list[bytes]:
+    """A whole file for each image's samples (height, width, 3). Images are coded together but don't share codes."""
+    out, plans, pixels = [], [], 0
+    for i, rgb in enumerate(images):
+        height, width, _ = rgb.shape
+        if not (0 < width <= SIDE and 0 < height <= SIDE):
+            raise ValueError("an image has 1 to 16384 pixels each way")
+        parts = np.full((height * width, 4), 255, np.uint8)
+        parts[:, 2::-1] = rgb.reshape(-1, 3)
+        px = parts.view("<u4").ravel().astype(np.uint32, copy=False)
+        plans.append(plan(px, width, height))
+        pixels += len(px)
+        if len(plans) == TOGETHER or pixels >= PIXELS_TOGETHER or i + 1 == len(images):
+            coded = iter(write([p for p in plans if p]))
+            group = images[i + 1 - len(plans) : i + 1]
+            out += [riff(next(coded) if p else flat(x, x.shape[1], x.shape[0])) for p, x in zip(plans, group, strict=True)]
+            plans, pixels = [], 0
+    return out
+
+
+def riff(data: bytes) -> bytes:
+    """The container around a stream."""
     data += b"\0" * (len(data) % 2)
     return b"RIFF" + struct.pack("<I", 12 + len(data)) + b"WEBPVP8L" + struct.pack("<I", len(data)) + data
 
@@ -539,26 +604,31 @@ class BitWriter:
     """Writes from the lowest bit of each byte on. Fields wait until they are many, and are then put into bytes at once."""
 
     def __init__(self) -> None:
-        self.value, self.size, self.done, self.waiting, self.held = 0, 0, [], [], 0
+        self.value, self.size, self.done, self.waiting, self.held, self.total = 0, 0, [], [], 0, 0
 
     def put(self, value: int, n: int) -> None:
+        """A field of up to 63 bits."""
         if not (self.waiting and isinstance(self.waiting[-1][0], list)):
             self.waiting.append(([], []))
         values, sizes = self.waiting[-1]
-        while n > 32:
-            values.append(value & 0xFFFFFFFF)
-            sizes.append(32)
-            value, n = value >> 32, n - 32
         values.append(value)
         sizes.append(n)
+        self.total += n
 
     def put_many(self, values: np.ndarray, sizes: np.ndarray) -> None:
-        """Fields of up to 53 bits each, in order."""
+        """Fields of up to 63 bits each, in order."""
         self.waiting.append((values, sizes))
         self.held += len(values)
+        self.total += int(sizes.sum())
         if self.held >= OPERATIONS:
             self.flush()
 
+    def align(self) -> int:
+        """Zeros up to a whole byte; gives how many bytes there are."""
+        if self.total % 8:
+            self.put(0, -self.total % 8)
+        return self.total // 8
+
     def flush(self) -> None:
         if not self.waiting:
             return
@@ -591,15 +661,26 @@ LEAST_COPY, MOST_COPY, FARTHEST, OPERATIONS = 4, 4096, (1 << 20) - 120, 1 << 16
 
 def code_lengths(counts: np.ndarray, most: int) -> np.ndarray:
     """Lengths of a complete prefix code, none above `most`: each symbol's information rounded up, then shortened where that was most."""
-    out = np.zeros(len(counts), np.int64)
-    used = np.flatnonzero(counts)
-    if len(used) < 2:
-        out[used] = 1
-        return out
-    held = counts[used]
-    ideal = np.log2(held.sum() / held).tolist()
-    size = [min(most, ceil(x)) or 1 for x in ideal]
-    left = (1 << most) - sum([1 << (most - n) for n in size])
+    return lengths_of(counts, np.array([0, len(counts)]), most)
+
+
+def lengths_of(counts: np.ndarray, borders: np.ndarray, most: int) -> np.ndarray:
+    """code_lengths of each table of counts that ends at a border."""
+    out, used = np.zeros(len(counts), np.int64), np.flatnonzero(counts)
+    held, ends = counts[used], np.searchsorted(used, borders)
+    before = np.concatenate(([0], np.cumsum(held)))[ends]
+    ideal = np.log2(np.repeat(np.diff(before), np.diff(ends)) / held)
+    size = np.clip(np.ceil(ideal), 1, most).astype(np.int64)
+    left = (1 << most) - np.diff(np.concatenate(([0], np.cumsum(1 << (most - size))))[ends])
+    for t in np.flatnonzero((left != 0) & (np.diff(ends) > 1)).tolist():
+        a, b = ends[t], ends[t + 1]
+        size[a:b] = completed(ideal[a:b].tolist(), size[a:b].tolist(), held[a:b], int(left[t]), most)
+    out[used] = size
+    return out
+
+
+def completed(ideal: list[float], size: list[int], held: np.ndarray, left: int, most: int) -> list[int]:
+    """Lengths of a code whose shares leave `left` of a whole, or pass it, changed so that they make a whole."""
     if left < 0:  # too many at the longest length: the rarest of the others give way
         for i in np.argsort(held, kind="stable").tolist():
             while left < 0 and size[i] < most:
@@ -615,28 +696,25 @@ def code_lengths(counts: np.ndarray, most: int) -> np.ndarray:
                 left -= unit
                 if not left:
                     break
-    out[used] = size
-    return out
+    return size
 
 
-def codes_of(tables: list[np.ndarray]) -> list[np.ndarray]:
-    """For each of some tables of code lengths, the canonical codes of its symbols as they stand in the stream."""
-    lengths = np.concatenate(tables)
-    borders = np.cumsum([0] + [len(t) for t in tables])
+def codes_of(lengths: np.ndarray, borders: np.ndarray) -> np.ndarray:
+    """The canonical codes, as they stand in the stream, of some tables of code lengths, each of which ends at a border."""
     used = np.flatnonzero(lengths)
     ranks = 16 * (np.searchsorted(borders, used, "right") - 1) + lengths[used]
-    used = used[np.argsort(ranks.astype(np.uint16), kind="stable")]
+    used = used[np.argsort(ranks.astype(np.uint16 if 16 * len(borders) < 1 << 16 else np.int64), kind="stable")]
     share = 1 << (MOST_BITS - lengths[used])
     out = np.zeros(len(lengths), np.int64)
     # the shares of a complete code add up to a whole, so each code begins at zero again
     out[used] = mirrored(MOST_BITS)[(np.cumsum(share) - share) & ((1 << MOST_BITS) - 1)]
-    return [out[a:b] for a, b in zip(borders[:-1].tolist(), borders[1:].tolist(), strict=True)]
+    return out
 
 
-def runs_of(lengths: np.ndarray, borders: list[int]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each stretch of code lengths that ends at a border: its symbols with runs as repeats, and how long these are."""
+def runs_of(lengths: np.ndarray, borders: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(symbols, extra values, ends) of stretches of code lengths, each of which ends at a border, with runs as repeats; ends: where a stretch's symbols end."""
     breaks = lengths[1:] != lengths[:-1]
-    breaks[np.array(borders[:-1], np.int64) - 1] = True
+    breaks[borders[:-1] - 1] = True
     starts = np.concatenate(([0], np.flatnonzero(breaks) + 1))
     value = lengths[starts]
     zero = value == 0
@@ -648,40 +726,58 @@ def runs_of(lengths: np.ndarray, borders: list[int]) -> list[tuple[np.ndarray, n
     symbols = np.stack((value, np.where(zero, 18, 16), np.where(long, 18, 16 + zero), value), axis=1)
     extras = np.stack((none, np.where(zero, 127, 3), rest - np.where(long, 11, 3), none), axis=1)
     symbols, extras = (np.repeat(x.ravel(), counts.ravel()) for x in (symbols, extras))
-    ends = np.cumsum(counts.sum(axis=1))[np.searchsorted(starts, borders) - 1].tolist()
-    return [(symbols[a:b], extras[a:b]) for a, b in zip([0, *ends], ends, strict=False)]
-
-
-def put_codes(out: BitWriter, counts: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Writes codes for symbols that occur so often; gives each one's codes and their lengths."""
-    made, tables = [], []
-    for c in counts:
-        used = np.flatnonzero(c)
-        if len(used) < 2 and (not len(used) or used[0] < 256):
-            made.append((int(used[0]) if len(used) else 0, np.zeros(len(c), np.int64)))
-            continue
-        if len(used) == 1:  # one symbol past the bytes: a length of its own, with one that never comes
-            c = c.copy()  # noqa: PLW2901
-            c[0] = 1
-        made.append((None, code_lengths(c, MOST_BITS)))
-        tables.append(made[-1][1])
-    runs = runs_of(np.concatenate(tables), np.cumsum([len(t) for t in tables]).tolist()) if tables else []
-    owns = [code_lengths(np.bincount(symbols, minlength=19), MOST_OWN) for symbols, _ in runs]
-    # a table with one symbol takes no bits, and isn't a complete code
-    owns_sizes = [own if np.count_nonzero(own) > 1 else np.zeros(19, np.int64) for own in owns]
-    codes = codes_of([*owns_sizes, *(lengths for _, lengths in made)])
-    each = iter(zip(runs, owns, owns_sizes, codes, strict=False))
-    for only, _ in made:
-        if only is not None:
-            out.put(0b101 | only << 3, 11) if only > 1 else out.put(0b001 | only << 3, 4)
-            continue
-        (symbols, extras), own, own_sizes, own_codes = next(each)
-        ordered = own[LENGTH_PLACES].tolist()
-        n = max(4, max(i for i, x in enumerate(ordered) if x) + 1)
-        out.put(0 | (n - 4) << 1 | sum([x << 5 + 3 * i for i, x in enumerate(ordered[:n])]), 5 + 3 * n + 1)
-        sizes = own_sizes[symbols]
-        out.put_many(own_codes[symbols] | extras << sizes, sizes + EXTRA_BITS[symbols])
-    return [(c, lengths) for c, (_, lengths) in zip(codes[len(runs) :], made, strict=True)]
+    return symbols, extras, np.cumsum(counts.sum(axis=1))[np.searchsorted(starts, borders) - 1]
+
+
+@dataclass
+class Codes:
+    """Prefix codes of some tables of counts one after another: the codes and their lengths, table t from borders[t] on;
+    values and sizes are the fields that state them in the stream, those of table t from places[t] on."""
+
+    borders: np.ndarray
+    codes: np.ndarray
+    lengths: np.ndarray
+    values: np.ndarray
+    sizes: np.ndarray
+    places: np.ndarray
+
+
+def codes_for(tables: list[np.ndarray]) -> Codes:
+    """Codes for symbols that occur so often."""
+    counts, borders = np.concatenate(tables), np.cumsum([0] + [len(t) for t in tables])
+    used = np.flatnonzero(counts)
+    ends = np.searchsorted(used, borders)
+    n = np.diff(ends)
+    first = np.where(n > 0, used[np.minimum(ends[:-1], len(used) - 1)] - borders[:-1], 0)
+    only = (n < 2) & (first < 256)  # no code at all, or one of no bits, is stated by its symbol
+    counts[borders[:-1][(n < 2) & ~only]] = 1  # one symbol past the bytes: a length of its own, with one that never comes
+    lengths = lengths_of(counts, borders, MOST_BITS)
+    own_table = np.repeat(~only, np.diff(borders))
+    lengths[~own_table] = 0
+    made = np.flatnonzero(~only)
+    heads, head_sizes, follow = np.where(first > 1, 0b101, 0b001) | first << 3, np.where(first > 1, 11, 4), np.zeros(len(tables), np.int64)
+    run_values = run_sizes = np.zeros(0, np.int64)
+    if len(made):
+        symbols, extras, run_ends = runs_of(lengths[own_table], np.cumsum(np.diff(borders)[made]))
+        follow[made] = np.diff(run_ends, prepend=0)
+        at = 19 * np.repeat(np.arange(len(made)), follow[made]) + symbols
+        own_borders = 19 * np.arange(len(made) + 1)
+        own = lengths_of(np.bincount(at, minlength=19 * len(made)), own_borders, MOST_OWN).reshape(-1, 19)
+        ordered = own[:, LENGTH_PLACES]
+        stated = np.maximum(4, 19 - (ordered[:, ::-1] > 0).argmax(axis=1))
+        heads[made] = (stated - 4) << 1 | (ordered << (5 + 3 * np.arange(19))).sum(axis=1)
+        head_sizes[made] = 5 + 3 * stated + 1
+        # a table with one symbol takes no bits, and isn't a complete code
+        own_sizes = np.where((own > 0).sum(axis=1, keepdims=True) > 1, own, 0).ravel()
+        run_sizes = own_sizes[at]
+        run_values = codes_of(own_sizes, own_borders)[at] | extras << run_sizes
+        run_sizes = run_sizes + EXTRA_BITS[symbols]
+    places = np.concatenate(([0], np.cumsum(1 + follow)))
+    values, sizes = np.empty(places[-1], np.int64), np.empty(places[-1], np.int64)
+    rest = np.ones(places[-1], bool)
+    rest[places[:-1]] = False
+    values[places[:-1]], sizes[places[:-1]], values[rest], sizes[rest] = heads, head_sizes, run_values, run_sizes
+    return Codes(borders, codes_of(lengths, borders), lengths, values, sizes, places)
 
 
 def prefix_of(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -746,28 +842,47 @@ def cost(*counts: np.ndarray) -> float:
     return float((sums * np.log2(sums)).sum() - (held * np.log2(held)).sum()) + 5 * len(held)
 
 
-def put_image(out: BitWriter, px: np.ndarray, width: int, *, main: bool, below: float = float("inf")) -> bool:
-    """Writes an entropy-coded image, or nothing if that would take more bits than `below`."""
+@dataclass
+class Part:
+    """An entropy-coded image that is to be written: fields before it, counts of its five codes' symbols, its operations.
+
+    single: places of pixels that no copy makes, symbol: what stands for each, left: those not from the cache; copies
+    are at their places, with (prefix symbol, extra value, extra bits) of sizes and distances.
+    """
+
+    head: list[tuple[int, int]]
+    total: int
+    counts: list[np.ndarray]
+    single: np.ndarray
+    symbol: np.ndarray
+    left: np.ndarray
+    value: np.ndarray
+    at: np.ndarray
+    size: tuple[np.ndarray, np.ndarray, np.ndarray]
+    far: tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def part_of(px: np.ndarray, width: int, head: list[tuple[int, int]], *, main: bool, below: float = float("inf")) -> Part | None:
+    """Pixels as copies, cache entries and colours; nothing if that would take `below` bits."""
     copies = copies_of(px)
     at, size, far = (np.array(c, np.int64) for c in zip(*copies, strict=True)) if copies else (np.zeros(0, np.int64),) * 3
     covered = np.zeros(len(px) + 1, np.int64)
     covered[at] += 1
     covered[at + size] -= 1
     single = np.flatnonzero(np.cumsum(covered)[:-1] == 0)  # pixels that no copy makes
-    (length_symbol, length_extra, length_bits), (far_symbol, far_extra, far_bits) = prefix_of(size), prefix_of(near_codes(far, width))
+    sizes, fars = prefix_of(size), prefix_of(near_codes(far, width))
     value = px[single].astype(np.int64)
-    green, red, blue, alpha = value >> 8 & 255, value >> 16 & 255, value & 255, value >> 24
-    lengths, far_counts = np.bincount(256 + length_symbol, minlength=280), np.bincount(far_symbol, minlength=40)
-
-    def histograms(hit: np.ndarray, key: np.ndarray, cache_bits: int) -> list[np.ndarray]:
-        size = 280 + (1 << cache_bits if cache_bits else 0)
-        greens = np.bincount(np.where(hit, 280 + key, green), minlength=size)
-        greens[:280] += lengths
-        left = np.flatnonzero(~hit)
-        return [greens, *(np.bincount(c[left], minlength=256) for c in (red, blue, alpha)), far_counts]
-
-    none = np.zeros(len(single), bool)
-    counts, cache_bits, hit, key = histograms(none, none, 0), 0, none, none
+    parts = green, red, blue, alpha = [value >> n & 255 for n in (8, 16, 0, 24)]
+    of_copies = np.bincount(256 + sizes[0], minlength=280)
+    far_counts = np.bincount(fars[0], minlength=40)
+
+    def histograms(cache_bits: int) -> list[np.ndarray]:
+        greens = np.bincount(symbol, minlength=280 + (1 << cache_bits if cache_bits else 0))
+        greens[:280] += of_copies
+        return [greens, *(np.bincount(c if left is None else c[left], minlength=256) for c in parts[1:]), far_counts]
+
+    symbol, left, cache_bits = green, None, 0
+    counts = histograms(0)
     best = cost(*counts)
     if main and len(px) >= 64:
         tried = min(10, len(px).bit_length() - 3)
@@ -775,33 +890,63 @@ def put_image(out: BitWriter, px: np.ndarray, width: int, *, main: bool, below:
         last = last_equal(keys.astype(np.uint16))  # of ten bits at most
         hits = ((last >= 0) & (px[last] == px))[single]
         if hits.any():
-            other = histograms(hits, keys[single].astype(np.int64), tried)
+            symbol, left = np.where(hits, 280 + keys[single].astype(np.int64), green), np.flatnonzero(~hits)
+            other = histograms(tried)
             if (price := cost(*other)) < best:
-                best, counts, cache_bits, hit, key = price, other, tried, hits, keys[single].astype(np.int64)
-    if best + int(length_bits.sum() + far_bits.sum()) >= below:
-        return False
-    out.put(bool(cache_bits), 1)
-    if cache_bits:
-        out.put(cache_bits, 4)
-    if main:
-        out.put(0, 1)
-    (g_code, g_size), (r_code, r_size), (b_code, b_size), (a_code, a_size), (d_code, d_size) = put_codes(out, counts)
-    # an operation has up to four fields, 53 bits at most; they are put as one, in order of their places
-    symbol = np.where(hit, 280 + key, green)
-    values, sizes = g_code[symbol], g_size[symbol]
-    for code, length, channel in ((r_code, r_size, red), (b_code, b_size, blue), (a_code, a_size, alpha)):
-        values |= np.where(hit, 0, code[channel]) << sizes
-        sizes += np.where(hit, 0, length[channel])
-    copy_values, copy_sizes = g_code[256 + length_symbol], g_size[256 + length_symbol]
-    for field, bits in ((length_extra, length_bits), (d_code[far_symbol], d_size[far_symbol]), (far_extra, far_bits)):
+                best, counts, cache_bits = price, other, tried
+            else:
+                symbol, left = green, None
+    if best + int(sizes[2].sum() + fars[2].sum()) >= below:
+        return None
+    head = [*head, (1 | cache_bits << 1, 5) if cache_bits else (0, 1), *([(0, 1)] if main else [])]
+    left = np.arange(len(single)) if left is None else left
+    return Part(head, len(px), counts, single, symbol, left, value[left], at, sizes, fars)
+
+
+def write(plans: list[list[Part]]) -> list[bytes]:
+    """Streams of images, each of one or more parts. All parts' codes are made together, and all their operations."""
+    if not plans:
+        return []
+    parts = [p for plan in plans for p in plan]
+    made = codes_for([c for p in parts for c in p.counts])
+    starts = made.borders[:-1].reshape(-1, 5)
+    whole = lambda arrays: np.concatenate(list(arrays))
+    firsts = np.cumsum([0] + [p.total for p in parts])[:-1]
+    n_single, n_left, n_copies = (np.array([len(x) for x in column]) for column in zip(*((p.single, p.left, p.at) for p in parts), strict=True))
+    # an operation has up to four fields, 63 bits at most; they are put as one, in order of their places
+    symbol = whole(p.symbol for p in parts) + np.repeat(starts[:, 0], n_single)
+    values, sizes = made.codes[symbol], made.lengths[symbol]
+    left = whole(p.left for p in parts) + np.repeat(np.cumsum(n_single) - n_single, n_left)
+    colour = whole(p.value for p in parts)
+    left_values, left_sizes = values[left], sizes[left]
+    for i, shift in ((1, 16), (2, 0), (3, 24)):
+        at = (colour >> shift & 255) + np.repeat(starts[:, i], n_left)
+        left_values |= made.codes[at] << left_sizes
+        left_sizes += made.lengths[at]
+    values[left], sizes[left] = left_values, left_sizes
+    (size_symbol, size_extra, size_bits), (far_symbol, far_extra, far_bits) = ([whole(x) for x in zip(*column, strict=True)] for column in zip(*((p.size, p.far) for p in parts), strict=True))
+    at, far_at = 256 + size_symbol + np.repeat(starts[:, 0], n_copies), far_symbol + np.repeat(starts[:, 4], n_copies)
+    copy_values, copy_sizes = made.codes[at], made.lengths[at]
+    for field, bits in ((size_extra, size_bits), (made.codes[far_at], made.lengths[far_at]), (far_extra, far_bits)):
         copy_values |= field << copy_sizes
         copy_sizes += bits
-    values, sizes = np.concatenate((values, copy_values)), np.concatenate((sizes, copy_sizes))
-    order = np.argsort(np.concatenate((single, at)), kind="stable")
-    for i in range(0, len(order), OPERATIONS):
-        some = order[i : i + OPERATIONS]
-        out.put_many(values[some], sizes[some])
-    return True
+    places = np.concatenate((whole(p.single for p in parts) + np.repeat(firsts, n_single), whole(p.at for p in parts) + np.repeat(firsts, n_copies)))
+    order = np.argsort(places, kind="stable")
+    values, sizes = np.concatenate((values, copy_values))[order], np.concatenate((sizes, copy_sizes))[order]
+    out, ends, done, t = BitWriter(), [0], 0, 0
+    for plan in plans:
+        for p in plan:
+            for field in p.head:
+                out.put(*field)
+            a, b = made.places[t], made.places[t + 5]
+            out.put_many(made.values[a:b], made.sizes[a:b])
+            n = len(p.single) + len(p.at)
+            for i in range(done, done + n, OPERATIONS):
+                out.put_many(values[i : min(i + OPERATIONS, done + n)], sizes[i : min(i + OPERATIONS, done + n)])
+            done, t = done + n, t + 5
+        ends.append(out.align())
+    data = out.bytes()
+    return [data[a:b] for a, b in zip(ends, ends[1:], strict=False)]
 
 
 @lru_cache(maxsize=64)
@@ -820,18 +965,17 @@ def near_codes(far: np.ndarray, width: int) -> np.ndarray:
     return np.array([near.get(f, f + len(NEAR)) for f in far.tolist()], np.int64)
 
 
-def write_coded(out: BitWriter, px: np.ndarray, width: int, height: int) -> bool:
-    """Writes transforms and pixels; False if eight-bit codes are shorter."""
-    plain = 24 * len(px) + HEAD_BITS
+def plan(px: np.ndarray, width: int, height: int) -> list[Part] | None:
+    """A palette and indices, or pixels; None if eight-bit codes are shorter."""
+    below = 24 * len(px) + HEAD_BITS
+    head, parts = [(SIGNATURE | (width - 1) << 8 | (height - 1) << 22, 40)], []
     ordered = np.sort(px)
     colours = ordered[np.concatenate(([True], ordered[1:] != ordered[:-1]))]
     if len(colours) <= 256 and 2 * len(colours) <= len(px):
         index = np.searchsorted(colours, px)
-        out.put(0b111, 3)
-        out.put(len(colours) - 1, 8)
         steps = channels(colours)
         steps[1:] -= channels(colours)[:-1]
-        put_image(out, joined(steps), len(colours), main=False)
+        parts.append(part_of(joined(steps), len(colours), [*head, (0b111, 3), (len(colours) - 1, 8)], main=False))
         bits = 3 if len(colours) <= 2 else 2 if len(colours) <= 4 else 1 if len(colours) <= 16 else 0
         wide, depth = -(-width >> bits), 8 >> bits
         packed = np.zeros((height, wide << bits), np.uint32)
@@ -839,15 +983,21 @@ def write_coded(out: BitWriter, px: np.ndarray, width: int, height: int) -> bool
         packed = packed.reshape(height, wide, 1 << bits)
         packed = (packed << (np.arange(1 << bits, dtype=np.uint32) * depth)).sum(axis=2, dtype=np.uint32)
         px, width = (np.uint32(255 << 24) | packed.ravel() << 8), wide
-        plain = float("inf")
-    out.put(0, 1)
-    return put_image(out, px, width, main=True, below=plain)
+        below, head = float("inf"), []
+    parts.append(part_of(px, width, [*head, (0, 1)], main=True, below=below))
+    return parts if parts[-1] else None
 
 
 def store(payload: bytes) -> bytes:
     """Files of ROW pixels a row and at most SIDE rows, one after another; payload: a multiple of ROW_BYTES."""
-    samples = np.frombuffer(payload, np.uint8).reshape(-1, ROW, 3)
-    return b"".join(encode(samples[i : i + SIDE]) for i in range(0, len(samples), SIDE))
+    return store_many([payload])[0]
+
+
+def store_many(payloads: list[bytes]) -> list[bytes]:
+    """Each payload stored."""
+    samples = [np.frombuffer(p, np.uint8).reshape(-1, ROW, 3) for p in payloads]
+    files = iter(encode_many([x[i : i + SIDE] for x in samples for i in range(0, len(x), SIDE)]))
+    return [b"".join([next(files) for _ in range(0, len(x), SIDE)]) for x in samples]
 
 
 def load(media: bytes) -> list[Image]:
@@ -883,7 +1033,8 @@ def text_media(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "text"):
-            out = [(n, store(p)) for n, p in map(padded, batch.column("text").to_pylist())]
+            sizes, payloads = zip(*map(padded, batch.column("text").to_pylist()), strict=True)
+            out = list(zip(sizes, store_many(payloads), strict=True))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.binary())], ["doc_id", "n_bytes", "media"])
 
     small_batches(docs.sparkSession)
@@ -918,9 +1069,7 @@ def media_digests(docs: DataFrame) -> DataFrame:
     Null and empty texts are 192 spaces; null and repeated ids stay rows of their own; other columns are left out.
     """
 
-    def row(text: str | None) -> tuple:
-        n, payload = padded(text)
-        media = store(payload)
+    def row(n: int, media: bytes) -> tuple:
         samples = np.concatenate([x.rgb() for x in load(media)])
         back = samples.tobytes()
         return n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(media), hashlib.sha256(media).hexdigest(), feature(samples)
@@ -928,14 +1077,14 @@ def media_digests(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, tuple] = {}  # equal texts of a task are coded once
         for batch in chunks(batches, "text"):
-            out = []
             if len(known) > MOST_KNOWN:
                 known.clear()
-            for text in batch.column("text").to_pylist():
-                key = hashlib.sha256((text or "").encode()).digest()
-                if key not in known:
-                    known[key] = row(text)
-                out.append(known[key])
+            texts = [padded(x) for x in batch.column("text").to_pylist()]
+            keys = [hashlib.sha256(p[:n]).digest() for n, p in texts]
+            new = {k: x for k, x in zip(keys, texts, strict=True) if k not in known}
+            for k, (n, _), media in zip(new, new.values(), store_many([p for _, p in new.values()]), strict=True):
+                known[k] = row(n, media)
+            out = [known[k] for k in keys]
             kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True))], ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
 
