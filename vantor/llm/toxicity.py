@@ -17,7 +17,7 @@ from __future__ import annotations
 import json
 import math
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
@@ -251,10 +251,11 @@ def train(rows: list[tuple[int, str, int]], totals: dict[int, int]) -> Model | N
     sample = Counter(label for _, label in docs)
     if not sample[0] or not sample[1]:
         return None
-    seen = {}
-    for label in (0, 1):
-        pairs = {(w, marks[key]) for key, words in docs.items() if key[1] == label for w in words}
-        seen[label] = Counter(w for w, _ in pairs)
+    seen, copies = {0: Counter(), 1: Counter()}, defaultdict(list)
+    for key, words in docs.items():
+        copies[key[1], marks[key]].append(words)
+    for (label, _), sets in copies.items():
+        seen[label].update(set().union(*sets))
     scale = {label: totals[label] / sample[label] for label in (0, 1)}
 
     def share(w: str) -> float:
