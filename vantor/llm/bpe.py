@@ -9,11 +9,13 @@ word's end back to the root gives its ids.
 
 from __future__ import annotations
 
+import gc
 import json
 import sys
 from array import array
 from collections.abc import Iterable, Iterator
 from functools import cached_property, lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +35,8 @@ def byte_letters() -> dict[int, str]:
 
 #: Distinct units whose ids a Python worker remembers between batches, and three fifths as many pre-tokens.
 MOST_UNITS = 700_000
+#: Units that are split in one call.
+SPLIT_AT_ONCE = 256
 
 
 def little(ids: list[int]) -> bytes:
@@ -61,7 +65,10 @@ class TrieBpe:
         pairs = (m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"])
         self.ranks = {(self.ids[a], self.ids[b]): (rank, self.ids[a + b]) for rank, (a, b) in enumerate(pairs)}
         self.sizes = {i: len(t) for t, i in self.ids.items()}
-        self.longest = max(self.sizes.values())
+        self.reach: dict[str, int] = {}  # by four letters: the longest token that ends with them
+        for t in self.ids:
+            if len(t) >= 4:
+                self.reach[t[-4:]] = max(self.reach.get(t[-4:], 0), len(t))
         self.alone: dict[int, bool] = {}
         self.follows: dict[int, bool] = {}  # by first * 2**32 + second
         self.most, self.memory = most, UnitMemory(self.encode_units, most)
@@ -69,13 +76,15 @@ class TrieBpe:
 
     def merged(self, ids: list[int]) -> list[int]:
         """Plain BPE: the pair of lowest rank is merged, left to right, until none is left."""
+        rank, none = self.ranks.get, (1 << 60, 0)
         while len(ids) > 1:
-            best = min((self.ranks.get(p, (1 << 60, 0)) for p in zip(ids, ids[1:], strict=False)))
-            if best[0] == 1 << 60:
+            found = [rank(p, none) for p in zip(ids, ids[1:], strict=False)]
+            best = min(found)
+            if best is none:
                 break
             out, i = [], 0
             while i < len(ids):
-                if i + 1 < len(ids) and self.ranks.get((ids[i], ids[i + 1])) == best:
+                if i < len(found) and found[i] == best:
                     out.append(best[1])
                     i += 2
                 else:
@@ -100,11 +109,12 @@ class TrieBpe:
     def encode_words(self, words: Iterable[str]) -> dict[str, list[int]]:
         """Ids of each distinct word, given in byte letters."""
         out, before, last = {}, "", [-1]  # last[i]: last token of the encoding of the first i letters
-        find, size, longest, known = self.ids.get, self.sizes, self.longest, self.follows.get
+        find, size, reach, known = self.ids.get, self.sizes, self.reach.get, self.follows.get
         for word in sorted(set(words)):
             del last[shared_prefix(before, word) + 1 :]
             for end in range(len(last), len(word) + 1):
-                for start in range(max(0, end - longest), end):
+                most = reach(word[end - 4 : end], 3) if end > 3 else end
+                for start in range(max(0, end - most), end):
                     token = find(word[start:end])
                     if token is not None:
                         fits = known(last[start] << 32 | token) if start else self.stands_alone(token)
@@ -120,10 +130,26 @@ class TrieBpe:
             out[word] = ids[::-1]
         return out
 
+    def pre_tokens(self, units: list[str]) -> list[list[str]]:
+        """Pre-tokens of each unit. Runs of units that begin with a space are split as one text, as none crosses such a place."""
+        split, out = self.splitter.pre_tokenize_str, []
+        for at in range(0, len(units), SPLIT_AT_ONCE):
+            some = units[at : at + SPLIT_AT_ONCE]
+            if not all([u[:1] == " " and u[1:2].strip() for u in some]):
+                out += [[w for w, _ in split(u)] for u in some]
+                continue
+            ends, words = iter(accumulate(map(len, some))), []
+            end = next(ends)
+            for word, (_, to) in split("".join(some)):
+                words.append(word)
+                if to == end:
+                    out.append(words)
+                    end, words = next(ends, -1), []
+        return out
+
     def encode_units(self, units: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        split = self.splitter.pre_tokenize_str
-        cut = [[w for w, _ in split(u)] for u in units]
+        cut = self.pre_tokens(units)
         if len(self.words) > self.most * 3 // 5:
             self.words.clear()
         known = self.words
@@ -178,7 +204,11 @@ def bpe_round_trip(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_c
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = vocabulary(path, most)
         for batch in chunks(batches, "text"):
-            ids = bpe.encode([t or "" for t in batch.column("text").to_pylist()])
+            gc.disable()  # no cycles are made, and looking for some among the memories takes a while
+            try:
+                ids = bpe.encode([t or "" for t in batch.column("text").to_pylist()])
+            finally:
+                gc.enable()
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([bpe.decode(x) for x in ids], pa.string())], ["doc_id", "ids", "n_tokens", "decoded"])
 
     small_batches(docs.sparkSession)
