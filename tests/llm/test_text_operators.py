@@ -12,7 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from vantor.llm import leaks, pfor, toxicity, unigram
+from vantor.llm import leaks, pfor, toxicity, unigram, units
 from vantor.llm.bpe import TrieBpe, bpe_digests, bpe_round_trip
 from vantor.llm.common import scratch
 
@@ -47,6 +47,33 @@ def test_encodings_are_the_librarys(bpe, library, texts):
     assert [bpe.decode(x) for x in bpe.encode(texts)] == [library.decode(ids, skip_special_tokens=False) for ids in want]
 
 
+SPACED = st.text(st.sampled_from("ab.,!' \n\t\r\x1c\x85\xa0\u1680\u2003\u2019\u3000éÃ×÷中0"), max_size=30)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(SPACED, min_size=1, max_size=5))
+def test_units(bpe, library, texts):
+    """Units make up their texts, hold whole pre-tokens, and are the same alone."""
+    distinct, codes, firsts = units.cut(texts)
+    for i, text in enumerate(texts):
+        found = [distinct[c] for c in codes[firsts[i] : firsts[i + 1]]]
+        assert "".join(found) == text
+        assert [w for u in found for w, _ in bpe.splitter.pre_tokenize_str(u)] == [w for w, _ in bpe.splitter.pre_tokenize_str(text)]
+    assert bpe.pre_tokens(distinct) == [[w for w, _ in bpe.splitter.pre_tokenize_str(u)] for u in distinct]
+
+
+def test_units_are_encoded_once(library):
+    """A word counts as one unit whatever marks or lines stand behind it, and long units are forgotten."""
+    encoder, seen = pfor.LibraryEncoder(BPE), []
+    encoder.memory.work_out = lambda new: seen.extend(new) or encoder.encode_units(new)
+    texts = ["a word, a word. a word!\na word", "é, é" + "x" * 100, " a word;"]
+    for _ in range(2):
+        assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(texts)] == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert sorted(seen) == sorted(["a", " word", ",", " a", ".", "!", "\na", "é", ";"] + 2 * [" é" + "x" * 100])
+    encoder.memory.most = 3
+    assert encoder.encode(texts) == encoder.encode(texts[:2]) + encoder.encode(texts[2:])
+
+
 def test_bpe_frame(spark, odd, library):
     got = bpe_digests(odd, BPE).collect()
     for r, (key, text) in zip(got, odd.select("doc_id", "text").collect(), strict=True):

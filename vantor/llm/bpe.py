@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vantor.llm.common import chunks, claim, small_batches
-from vantor.llm.units import LONGEST_UNIT, UnitMemory, shared_prefix
+from vantor.llm.units import LONGEST_UNIT, UnitMemory, joinable, shared_prefix
 
 
 def byte_letters() -> dict[int, str]:
@@ -131,20 +131,22 @@ class TrieBpe:
         return out
 
     def pre_tokens(self, units: list[str]) -> list[list[str]]:
-        """Pre-tokens of each unit. Runs of units that begin with a space are split as one text, as none crosses such a place."""
-        split, out = self.splitter.pre_tokenize_str, []
-        for at in range(0, len(units), SPLIT_AT_ONCE):
-            some = units[at : at + SPLIT_AT_ONCE]
-            if not all([u[:1] == " " and u[1:2].strip() for u in some]):
-                out += [[w for w, _ in split(u)] for u in some]
-                continue
-            ends, words = iter(accumulate(map(len, some))), []
-            end = next(ends)
-            for word, (_, to) in split("".join(some)):
-                words.append(word)
-                if to == end:
-                    out.append(words)
-                    end, words = next(ends, -1), []
+        """Pre-tokens of each unit. Units that may stand one behind the other are split as one text."""
+        split, out = self.splitter.pre_tokenize_str, [[] for _ in units]
+        spaced, lines, words, rest = joinable(units)
+        for places, gap in ((spaced, 0), (lines, 0), (words, 1)):
+            for i in range(0, len(places), SPLIT_AT_ONCE):
+                some = places[i : i + SPLIT_AT_ONCE]
+                text = "\n" * gap + ("\n" * gap).join([units[j] for j in some])
+                ends, found = zip(some, accumulate([len(units[j]) + gap for j in some]), strict=True), []
+                at, end = next(ends)
+                for word, (_, to) in split(text):
+                    found.append(word)
+                    if to == end:
+                        out[at] = found[gap:]
+                        (at, end), found = next(ends, (-1, -1)), []
+        for at in rest:
+            out[at] = [w for w, _ in split(units[at])]
         return out
 
     def encode_units(self, units: list[str]) -> list[bytes]:

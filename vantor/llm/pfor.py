@@ -10,9 +10,11 @@ a null id) and its number of ids (u64).
 
 from __future__ import annotations
 
+import os
 import struct
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vantor.llm.common import Scratch, chunks, claim
-from vantor.llm.units import UnitMemory
+from vantor.llm.units import UnitMemory, joinable
 
 MAGIC, BLOCK, EXACT_SHARE = b"VPF1", 4096, 0.97
 HEAD = struct.Struct("<HBIH")
@@ -134,61 +136,46 @@ class BlockReader:
 class LibraryEncoder:
     """The tokenizers library's ids. Distinct units are encoded many in one call.
 
-    Units join to one text that the library cuts at the same places, and byte-level tokens hold all bytes of their
-    text, so the tokens' lengths in bytes give back which unit each belongs to. A unit of letters and then marks is
-    two pre-tokens, so "word," costs no call where "word" is known.
+    Units join to texts that the library cuts at the same places, and byte-level tokens hold all bytes of their text,
+    so the tokens' lengths in bytes give back which unit each belongs to.
     """
 
-    CALL, MOST = 20_000, 1_000_000
-    MARKS = ".,;:!?"
+    TEXT, CALL, MOST = 256, 20_000, 1_000_000
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are what runs side by side
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
         self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
         sizes = {i: len(t) for t, i in self.library.get_vocab(with_added_tokens=False).items()}  # a letter for each byte
         self.sizes = np.array([sizes.get(i, 0) for i in range(max(sizes) + 1)], np.int64)
-        self.marks: dict[str, bytes] = {}
         self.memory = UnitMemory(self.encode_units, self.MOST)
 
     def encode_units(self, units: list[str]) -> list[bytes]:
-        found: dict[str, bytes] = {}
-        known, cores, tails = self.memory.rest, [], {}
-        for u in units:
-            core = u.rstrip(self.MARKS)
-            if len(core) < len(u) and core[:1] == " " and core[1:].isalpha():
-                tails[u] = core, u[len(core) :]
-                if core[1:] not in known:
-                    cores.append(core)
-            else:
-                cores.append(u)
-        wanted = set(cores)
-        spaced = {u for u in wanted if u[:1] == " "}
-        lines = {u for u in wanted - spaced if u and not any(map(str.isspace, u))}
-        self._encode_joined(sorted(spaced), "", found)
-        self._encode_joined(sorted(lines), "\n", found)  # without white space of their own, line feeds part them
-        for u in wanted - spaced - lines:
-            found[u] = np.array(self.library.encode(u, add_special_tokens=False).ids, "<u4").tobytes()
-        for u, (core, tail) in tails.items():
-            if tail not in self.marks:
-                self.marks[tail] = np.array(self.library.encode(tail, add_special_tokens=False).ids, "<u4").tobytes()
-            found[u] = (found.get(core) or known[core[1:]]) + self.marks[tail]
-        return [found[u] for u in units]
-
-    def _encode_joined(self, units: list[str], between: str, found: dict[str, bytes]) -> None:
-        for i in range(0, len(units), self.CALL):
-            some = units[i : i + self.CALL]
-            ids = np.array(self.library.encode(between.join(some), add_special_tokens=False).ids, "<u4")
-            stops, gap = np.cumsum(self.sizes[ids]), len(between)
-            sizes = np.array([len(u.encode()) for u in some])
-            starts = np.cumsum(sizes + gap) - sizes - gap
-            first = np.searchsorted(stops - self.sizes[ids], starts)
-            last = np.searchsorted(stops, starts + sizes) + 1
-            data = ids.tobytes()
-            found |= {u: data[a:b] for u, a, b in zip(some, (4 * first).tolist(), (4 * last).tolist(), strict=True)}
+        out: list[bytes] = [b""] * len(units)
+        spaced, lines, words, rest = joinable(units)
+        for places, gap in ((spaced, 0), (lines, 0), (words, 1)):
+            for i in range(0, len(places), self.CALL):
+                some = places[i : i + self.CALL]
+                for at, ids in zip(some, self._encode_joined([units[j] for j in some], gap), strict=True):
+                    out[at] = ids
+        for at in rest:
+            out[at] = np.array(self.library.encode(units[at], add_special_tokens=False).ids, "<u4").tobytes()
+        return out
+
+    def _encode_joined(self, units: list[str], gap: int) -> list[bytes]:
+        """Ids of units that may stand one behind the other, with a line feed before each if gap is 1."""
+        texts = ["\n" * gap + ("\n" * gap).join(units[i : i + self.TEXT]) for i in range(0, len(units), self.TEXT)]
+        ids = np.array(list(chain.from_iterable([e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)])), "<u4")
+        ends = np.append(0, np.cumsum(self.sizes[ids]))
+        sizes = np.array([len(u.encode()) for u in units]) + gap
+        stops = np.cumsum(sizes)
+        first, last = 4 * np.searchsorted(ends, stops - sizes + gap), 4 * np.searchsorted(ends, stops)
+        data = ids.tobytes()
+        return [data[a:b] for a, b in zip(first.tolist(), last.tolist(), strict=True)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         alone = [any(a in t for a in self.added) for t in texts]
