@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 import zlib
+from types import SimpleNamespace
 
 import numpy as np
 import public_tokenizers
@@ -74,6 +75,18 @@ def test_units_are_encoded_once(library):
     assert encoder.encode(texts) == encoder.encode(texts[:2]) + encoder.encode(texts[2:])
 
 
+def test_mixed_units_are_split_together(bpe, library):
+    """Units of each kind are split in calls of many, whatever order they come in; tokens of any bytes decode as the library has it."""
+    new, calls = TrieBpe(BPE), []
+    split = new.splitter.pre_tokenize_str
+    new.splitter = SimpleNamespace(pre_tokenize_str=lambda text: calls.append(text) or split(text))
+    mixed = [f"{lead}{word}{i % 7}" for i in range(70) for lead, word in ((" ", "wörd'"), ("\n", "line."), ("", "(x"))]
+    assert new.pre_tokens(mixed) == [[w for w, _ in split(u)] for u in mixed]
+    assert len(calls) == 3
+    ids = [*range(0, 50257, 7), 50256, 128, 50256]
+    assert bpe.decode(np.array(ids, "<u4").tobytes()) == library.decode(ids, skip_special_tokens=False)
+
+
 def test_bpe_frame(spark, odd, library):
     got = bpe_digests(odd, BPE).collect()
     for r, (key, text) in zip(got, odd.select("doc_id", "text").collect(), strict=True):

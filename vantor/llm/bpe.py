@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vantor.llm.common import chunks, claim, small_batches
-from vantor.llm.units import LONGEST_UNIT, UnitMemory, joinable, shared_prefix
+from vantor.llm.units import LONGEST_UNIT, UnitMemory, joinable, shared_prefix, stretches
 
 
 def byte_letters() -> dict[int, str]:
@@ -177,12 +177,18 @@ class TrieBpe:
         return self.memory.joined([text])[0]
 
     @cached_property
-    def token_bytes(self) -> dict[int, bytes]:
+    def token_bytes(self) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes of all tokens in order of their ids, and where each token's start; one more place is their end."""
         back = {c: b for b, c in byte_letters().items()}
-        return {i: bytes(back[c] for c in t) for i, t in self.tokens.items()} | {i: c.encode() for c, i in self.added.items()}
+        found = {i: bytes(back[c] for c in t) for i, t in self.tokens.items()} | {i: c.encode() for c, i in self.added.items()}
+        parts = [found.get(i, b"") for i in range(max(found) + 1)]
+        return np.frombuffer(b"".join(parts), np.uint8), np.array([0, *accumulate(map(len, parts))])
 
     def decode(self, ids: bytes) -> str:
-        return b"".join(map(self.token_bytes.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
+        letters, places = self.token_bytes
+        tokens = np.frombuffer(ids, "<u4").astype(np.int64)
+        starts = places[tokens]
+        return letters[stretches(starts, places[tokens + 1] - starts)].tobytes().decode("utf-8", "replace")
 
 
 @lru_cache(maxsize=1)
