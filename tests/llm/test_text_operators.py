@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import random
+import tracemalloc
 import zlib
 from types import SimpleNamespace
 
@@ -278,3 +279,18 @@ def test_long_sentences_are_learnt_whole(spark):
     for key, text in rows:
         mine = [s for k, s, _ in got if k == key]
         assert sorted(" ".join(mine).split()) == sorted(text.split()) and all(len(s) <= 4000 or " " not in s for s in mine)
+
+
+def test_training_holds_each_word_once():
+    """Texts of the same words add little to the driver's memory, which it shares with Spark."""
+    rng = random.Random(8)
+    plain = ["".join(rng.choice("abcdefghiklmnoprstu") for _ in range(9)) for _ in range(800)]
+    rows = [(i, " ".join([*rng.sample(plain, 300), *["nitwit"] * (i % 2)]), i % 2) for i in range(500)]
+    tracemalloc.start()
+    try:
+        model = toxicity.train(iter(rows), {0: 250, 1: 250})
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert model.scores(["a nitwit"])[0] >= 0.5
+    assert peak < 10e6, peak

@@ -17,8 +17,9 @@ from __future__ import annotations
 import json
 import math
 import re
+from array import array
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
 from itertools import combinations
@@ -39,6 +40,8 @@ WINDOW = 16
 SAMPLE, SENTENCES = 2000, 60_000
 #: Longer sentences come to the driver in several pieces, each of which counts as a sentence.
 PIECE = 4000
+#: Words whose similarities are held at once.
+STEP = 8192
 #: Landmarks among the witnesses and among clean units.
 #: SHARP: the kernel's fall with dissimilarity.
 LANDMARKS, NEGATIVE, SHARP = 48, 16, 4.0
@@ -180,11 +183,25 @@ class Model:
         for at, a in by_length(words):
             self_kernel = kernel(a, a).astype(np.float64)
             out[at] = kernels(a, marks) / np.sqrt(np.maximum(self_kernel[:, None] * own, 1e-30))
-        return np.exp(SHARP * (np.minimum(out, 1) - 1))
+        np.minimum(out, 1, out=out)
+        out -= 1
+        out *= SHARP
+        return np.exp(out, out=out)
+
+    def nearest(self, words: list[str]) -> np.ndarray:
+        """Each word's similarity with the landmark most like it."""
+        return np.concatenate([self.similarities(words[i : i + STEP]).max(axis=1) for i in range(0, max(1, len(words)), STEP)])
 
     def margins(self, words: list[str]) -> np.ndarray:
-        weights, step = np.array(self.weights), 8192
-        return np.concatenate([self.similarities(words[i : i + step]) @ weights for i in range(0, len(words), step)]) + self.bias
+        weights = np.array(self.weights)
+        return np.concatenate([self.similarities(words[i : i + STEP]) @ weights for i in range(0, len(words), STEP)]) + self.bias
+
+    def worth(self, units: list[str]) -> list[float]:
+        """The largest margin of each unit's windows; minus infinity without any."""
+        parts = [windows(u) for u in units]
+        flat = sorted({w for p in parts for w in p})
+        margin = dict(zip(flat, self.margins(flat).tolist(), strict=True)) if flat else {}
+        return [max((margin[w] for w in p), default=-math.inf) for p in parts]
 
     def best(self, texts: list[str], most: int = 600_000) -> list[float]:
         """The largest margin of each text's units; minus infinity without any."""
@@ -192,10 +209,7 @@ class Model:
         if len(self.known) > most:
             self.known.clear()
         new = sorted(set().union(*cut) - self.known.keys())
-        parts = [windows(u) for u in new]
-        flat = sorted({w for p in parts for w in p})
-        margin = dict(zip(flat, self.margins(flat).tolist(), strict=True)) if flat else {}
-        values = {u: max((margin[w] for w in p), default=-math.inf) for u, p in zip(new, parts, strict=True)}
+        values = dict(zip(new, self.worth(new), strict=True))
         large = {u: v for u, v in values.items() if len(u) > 64}
         self.known |= {u: v for u, v in values.items() if len(u) <= 64}
         if large:
@@ -235,46 +249,54 @@ def linear_svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, rounds: int = 100
     return w[:-1], float(w[-1])
 
 
-def train(rows: list[tuple[int, str, int]], totals: dict[int, int]) -> Model | None:
+def train(rows: Iterable[tuple[int, str, int]], totals: dict[int, int]) -> Model | None:
     """A model from (text's id, sentence, label of its text), and how many texts of each label there are in all.
 
-    None without two classes or without any unit that marks one.
+    None without two classes or without any unit that marks one. Texts are held as numbers of their words, each word
+    once: the driver's memory has to do for Spark too.
     """
-    docs: dict[tuple[int, int], set[str]] = {}
+    number: dict[str, int] = {}
+    sets: dict[tuple[int, int], array] = {}
     marks: dict[tuple[int, int], int] = {}
     for doc, sentence, label in rows:
         key, plain = (doc, label), sentence.lower().split()
-        docs.setdefault(key, set()).update(w for u in units(sentence) for w in windows(u))
+        sets.setdefault(key, array("i")).extend({number.setdefault(w, len(number)) for u in units(sentence) for w in windows(u)})
         # copies and near copies share the least hash of their runs of three words, and count as one text
         runs = [xxhash.xxh3_64_intdigest(" ".join(plain[i : i + 3])) for i in range(max(1, len(plain) - 2))]
         marks[key] = min(marks.get(key, 1 << 64), *runs)
-    sample = Counter(label for _, label in docs)
+    sample = Counter(label for _, label in sets)
     if not sample[0] or not sample[1]:
         return None
-    seen, copies = {0: Counter(), 1: Counter()}, defaultdict(list)
-    for key, words in docs.items():
-        copies[key[1], marks[key]].append(words)
-    for (label, _), sets in copies.items():
-        seen[label].update(set().union(*sets))
+    docs = {key: np.unique(np.array(sets.pop(key), np.int32)) for key in list(sets)}
+    words, copies = list(number), defaultdict(list)
+    seen = {label: np.zeros(len(words), np.int64) for label in (0, 1)}
+    for key, own in docs.items():
+        copies[key[1], marks[key]].append(own)
+    for (label, _), alike in copies.items():
+        seen[label][np.unique(np.concatenate(alike))] += 1
     scale = {label: totals[label] / sample[label] for label in (0, 1)}
 
     def share(w: str) -> float:
         """Lower bound of the share of toxic texts among all that have the unit, SURE standard deviations down."""
-        a, b = scale[1] * seen[1][w], scale[0] * (seen[0][w] + 0.5)
-        return a / (a + b) - SURE * math.sqrt(a * b / (a + b) ** 2 / (seen[1][w] + seen[0][w] + 1))
+        toxic, other = (int(seen[label][number[w]]) for label in (1, 0))
+        a, b = scale[1] * toxic, scale[0] * (other + 0.5)
+        return a / (a + b) - SURE * math.sqrt(a * b / (a + b) ** 2 / (toxic + other + 1))
 
-    marked = sorted((w for w, n in seen[1].items() if n >= WITNESS_TEXTS and share(w) > 0.5), key=lambda w: (-seen[1][w], w))[: 20 * LANDMARKS]
+    often = [words[i] for i in np.flatnonzero(seen[1] >= WITNESS_TEXTS).tolist()]
+    marked = sorted((w for w in often if share(w) > 0.5), key=lambda w: (-seen[1][number[w]], w))[: 20 * LANDMARKS]
     if not marked:
         return None
     like = Model(marked, own_kernel(marked).tolist(), [], 0.0, 1.0).similarities(marked)
-    count, near, picked = np.array([seen[1][w] for w in marked], float), np.zeros(len(marked)), []
+    tables.cache_clear()
+    count, near, picked = np.array([seen[1][number[w]] for w in marked], float), np.zeros(len(marked)), []
     while len(picked) < min(LANDMARKS, len(marked)):  # frequent ones that no landmark is like yet
         picked.append(int(np.argmax(count * (1 - near))))
         near = np.maximum(near, like[:, picked[-1]])
     landmarks = [marked[i] for i in picked]
     model = Model(landmarks, own_kernel(landmarks).tolist(), [], 0.0, 1.0)
-    clean = sorted(seen[0].keys() - set(marked))
-    order = np.argsort(-model.similarities(clean).max(axis=1), kind="stable")
+    in_clean = {words[i] for i in np.flatnonzero(seen[0]).tolist()}
+    clean = sorted(in_clean - set(marked))
+    order = np.argsort(-model.nearest(clean), kind="stable")
     model.landmarks = landmarks + [clean[i] for i in order[:NEGATIVE]]
     model.norms = own_kernel(model.landmarks).tolist()
     # Nystroem: features K(x, landmarks) K(landmarks, landmarks)^(-1/2)
@@ -283,20 +305,31 @@ def train(rows: list[tuple[int, str, int]], totals: dict[int, int]) -> Model | N
     half = vector @ np.diag(1 / np.sqrt(np.maximum(value, 1e-3))) @ vector.T
     # the marked units of toxic sentences against the nearest clean ones and an even choice of the others
     # and, as these may be disguised, each sure witness with one foreign character put in, unless a clean unit has that form
-    disguised = sorted({w[:i] + x + w[i:] for w in marked if share(w) > 0.9 for i in range(2, len(w) - 1) for x in FOREIGN} - seen[0].keys())
-    words = marked + disguised + [clean[i] for i in order[:2000]] + [clean[i] for i in order[2000 :: max(1, len(order) // 2000)]]
+    disguised = sorted({w[:i] + x + w[i:] for w in marked if share(w) > 0.9 for i in range(2, len(w) - 1) for x in FOREIGN} - in_clean)
+    taught = marked + disguised + [clean[i] for i in order[:2000]] + [clean[i] for i in order[2000 :: max(1, len(order) // 2000)]]
     toxic = len(marked) + len(disguised)
-    y = np.array([1.0] * toxic + [-1.0] * (len(words) - toxic))
-    w, model.bias = linear_svm(model.similarities(words) @ half, y, np.full(len(y), 20.0))
+    y = np.array([1.0] * toxic + [-1.0] * (len(taught) - toxic))
+    w, model.bias = linear_svm(model.similarities(taught) @ half, y, np.full(len(y), 20.0))
     model.weights = (half @ w).tolist()
-    margin = np.array(model.best([" ".join(words) for words in docs.values()]))
+    worth = np.array(model.worth(words))
+    margin = np.array([worth[own].max(initial=-math.inf) for own in docs.values()])
     label = np.array([z for _, z in docs])
     model.bias -= border(margin, label, scale)
     model.slope = logistic(margin - border(margin, label, scale), label.astype(float))
-    model.known.clear()
     return model
 
 
+class Sentences:
+    """(id, sentence, label) of each row of an Arrow table, some thousand rows at a time: all as Python's objects take far more room."""
+
+    def __init__(self, table: pa.Table) -> None:
+        self.table = table
+
+    def __iter__(self) -> Iterator[tuple[int, str, int]]:
+        for batch in self.table.to_batches(max_chunksize=4096):
+            yield from zip(*(batch.column(c).to_pylist() for c in ("doc_id", "sentence", "toxic")), strict=True)
+
+
 def border(margin: np.ndarray, label: np.ndarray, scale: dict[int, float]) -> float:
     """The margin at which calling texts toxic errs least over all labelled texts: midway to the next lower margin."""
     order = np.argsort(-margin, kind="stable")
@@ -320,7 +353,7 @@ def logistic(margin: np.ndarray, label: np.ndarray) -> float:
     return min(max(float(slope), 1.0), 20.0)
 
 
-def training_sentences(docs: DataFrame, labels: DataFrame, *, hold_out: int | None = 5) -> tuple[list[tuple[int, str, int]], dict[int, int]]:
+def training_sentences(docs: DataFrame, labels: DataFrame, *, hold_out: int | None = 5) -> tuple[Sentences, dict[int, int]]:
     """(id, sentence, label) of a bounded sample of labelled texts, SAMPLE of each class at most, and the classes' sizes.
 
     Labels are sampled first, by a hash of the id, so only a few ids are joined with the texts; texts are cut to
@@ -338,7 +371,7 @@ def training_sentences(docs: DataFrame, labels: DataFrame, *, hold_out: int | No
     # long sentences come in pieces of PIECE characters at most, longer words whole
     cut = cut.select("doc_id", "toxic", "at", F.posexplode(F.regexp_extract_all("sentence", F.lit(rf"(?s)\S(?:.{{0,{PIECE - 2}}}\S)?(?!\S)|\S+"), F.lit(0))).alias("part", "sentence"))
     picked = [cut.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id", "at", "part").limit(SENTENCES) for c in (0, 1)]
-    return [(r.doc_id, r.sentence, r.toxic) for r in picked[0].unionByName(picked[1]).collect()], totals
+    return Sentences(picked[0].unionByName(picked[1]).select("doc_id", "sentence", "toxic").toArrow()), totals
 
 
 @lru_cache(maxsize=1)
@@ -360,6 +393,7 @@ def toxic_rows(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", te
     """
     model = train(*training_sentences(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), labels))
     data = model.to_json() if model else None
+    tables.cache_clear()
     give_back()  # what training took on the driver
 
     def work_out(texts: list[str | None]) -> list[float]:
