@@ -47,6 +47,61 @@ def test_sparse_against_dense(spark):
     assert [r.n for r in rows.select("id", S.norm(F.col("s")).alias("n")).orderBy("id").collect()] == pytest.approx(np.linalg.norm(dense, axis=1).tolist())
 
 
+def by_hand(a, b):
+    """Products of (id, {index: value}) by id, of pairs that share an index."""
+    out = {}
+    for i, x in a:
+        for j, y in b:
+            for k in x.keys() & y.keys():
+                out[i, j] = out.get((i, j), 0.0) + x[k] * y[k]
+    return out
+
+
+def sparse_rows(spark, rows, kind="long"):
+    return spark.createDataFrame([(i, {"indices": sorted(v), "values": [v[k] for k in sorted(v)], "dimension": None}) for i, v in rows], f"id {kind}, s {S.TYPE}")
+
+
+def test_batch_dot_by_tiles(spark, monkeypatch):
+    """Pairs are neither joined nor shuffled, over several passes, tasks, blocks and tiles, dense and sparse ones."""
+    rng = np.random.default_rng(7)
+    narrow = [(i, {int(k): float(rng.integers(-8, 9)) / 4 for k in rng.choice(40, 9, replace=False)}) for i in range(70)]
+    wide = [(i, {int(k): float(rng.integers(-8, 9)) / 4 for k in rng.choice(1_000_000, 2) // 20_000 * 20_000}) for i in range(70, 90)]
+    odd = [(90, {}), (91, {3: float("inf"), 5: 1.0}), (92, {3: 0.0, 7: 2.0}), (93, {3: float("nan")}), (94, {3: 1.0, 5: -1.0}), (95, {2**31 - 1: 2.0}), (None, {5: 1.5}), (None, {5: 1.0, 6: 4.0}), (3, {1: 1.0, 39: -2.0}), (3, {1: -1.0}), (96, {5: 1.0, 7: 1.0})]
+    rows = narrow + wide + odd
+    want = by_hand(rows[::2] + odd, rows)
+    a, b = (sparse_rows(spark, x) for x in (rows[::2] + odd, rows))
+    for sizes in ({}, {"SENT_BYTES": 3000, "TASK_PAIRS": 500, "BLOCK": 4, "CELLS": 24, "OUT_ROWS": 5}, {"MEET": 16, "DENSE": 0}):
+        for name, v in sizes.items():
+            monkeypatch.setattr(S, name, v)
+        met = S.batch_dot(a, b)
+        got = met.collect()
+        assert len(got) == len(want) and {(r.a, r.b): r.dot for r in got} == pytest.approx(want, nan_ok=True)
+        assert "Join" not in (plan := met._jdf.queryExecution().toString()) and "Cartesian" not in plan
+        monkeypatch.undo()
+    texts = S.batch_dot(sparse_rows(spark, [("é", {1: 2.0}), ("b", {2: 1.0})], "string"), sparse_rows(spark, [(1, {1: 3.0})])).collect()
+    assert [tuple(r) for r in texts] == [("é", 1, 6.0)]
+    assert S.batch_dot(a.where("id < 0"), b).collect() == S.batch_dot(a, b.where("id < 0")).collect() == []
+
+
+def test_tile():
+    """Dense and sparse tiles have the same pairs and products, pairs whose products cancel among them."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    for wide, fill in ((6, 0.7), (64, 0.25), (900, 0.01), (3000, 0.002)):
+        held = rng.random((2, 50, wide)) < fill
+        a, b = np.where(held, rng.integers(-2, 3, held.shape) / 2, 0.0)
+        (la, ia), (lb, ib) = np.nonzero(held[0]), np.nonzero(held[1])
+        block = S.Block(pa.array(range(50)), np.searchsorted(la, np.arange(51)), ia, a[la, ia])
+        want = held[1].astype(int) @ held[0].T.astype(int) > 0
+        at = np.searchsorted(block.indices, ib)
+        known = np.isin(ib, block.indices)
+        met = block.starts[at[known] + 1] - block.starts[at[known]]
+        for row, line, dot in (S.tile(block, 50, lb, ib, b[lb, ib]), S.sparse_tile(block, 50, lb[known], at[known], b[lb, ib][known], met)):
+            assert sorted(zip(row.tolist(), line.tolist(), strict=True)) == list(map(tuple, np.argwhere(want).tolist()))
+            assert dot == pytest.approx((b @ a.T)[row, line])
+
+
 def test_xxhash(spark):
     rows = spark.createDataFrame([(s,) for s in ("", "abc", "x" * 54, "é" * 40, None)], "s string")
     for seed in (0, 1, 2**63 + 5):
